@@ -30,6 +30,8 @@ from .common import alnum_words, id_mod, table
 SAMPLE = 8000
 PREFIXES = (4, 5, 6, 7, 8)
 LEAST_LLR = 28.0
+#: Times that the term which every text has (and which keeps the angle aware of how often the others occur) counts.
+GROUND = 8.0
 TERMS = 400
 BLOCK = 32
 NEAREST = 15
@@ -81,8 +83,9 @@ class BlockMaxIndex:
             return ()
         ts = sorted(counts)
         x = np.array([(1 + np.log(counts[t])) * self.idf[t] for t in ts])
-        x /= np.sqrt((x**2).sum())
-        return tuple(zip(ts, x.tolist()))
+        ground = np.log1p(1.0) * GROUND
+        x = np.append(x, ground) / np.sqrt((x**2).sum() + ground**2)
+        return tuple(zip([*ts, -1], x.tolist()))
 
     def build(self, vectors: list[tuple]) -> None:
         order = sorted(range(len(vectors)), key=lambda i: (sorted(vectors[i], key=lambda p: -p[1])[:3], self.ids[i]))
