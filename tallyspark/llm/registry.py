@@ -5,11 +5,13 @@ from __future__ import annotations
 from .licences import op10_license_scan
 from .mixing import OP4_SQL, op4_mixing
 from .quality import op3_quality
+from .suffix_dedup import op5_suffix_dedup
 from .toxicity import op7_toxicity
 
 QUERIES = {
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op7_toxicity": op7_toxicity,
     "op10_license_scan": op10_license_scan,
 }
