@@ -75,3 +75,84 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= _M2
     x ^= x >> np.uint64(31)
     return x
+
+
+_BASE = 0x9E3779B97F4A7C15
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_powers: dict = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        steps[0] = 1
+        have = _powers[base] = np.multiply.accumulate(steps)
+    return have[:n]
+
+
+def span_hashes(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of buf[a:b] for arrays of bounds; equal bytes give equal hashes wherever they stand."""
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * _power(_BASE, len(buf)), out=sums[1:])
+    inv = _power(pow(_BASE, -1, 1 << 64), len(buf) + 1)
+    return mix64((sums[b] - sums[a]) * inv[a] + (b - a).astype(np.uint64))
+
+
+#: Fixed by the word definitions: lower-cased byte, or a space where no word goes on.
+SPACE_WORDS = np.frombuffer(bytes(0x20 if b in b" \t\n\v\f\r" else b for b in bytes(range(256)).lower()), np.uint8)
+ALNUM_WORDS = np.frombuffer(_NOT_WORD, np.uint8)
+
+
+def hashed_words(texts: list[bytes], kind: np.ndarray = SPACE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of the texts: hash, and the bounds in the joined buffer; and the first word of each text
+    (one more entry than texts)."""
+    buf = kind[np.frombuffer(b" ".join(texts), np.uint8)]
+    gap = buf == 0x20
+    edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=1, append=1))
+    a, b = edge[::2], edge[1::2]
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return span_hashes(buf, a, b), a, b, np.searchsorted(a, starts)
+
+
+def batches_of_bytes(texts: list, most: int = 1 << 21):
+    """(first, texts as bytes) in runs of about ``most`` bytes, each text whole."""
+    run, size, first = [], 0, 0
+    for i, t in enumerate(texts):
+        run.append((t or "").encode("utf-8", "surrogatepass"))
+        size += len(run[-1])
+        if size >= most:
+            yield first, run
+            run, size, first = [], 0, i + 1
+    if run:
+        yield first, run
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words; the whole run if there are fewer; nothing without words."""
+    if not len(words):
+        return words
+    k = min(k, len(words))
+    n = len(words) - k + 1
+    out = np.full(n, k, np.uint64)
+    for j in range(k):
+        out = out * np.uint64(0x9FB21C651E98DF25) + words[j : j + n]
+    return mix64(out)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of the edges (a, b): the smallest node that links reach.
+
+    Smallest labels of neighbours, then a jump to the label's label, until nothing changes; every round is
+    written to the shared folder."""
+    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    now = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).withColumn("root", F.least("node", "root")), "roots")
+    while True:
+        near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        step = now.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        up = now.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        step = staged(step.join(up, "root").select("node", "old", F.least("root", "above").alias("root")), "roots")
+        changed = step.where("old <> root").limit(1).count()
+        now = step.select("node", "root")
+        if not changed:
+            return now
