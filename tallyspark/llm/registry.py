@@ -5,6 +5,7 @@ from __future__ import annotations
 from .licences import op10_license_scan
 from .mixing import OP4_SQL, op4_mixing
 from .ngram_join import op9_ngram_join
+from .ppm import op8_lm_score
 from .quality import op3_quality
 from .suffix_dedup import op5_suffix_dedup
 from .toxicity import op7_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_lm_score": op8_lm_score,
     "op9_ngram_join": op9_ngram_join,
     "op10_license_scan": op10_license_scan,
 }
