@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .ann import op1_neighbours
+from .decontaminate import op6_decontaminate
+from .html_extract import op2_html_extract
 from .licences import op10_license_scan
 from .mixing import OP4_SQL, op4_mixing
 from .ngram_join import op9_ngram_join
@@ -11,9 +14,12 @@ from .suffix_dedup import op5_suffix_dedup
 from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_neighbours": op1_neighbours,
+    "op2_html_extract": op2_html_extract,
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op8_lm_score": op8_lm_score,
     "op9_ngram_join": op9_ngram_join,
