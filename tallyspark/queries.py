@@ -1,4 +1,7 @@
 """All queries of the engine by name, with the SQL that they are held against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import daily
+
+MODULES = (daily,)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: s for m in MODULES for name, s in m.SQL.items()}
