@@ -29,10 +29,13 @@ def norm_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]", "")
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
+def nfkc(c: Column) -> Column:
     """Unicode compatibility form; Spark has no function for it."""
-    return s.str.normalize("NFKC")
+
+    def normal(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFKC")
+
+    return F.pandas_udf(normal, "string")(c)
 
 
 # Noise classes that cleaning looks for, as Java patterns.
