@@ -267,7 +267,8 @@ def _score_task(order: int):
 
 def score_documents(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    chunks, slots = partitions_for(docs), 4 * partitions_for(docs)
+    chunks = partitions_for(docs)
+    slots = max(12, chunks // 4)  # chunks ask every slot, so their product is kept low
     base = docs.select(F.col(id_col).alias("doc_id"), trained.alias("trained"), text_of(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int").alias("chunk"))
     pairs, train_docs = np.zeros(1 << 16, np.int64), 0
     for r in base.where("trained").select("text").mapInArrow(_pairs_task(order), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 65,537 rows
