@@ -5,7 +5,7 @@
    consecutive nodes is compared within itself (bounded blocks, no skew).
 3. NN-descent: a node's neighbours and reverse neighbours (at most ``degree`` of each) meet at the node by
    joins; pairs of them that beat a current neighbour are sent back and merged, until few change.
-4. Search: a query's beam starts at given nodes, the best unexpanded ones are joined to their lists, what is
+4. Search: a query's beam starts at given nodes, the unexpanded ones in it are joined to their lists (edges both ways), what is
    found is scored and merged, until nothing in the beam is unexpanded.  The last scores are double-precision
    cosines of the original vectors.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 DEGREE, STARTS, WINDOW, DESCENTS = 20, 6, 160, 5
-BEAM, STEPS = 24, 6
+BEAM, STEPS = 40, 6
 
 
 def _vectors(col) -> np.ndarray:
@@ -167,7 +167,9 @@ def _cosine_task(batches):
 
 def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, starts: DataFrame, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
     """(q, c, sim): the beams of queries (q, qv) after greedy search from the start nodes (q, c)."""
-    near = graph.select(F.col("a").alias("c"), F.transform("near", lambda x: x["b"]).alias("next"))
+    edges = pairs_of(graph)
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    near = staged(nearest_of(both, 2 * DEGREE).select(F.col("a").alias("c"), F.transform("near", lambda x: x["b"]).alias("next")), "lists")
     vecs = vectors.select(F.col("node").alias("c"), "v")
 
     def scored(pairs):
