@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,12 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage is cut, lost executors cost nothing."""
-    spark = df.sparkSession
+def staged(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it again: lineage is cut, lost executors cost nothing.
+    ``release`` collects the driver's garbage, on which Spark drops the shuffle files behind what was written."""
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if release:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def text_of(col: str | Column) -> Column:

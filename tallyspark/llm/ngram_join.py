@@ -2,7 +2,7 @@
 
 1. Equal shingle sets are one node (64-bit hash of the set and its size), so copies cost one row each.
 2. Where two sets have J >= t, their symmetric difference is at most (1-t)/(1+t) of the sum of the sizes.  A
-   set is cut by token hash into more parts than that, so linked sets share a part whole.  Sets emit the hashes
+   set is cut by token hash into more parts than that, so linked sets share a part (not an empty one) whole.  Sets emit the hashes
    of their parts for their own size class and the next one.
 3. Nodes that share part hashes are dealt to groups of like documents (smallest shared part hash, split by hash
    to at most BLOCK members).  The matrix holds, for each part hash, the groups it occurs in; groups that meet in
@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 from .common import batches_of_bytes, components, hashed_words, mix64, partitions_for, shingle_hashes, staged, table
 
 BLOCK = 64
-RECORD = np.dtype([("sig", "<u8"), ("node", "<i8"), ("n", "<u4")])
-FOUND = "rk long, doc_id long, n long, node long, slot int, payload binary"
+PAIR = np.dtype([("sig", "<u8"), ("node", "<i8")])
 
 
 class Parts:
@@ -52,23 +51,49 @@ class Parts:
         most = self.low[level + 1] - 1
         return int(2 * most * (1 - self.t) / (1 + self.t))
 
+    def number(self, level: int) -> int:
+        """Parts of a class: one more than can differ, and some for parts that are empty by chance."""
+        m = self.differ(level) + 1
+        return m + int(1.5 * m * np.exp(-float(self.t) * self.low[level] / m)) + 4
+
     def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        """Part hashes of a sorted token set, for its class and the next."""
+        """Part hashes of a sorted token set, for its class and the next.  Linked sets share more than
+        number - differ - 1 parts, so a set with at most that many empty parts need not emit these."""
         own = self.level(len(tokens))
         out = []
         for level in (own, own + 1):
             d = self.differ(level)
             if d == 0:
                 continue
-            m = d + 1
+            m = self.number(level)
             cut = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
             at = np.concatenate([[0], np.searchsorted(tokens, cut), [len(tokens)]])
             sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(tokens ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-            part = sums[at[1:]] - sums[at[:-1]]
-            out.append(mix64(part + mix64(np.arange(m, dtype=np.uint64) + np.uint64(level << 32))))
+            part = mix64(sums[at[1:]] - sums[at[:-1]] + mix64(np.arange(m, dtype=np.uint64) + np.uint64(level << 32)))
+            full = at[1:] > at[:-1]
+            out.append(part[full] if m - int(full.sum()) <= m - d - 1 else part)
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def pack(sig: np.ndarray, node: np.ndarray) -> bytes:
+    """Part hashes (40 bits, the slot is known) with numbers into a table of nodes; few bytes a record."""
+    nodes, at = np.unique(node, return_inverse=True)
+    wide = np.uint8(2 if len(nodes) < 1 << 16 else 4)
+    high = (sig >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    return b"".join([bytes([wide]), np.array([len(sig), len(nodes)], "<u4").tobytes(), nodes.astype("<i8").tobytes(), at.astype(f"<u{wide}").tobytes(), np.ascontiguousarray(high).tobytes()])
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    wide, (n, k) = raw[0], np.frombuffer(raw, "<u4", 2, 1)
+    nodes = np.frombuffer(raw, "<i8", k, 9)
+    at = 9 + 8 * int(k)
+    out, wide8 = np.empty(n, PAIR), np.zeros((n, 8), np.uint8)
+    out["node"] = nodes[np.frombuffer(raw, f"<u{wide}", n, at)]
+    wide8[:, :5] = np.frombuffer(raw, np.uint8, 5 * int(n), at + wide * int(n)).reshape(-1, 5)
+    out["sig"] = wide8.view("<u8").ravel()
+    return out
+
+
 def token_sets(texts: list, k: int):
     """Sorted distinct shingle hashes of each text."""
     for _, run in batches_of_bytes(texts):
@@ -83,56 +108,73 @@ def node_of(tokens: np.ndarray) -> int:
     return int(mix64(tokens.sum(dtype=np.uint64, keepdims=True) + once + np.uint64(len(tokens))).astype(np.int64)[0])
 
 
-def _signature_task(k: int, parts: Parts, slots: int):
+def _node_task(k: int):
+    """One row a document: size of its set and its node."""
+
     def run(batches):
-        seen, have = set(), []
         for b in batches:
             ns, nodes = [], []
             for tokens in token_sets(b.column(2).to_pylist(), k):
                 ns.append(len(tokens))
                 nodes.append(node_of(tokens) if len(tokens) else None)
-                if len(tokens) and nodes[-1] not in seen:
-                    seen.add(nodes[-1])
-                    s = parts.signatures(tokens)
-                    rec = np.empty(len(s), RECORD)
-                    rec["sig"], rec["node"], rec["n"] = s, nodes[-1], len(tokens)
-                    have.append(rec)
-            nil = pa.nulls(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), nil.cast(pa.int32()), nil.cast(pa.binary())], names=["rk", "doc_id", "n", "node", "slot", "payload"])
-        if have:
-            rec = np.concatenate(have)
-            slot = (rec["sig"] % np.uint64(slots)).astype(np.int64)
-            order = np.argsort(slot, kind="stable")
-            rec, slot = rec[order], slot[order]
-            cut = np.flatnonzero(np.diff(slot, prepend=-1))
-            pay = [rec[a:z].tobytes() for a, z in zip(cut, [*cut[1:], len(rec)])]
-            nil = pa.nulls(len(pay)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([nil, nil, nil, nil, pa.array(slot[cut].astype(np.int32)), pa.array(pay, pa.binary())], names=["rk", "doc_id", "n", "node", "slot", "payload"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64())], names=["rk", "doc_id", "n", "node"])
+
+    return run
+
+
+def _signature_task(k: int, parts: Parts, slots: int, most: int = 4_000_000):
+    """Part hashes of the distinct sets of a task, packed by slot."""
+
+    def flush(sigs, nodes):
+        sig, node = np.concatenate(sigs), np.repeat(np.array(nodes, np.int64), [len(s) for s in sigs])
+        slot = ((sig & np.uint64(0xFFFFFF)) % np.uint64(slots)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        sig, node, slot = sig[order], node[order], slot[order]
+        cut = np.flatnonzero(np.diff(slot, prepend=-1))
+        return pa.RecordBatch.from_arrays([pa.array(slot[cut].astype(np.int32)), pa.array([pack(sig[a:z], node[a:z]) for a, z in zip(cut, [*cut[1:], len(sig)])], pa.binary())], names=["slot", "payload"])
+
+    def run(batches):
+        seen, sigs, nodes, size = set(), [], [], 0
+        for b in batches:
+            for tokens in token_sets(b.column(0).to_pylist(), k):
+                if not len(tokens) or (node := node_of(tokens)) in seen:
+                    continue
+                seen.add(node)
+                s = parts.signatures(tokens)
+                if len(s):
+                    sigs.append(s)
+                    nodes.append(node)
+                    size += len(s)
+                if size > most:
+                    yield flush(sigs, nodes)
+                    sigs, nodes, size = [], [], 0
+        if sigs:
+            yield flush(sigs, nodes)
 
     return run
 
 
 def _shared_task(batches):
-    """Part hashes that more than one node has: (sig, node, n)."""
+    """Part hashes that more than one node has: (sig, node)."""
 
-    def shared(parts):
-        rec = np.unique(np.concatenate([np.frombuffer(p, RECORD) for p in parts]))
+    def shared(slot, parts):
+        rec = np.unique(np.concatenate([unpack(p) for p in parts]))
         new = np.ones(len(rec), bool)
         new[1:] = rec["sig"][1:] != rec["sig"][:-1]
         ids = np.cumsum(new) - 1
         rec = rec[np.bincount(ids)[ids] > 1]
-        return pa.RecordBatch.from_arrays([pa.array(rec["sig"].astype(np.int64)), pa.array(rec["node"]), pa.array(rec["n"].astype(np.int64))], names=["sig", "node", "n"])
+        return pa.RecordBatch.from_arrays([pa.array((rec["sig"] << np.uint64(20) | np.uint64(slot)).astype(np.int64)), pa.array(rec["node"])], names=["sig", "node"])
 
     now, have = None, []
     for b in batches:
         for s, p in zip(b.column("slot").to_pylist(), b.column("payload").to_pylist()):
             if s != now:
                 if have:
-                    yield shared(have)
+                    yield shared(now, have)
                 now, have = s, []
             have.append(p)
     if have:
-        yield shared(have)
+        yield shared(now, have)
 
 
 def blocks_of(shared: DataFrame, salt: int = 0, size: int = BLOCK) -> DataFrame:
@@ -198,11 +240,22 @@ def open_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, t: Fraction)
 def groups_of(blocks: DataFrame, tokens: DataFrame) -> DataFrame:
     """A row for each group: node ids, set sizes, tokens, packed (a group has about BLOCK members)."""
 
-    def pack(key, tab):
-        sets = [np.frombuffer(x, np.uint64) for x in tab.column("tokens").to_pylist()]
-        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([tab.column("node").to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([np.array([len(s) for s in sets], np.uint32).tobytes()], pa.binary()), pa.array([np.concatenate(sets).tobytes()], pa.binary())], names=["block", "nodes", "sizes", "tokens"])
+    def gather(key, tab):
+        tokens = dict(zip(tab.column("node").to_pylist(), tab.column("tokens").to_pylist()))  # equal rows of a text give it twice
+        sets = [np.frombuffer(x, np.uint64) for x in tokens.values()]
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([np.array(list(tokens), np.int64).tobytes()], pa.binary()), pa.array([np.array([len(s) for s in sets], np.uint32).tobytes()], pa.binary()), pa.array([np.concatenate(sets).tobytes()], pa.binary())], names=["block", "nodes", "sizes", "tokens"])
+
+    return blocks.join(tokens, "node").groupBy("block").applyInArrow(gather, "block long, nodes binary, sizes binary, tokens binary")
 
-    return blocks.join(tokens, "node").groupBy("block").applyInArrow(pack, "block long, nodes binary, sizes binary, tokens binary")
+
+def _member_task(batches):
+    """Groups back to (node, tokens)."""
+    for b in batches:
+        nodes, out = [], []
+        for n, s, t in zip(*(b.column(c).to_pylist() for c in ("nodes", "sizes", "tokens"))):
+            nodes += np.frombuffer(n, np.int64).tolist()
+            out += [x.tobytes() for x in np.split(np.frombuffer(t, np.uint64), np.cumsum(np.frombuffer(s, np.uint32))[:-1])]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], names=["node", "tokens"])
 
 
 def _token_task(k: int):
@@ -223,29 +276,28 @@ def linked_documents(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5),
     documents of a component, null without shingles."""
     parts, slots = Parts(t), 4 * partitions_for(docs)
     keyed = docs.select(F.xxhash64(F.lit(23), id_col, text_col).alias("rk"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = staged(keyed.mapInArrow(_signature_task(k, parts, slots), FOUND), "sets")
-    rows = found.where("slot is null").select("rk", "doc_id", "n", "node")
-    packed = found.where("slot is not null").select("slot", "payload")
-    shared = staged(packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(_shared_task, "sig long, node long, n long"), "shared")
+    rows = staged(keyed.mapInArrow(_node_task(k), "rk long, doc_id long, n long, node long"), "nodes")
+    packed = keyed.select("text").mapInArrow(_signature_task(k, parts, slots), "slot int, payload binary")
+    shared = staged(packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(_shared_task, "sig long, node long"), "shared", release=True)
     blocks = staged(blocks_of(shared), "blocks")
     # one text of each node that shares a part
     one = rows.where("node is not null").groupBy("node").agg(F.min("rk").alias("rk")).join(blocks.select("node"), "node", "left_semi")
-    tokens = staged(keyed.select("rk", "text").join(one, "rk").select("node", "text").mapInArrow(_token_task(k), "node long, tokens binary").dropDuplicates(["node"]), "tokens")
-    groups = staged(groups_of(blocks, tokens), "groups")
+    tokens = keyed.select("rk", "text").join(one, "rk").select("node", "text").mapInArrow(_token_task(k), "node long, tokens binary")
+    groups = staged(groups_of(blocks, tokens), "groups", release=True)
     matrix = staged(shared.join(blocks, "node").select("sig", "block").distinct(), "matrix")
     hub = matrix.groupBy("sig").agg(F.min("block").alias("y"))
     pairs = matrix.join(hub, "sig").select(F.col("block").alias("x"), "y").distinct()
-    first = staged(open_pairs(pairs, groups, groups, t).distinct(), "links")
+    first = staged(open_pairs(pairs, groups, groups, t).distinct(), "links", release=True)
     roots = components(first)
     # what does not hang together with the main component of a part hash meets all its other groups
-    placed = shared.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
+    placed = shared.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
     by_root = placed.groupBy("sig", "root").agg(F.count("*").alias("many"))
     main = by_root.groupBy("sig").agg(F.max_by("root", F.struct("many", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    alone = staged(placed.join(main, "sig").where("root <> main").select("sig", "node", "n"), "alone")
+    alone = staged(placed.join(main, "sig").where("root <> main").select("sig", "node"), "alone")
     late = staged(blocks_of(alone, 1), "late")
     rows_x = alone.join(late, "node").select("sig", F.col("block").alias("x")).distinct()
     again = rows_x.join(matrix.withColumnRenamed("block", "y"), "sig").select("x", "y").distinct()
-    second = open_pairs(again, groups_of(late, tokens), groups, t)
+    second = open_pairs(again, groups_of(late, groups.mapInArrow(_member_task, "node long, tokens binary")), groups, t)
     links = staged(first.unionByName(second).distinct(), "links")
     roots = components(links)
     return rows.join(roots, "node", "left").select("rk", "doc_id", "n", "node", F.coalesce("root", "node").alias("root"))

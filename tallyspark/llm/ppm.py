@@ -212,10 +212,13 @@ def _answer_task(pairs_cast, order: int, totals: bool):
     """Of each (kind, slot): totals (number of known keys, sum of counts), or the answers to its chunks."""
 
     def answer(kind, rows):
+        if totals and kind:
+            return
         asked = [(c, np.frombuffer(p, ASK)) for c, p in rows]
         keys, n = counted([r["key"] for _, r in asked], [r["n"].astype(np.float64) for _, r in asked])
         if totals:
-            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([int((n > 0).sum())], pa.int32()), pa.array([int(n.sum())], pa.int64()), pa.array([None], pa.binary())], names=["kind", "chunk", "n", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([int((n > 0).sum())], pa.int32()), pa.array([int(n.sum())], pa.int64()), pa.array([None], pa.binary())], names=["kind", "chunk", "n", "payload"])
+            return
         code = n.astype(np.float32) if kind == 0 else code_lengths(keys, n, pairs_cast.value, order)
         out = []
         for chunk, rec in asked:
@@ -223,7 +226,7 @@ def _answer_task(pairs_cast, order: int, totals: bool):
             reply["key"], reply["code"] = rec["key"], code[np.searchsorted(keys, rec["key"])]
             out.append((chunk, reply.tobytes()))
         m = len(out)
-        return pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int32()), pa.array([c for c, _ in out], pa.int32()), pa.array([0] * m, pa.int64()), pa.array([p for _, p in out], pa.binary())], names=["kind", "chunk", "n", "payload"])
+        yield pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int32()), pa.array([c for c, _ in out], pa.int32()), pa.array([0] * m, pa.int64()), pa.array([p for _, p in out], pa.binary())], names=["kind", "chunk", "n", "payload"])
 
     def run(batches):
         now, have = None, []
@@ -231,11 +234,11 @@ def _answer_task(pairs_cast, order: int, totals: bool):
             for kind, slot, chunk, payload in zip(*(b.column(c).to_pylist() for c in ("kind", "slot", "chunk", "payload"))):
                 if (kind, slot) != now:
                     if have:
-                        yield answer(now[0], have)
+                        yield from answer(now[0], have)
                     now, have = (kind, slot), []
                 have.append((chunk, payload))
         if have:
-            yield answer(now[0], have)
+            yield from answer(now[0], have)
 
     return run
 
@@ -281,7 +284,7 @@ def score_documents(docs: DataFrame, trained: Column, id_col: str = "doc_id", te
     asked = texts.applyInArrow(_ask_task(slots, order), "kind int, slot int, chunk int, payload binary").repartition("kind", "slot").sortWithinPartitions("kind", "slot")
     answers = asked.mapInArrow(_answer_task(cast, order, False), "kind int, chunk int, n long, payload binary")
     rows = texts.cogroup(answers.groupBy("chunk")).applyInArrow(_score_task(order), "doc_id long, trained boolean, words long, known long, sums double, score double")
-    totals = asked.where("kind = 0").mapInArrow(_answer_task(cast, order, True), "kind int, chunk int, n long, payload binary").agg(F.coalesce(F.sum("chunk"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    totals = asked.mapInArrow(_answer_task(cast, order, True), "kind int, chunk int, n long, payload binary").agg(F.coalesce(F.sum("chunk"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     end = 1 if train_docs else 0
     n, v = F.col("n") + F.lit(train_docs), F.col("v") + F.lit(end)
     tokens = F.col("words") + 1
