@@ -109,6 +109,7 @@ def fit(rows, labels, rank: int = 4, epochs: int = 8, batch: int = 64, rate: flo
     fm = FactorisationMachine(0.0, np.zeros(d), rng.normal(0, 0.02, (d, rank)), np.zeros(STATS), np.ones(STATS))
     y = np.asarray(labels, float)
     if not len(y):
+        fm.v[:] = 0
         return fm
     p = np.clip(y.mean(), 0.01, 0.99)
     fm.bias = float(np.log(p / (1 - p)))
