@@ -122,7 +122,7 @@ def _node_task(k: int):
     return run
 
 
-def _signature_task(k: int, parts: Parts, slots: int, most: int = 4_000_000):
+def _signature_task(k: int, parts: Parts, slots: int, most: int = 1_500_000):
     """Part hashes of the distinct sets of a task, packed by slot."""
 
     def flush(sigs, nodes):
