@@ -7,7 +7,7 @@ from .decontaminate import op6_decontaminate
 from .html_extract import op2_html_extract
 from .licences import op10_license_scan
 from .mixing import OP4_SQL, op4_mixing
-from .ngram_join import op9_ngram_join
+from .ngram_join import OP9_SQL, op9_ngram_join
 from .ppm import op8_lm_score
 from .quality import op3_quality
 from .suffix_dedup import op5_suffix_dedup
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_license_scan": op10_license_scan,
 }
-ORACLES = {"op4_mixing": OP4_SQL}
+ORACLES = {"op4_mixing": OP4_SQL, "op9_ngram_join": OP9_SQL}
