@@ -6,7 +6,7 @@
    of their parts for their own size class and the next one.
 3. Nodes that share part hashes are dealt to groups of like documents (smallest shared part hash, split by hash
    to at most BLOCK members).  The matrix holds, for each part hash, the groups it occurs in; groups that meet in
-   it are candidates.  Opening a pair of groups bounds each query's overlap by the other group's token union
+   it often enough are candidates.  Opening a pair of groups bounds each query's overlap by the other group's token union
    before it looks at members.
 4. First all groups of a part hash meet one hub group; components of the links follow.  Only nodes outside
    their part hash's main component then meet all other groups, so families of near copies do not cost
@@ -22,7 +22,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,14 +51,18 @@ class Parts:
         most = self.low[level + 1] - 1
         return int(2 * most * (1 - self.t) / (1 + self.t))
 
+    def need(self, level: int) -> int:
+        """Parts, other than empty ones, that linked sets share at least; large sets get parts to spare for it."""
+        return min(7, 1 + self.differ(level) // 8)
+
     def number(self, level: int) -> int:
-        """Parts of a class: one more than can differ, and some for parts that are empty by chance."""
-        m = self.differ(level) + 1
+        """Parts of a class: what can differ, what must be shared, and some for parts that are empty by chance."""
+        m = self.differ(level) + self.need(level)
         return m + int(1.5 * m * np.exp(-float(self.t) * self.low[level] / m)) + 4
 
     def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        """Part hashes of a sorted token set, for its class and the next.  Linked sets share more than
-        number - differ - 1 parts, so a set with at most that many empty parts need not emit these."""
+        """Part hashes of a sorted token set, for its class and the next; the three upper bits say how many of
+        them linked sets share at least.  A set with few empty parts need not emit these."""
         own = self.level(len(tokens))
         out = []
         for level in (own, own + 1):
@@ -70,8 +74,9 @@ class Parts:
             at = np.concatenate([[0], np.searchsorted(tokens, cut), [len(tokens)]])
             sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(tokens ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
             part = mix64(sums[at[1:]] - sums[at[:-1]] + mix64(np.arange(m, dtype=np.uint64) + np.uint64(level << 32)))
+            part = part >> np.uint64(3) | np.uint64(self.need(level) << 61)
             full = at[1:] > at[:-1]
-            out.append(part[full] if m - int(full.sum()) <= m - d - 1 else part)
+            out.append(part[full] if m - int(full.sum()) <= m - d - self.need(level) else part)
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -177,6 +182,24 @@ def _shared_task(batches):
         yield shared(now, have)
 
 
+def needed() -> Column:
+    """What a part hash says about the number of parts that linked sets share."""
+    return F.shiftrightunsigned("sig", 57)
+
+
+def with_partners(shared: DataFrame) -> DataFrame:
+    """Rows of nodes with as many shared parts as a link takes, of part hashes that two of them have."""
+    enough = shared.groupBy("node").agg(F.count("*").alias("n"), F.min(needed()).alias("need")).where("n >= need").select("node")
+    kept = shared.join(enough, "node", "left_semi")
+    return kept.join(kept.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "sig", "left_semi")
+
+
+def met(pairs: DataFrame) -> DataFrame:
+    """(x, y) of pairs of groups (sig, x, y) that share half the parts a link takes.  Half, because of two
+    linked nodes only one need stand outside the main component of each part they share."""
+    return pairs.groupBy("x", "y").agg(F.count_distinct("sig").alias("n"), F.min(needed()).alias("need")).where("2 * n >= need").select("x", "y")
+
+
 def blocks_of(shared: DataFrame, salt: int = 0, size: int = BLOCK) -> DataFrame:
     """(node, block): nodes with the same smallest shared part hash, split by node hash to about ``size``."""
     home = shared.groupBy("node").agg(F.min("sig").alias("home"))
@@ -279,6 +302,7 @@ def linked_documents(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5),
     rows = staged(keyed.mapInArrow(_node_task(k), "rk long, doc_id long, n long, node long"), "nodes")
     packed = keyed.select("text").mapInArrow(_signature_task(k, parts, slots), "slot int, payload binary")
     shared = staged(packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(_shared_task, "sig long, node long"), "shared", release=True)
+    shared = staged(with_partners(shared), "partners")
     blocks = staged(blocks_of(shared), "blocks")
     # one text of each node that shares a part
     one = rows.where("node is not null").groupBy("node").agg(F.min("rk").alias("rk")).join(blocks.select("node"), "node", "left_semi")
@@ -286,7 +310,7 @@ def linked_documents(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5),
     groups = staged(groups_of(blocks, tokens), "groups", release=True)
     matrix = staged(shared.join(blocks, "node").select("sig", "block").distinct(), "matrix")
     hub = matrix.groupBy("sig").agg(F.min("block").alias("y"))
-    pairs = matrix.join(hub, "sig").select(F.col("block").alias("x"), "y").distinct()
+    pairs = met(matrix.join(hub, "sig").select("sig", F.col("block").alias("x"), "y"))
     first = staged(open_pairs(pairs, groups, groups, t).distinct(), "links", release=True)
     roots = components(first)
     # what does not hang together with the main component of a part hash meets all its other groups
@@ -296,7 +320,8 @@ def linked_documents(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5),
     alone = staged(placed.join(main, "sig").where("root <> main").select("sig", "node"), "alone")
     late = staged(blocks_of(alone, 1), "late")
     rows_x = alone.join(late, "node").select("sig", F.col("block").alias("x")).distinct()
-    again = rows_x.join(matrix.withColumnRenamed("block", "y"), "sig").select("x", "y").distinct()
+    again = rows_x.join(matrix.withColumnRenamed("block", "y"), "sig")
+    again = met(again)
     second = open_pairs(again, groups_of(late, groups.mapInArrow(_member_task, "node long, tokens binary")), groups, t)
     links = staged(first.unionByName(second).distinct(), "links")
     roots = components(links)
