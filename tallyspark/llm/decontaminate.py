@@ -1,21 +1,25 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names (capitalised words inside a sentence) and units become typed placeholders.  Windows of WINDOW
-canonical tokens with enough literal words are hash-joined between documents and benchmark; a hit carries the values of
-its slots.  On each diagonal (document place less item place) the values must map one to one, so a question whose
-numbers or names were exchanged is caught, and a text that merely shares the form is not.  A document is
-contaminated by an item if consistent hits cover LEAST words of it (all of a shorter item).
+Windows of WINDOW words are hash-joined between documents and benchmark; unchanged ones count wherever they
+agree.  In template windows numbers, names (capitalised words inside a
+sentence) and units are typed placeholders; they need enough literal words, and a hit carries the values of its slots.
+In each run of touching windows on a diagonal (document place less item place) these values must map one to one, and
+windows with a value that does not are dropped, so a question whose numbers or names were exchanged is caught, and a
+text that merely shares the form is not.  A document is contaminated by an item if the hits that count cover LEAST
+words of it (all of a shorter item); it is a changed copy if exact windows alone do not.
 
 Benchmark windows are looked up in blocks of BLOCK hashes, so the set that tasks hold is bounded, whatever the size
 of the benchmark; hits alone are shuffled.
 
-Defined cases: null or empty texts match nothing; items with fewer than SHORTEST words or too few literal ones
-are not looked for; repeated rows are each reported once per pair of ids; null ids are kept as null; empty tables give
+Defined cases: null or empty texts match nothing; items with fewer than SHORTEST words
+are not looked for; items with too few literal words are found as exact copies only; repeated rows are each reported once per pair of ids; null ids are kept as null; empty tables give
 empty results; texts are read whole; extra columns are kept by ``remove_contaminated``.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +30,7 @@ from .common import ALNUM_WORDS, batches_of_bytes, mix64, shingle_hashes, span_h
 WINDOW, LITERAL, LEAST, SHORTEST, BLOCK = 8, 5, 13, 5, 1 << 20
 # Units that become one placeholder.
 UNITS = "mm cm m km in ft yd mile miles meter meters metre metres mg g kg t lb lbs oz gram grams ml l liter liters litre litres s sec seconds minute minutes min hour hours day days week weeks month months year years percent pct usd eur gbp dollar dollars euro euros cent cents mph kmh c f k w kw kwh v hz gb mb tb"
-NUM, NAME, UNIT = (int(x) for x in mix64(np.array([101, 102, 103], np.uint64)))
+NUM, NAME, UNIT, EXACT = (int(x) for x in mix64(np.array([101, 102, 103, 104], np.uint64)))
 
 
 def _hash_of(words: list[str]) -> np.ndarray:
@@ -39,7 +43,8 @@ _UNITS = _hash_of(UNITS.split())
 
 
 def canonical(texts: list[bytes]):
-    """Of the joined texts: canonical token hashes, value hashes, slot kinds (0 literal), first token of each text."""
+    """Of the joined texts: canonical token hashes, value hashes, slot kinds (0 literal), first token of each text, and
+    which words are capitalised (names, or literals that begin a sentence)."""
     raw = np.frombuffer(b" ".join(texts), np.uint8)
     buf = ALNUM_WORDS[raw]
     gap = buf == 0x20
@@ -48,7 +53,7 @@ def canonical(texts: list[bytes]):
     starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
     value = span_hashes(buf, a, b)
     if not len(a):
-        return value, value, np.empty(0, np.int8), np.zeros(len(starts), np.int64)
+        return value, value, np.empty(0, np.int8), np.zeros(len(starts), np.int64), np.empty(0, bool)
     digits = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57))])
     number = digits[b] - digits[a] == b - a
     # a number goes on over one point or comma
@@ -79,26 +84,39 @@ def canonical(texts: list[bytes]):
     token = total.copy()
     for k, mark_ in ((1, NUM), (2, NAME), (3, UNIT)):
         token[kind == k] = mark_
-    return token, total, kind, np.searchsorted(a[keep], starts)
+    return token, total, kind, np.searchsorted(a[keep], starts), (capital & ~shout)[keep] & np.isin(kind, (0, 2))
 
 
-def windows(token, kind, first, size: int):
-    """Hashes of windows of ``size`` tokens, and which of them lie in one text and hold enough literal words."""
+def windows(token, value, kind, first, capital, size: int, both: bool):
+    """(start, hash, exact, slots begin) of all windows of ``size`` words that lie in one text: exact ones, and template
+    ones with enough literal words; with ``both`` also those whose capitalised first word is read the other way.
+    Slots begin at the second word where the first is read as a literal, and at the first where as a slot."""
     n = len(token) - size + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, bool)
-    h = shingle_hashes(token, size)
-    literal = np.concatenate([[0], np.cumsum(kind == 0)])
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, np.int8)
     text = np.searchsorted(first, np.arange(len(token)), "right")
-    ok = (literal[size:] - literal[:n] >= min(LITERAL, max(3, size - 3))) & (text[:n] == text[size - 1 :])
-    return h, ok
+    whole = text[:n] == text[size - 1 :]
+    literal = np.concatenate([[0], np.cumsum(kind == 0)])
+    least, held = min(LITERAL, max(3, size - 3)), literal[size:] - literal[:n]
+    at, plain = np.flatnonzero(whole & (held >= least)), np.empty(0, np.int64)
+    starts, hashes, kinds = [plain, at], [mix64(shingle_hashes(value, size) ^ np.uint64(EXACT))[plain], shingle_hashes(token, size)[at]], [np.zeros(len(plain), np.int8), kind[at] != 0]
+    if False:
+        literal_now = kind[:n] == 0
+        at2 = np.flatnonzero(whole & capital[:n] & (held + np.where(literal_now, -1, 1) >= least))
+        other = np.where(literal_now[at2], np.uint64(NAME), value[at2])
+        out = np.full(len(at2), size, np.uint64)
+        for j in range(size):
+            out = out * np.uint64(0x9FB21C651E98DF25) + (token[at2 + j] if j else other)
+        starts, hashes, kinds = [*starts, at2], [*hashes, mix64(out)], [*kinds, literal_now[at2]]
+    exact = np.repeat([True, False], [len(plain), sum(map(len, starts)) - len(plain)])
+    return np.concatenate(starts), np.concatenate(hashes), exact, np.concatenate(kinds).astype(np.int8)
 
 
-HITS = "id long, rk long, size int, at int, hash long, slots array<long>"
+HITS = "id long, rk long, size int, at int, hash long, exact boolean, slots array<long>"
 
 
-def _rows(ids, rks, size, at, hashes, slots):
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rks, pa.int64()), pa.array([size] * len(ids), pa.int32()), pa.array(at, pa.int32()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.int64()))], names=["id", "rk", "size", "at", "hash", "slots"])
+def _rows(ids, rks, size, at, hashes, exact, slots):
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rks, pa.int64()), pa.array([size] * len(ids), pa.int32()), pa.array(at, pa.int32()), pa.array(hashes, pa.int64()), pa.array(exact, pa.bool_()), pa.array(slots, pa.list_(pa.int64()))], names=["id", "rk", "size", "at", "hash", "exact", "slots"])
 
 
 def _window_task(sizes: list[int], wanted=None):
@@ -108,20 +126,21 @@ def _window_task(sizes: list[int], wanted=None):
         for b in batches:
             ids, rks = b.column(0).to_pylist(), b.column(1).to_pylist()
             for at0, texts in batches_of_bytes(b.column(2).to_pylist()):
-                token, value, kind, first = canonical(texts)
-                value = value.astype(np.int64)
+                token, value, kind, first, capital = canonical(texts)
+                signed = value.astype(np.int64)
                 for size in sizes:
-                    h, ok = windows(token, kind, first, size)
+                    pos, h, exact, slotted = windows(token, value, kind, first, capital, size, wanted is not None)
                     if wanted is not None:
                         known = wanted.value[size]
                         near = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        ok = ok & (known[near] == h)
-                    pos = np.flatnonzero(ok)
+                        hit = np.flatnonzero(known[near] == h)
+                        pos, h, exact, slotted = pos[hit], h[hit], exact[hit], slotted[hit]
                     if not len(pos):
                         continue
                     who = np.searchsorted(first, pos, "right") - 1
-                    slots = [[int(value[j]) for j in range(p, p + size) if kind[j]] for p in pos.tolist()]
-                    yield _rows([ids[at0 + i] for i in who], [rks[at0 + i] for i in who], size, pos - first[who], h[pos].astype(np.int64), slots)
+                    # a document's exact window needs no slots: they are the item's
+                    slots = [[] if e and wanted is not None else [int(signed[j]) for j in range(p, p + size) if (kind[j] if e or j > p else s)] for p, e, s in zip(pos.tolist(), exact.tolist(), slotted.tolist())]
+                    yield _rows([ids[at0 + i] for i in who], [rks[at0 + i] for i in who], size, pos - first[who], h.astype(np.int64), exact, slots)
 
     return run
 
@@ -131,17 +150,42 @@ def _count_task(batches):
         out = []
         for _, texts in batches_of_bytes(b.column(1).to_pylist()):
             out += np.diff(canonical(texts)[3]).tolist()
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int32())], names=["id", "words"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int32())], names=["rk", "words"])
+
+
+LINES = "doc_id long, rk long, item_key long, item_id long, item_words int, n_slots long, words array<int>, plain array<int>"
+
+
+def _line_task(batches):
+    """Of each diagonal's windows: the item's words that exact windows cover, and those that consistent ones cover."""
+    for b in batches:
+        n_slots, words, plain = [], [], []
+        for hits in b.column("hits").to_pylist():
+            good = [h for h in hits if h["slots"] == h["item_slots"]]
+            same = {w for h in good for w in range(h["item_at"], h["item_at"] + h["size"])}
+            runs: list = []
+            for h in sorted((h for h in hits if not h["exact"]), key=lambda h: h["item_at"]):
+                if not runs or h["item_at"] > runs[-1][-1]["item_at"] + h["size"]:
+                    runs.append([])
+                runs[-1].append(h)
+            for run in runs:
+                pairs = {p for h in run for p in zip(h["item_slots"], h["slots"])}
+                forth, back = Counter(w for w, _ in pairs), Counter(x for _, x in pairs)
+                good += [h for h in run if all(forth[w] == 1 and back[x] == 1 for w, x in zip(h["item_slots"], h["slots"]))]
+            n_slots.append(len({w for h in good for w in h["item_slots"]}))
+            words.append(sorted({w for h in good for w in range(h["item_at"], h["item_at"] + h["size"])}))
+            plain.append(sorted(same))
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "rk", "item_key", "item_id", "item_words")), pa.array(n_slots, pa.int64()), pa.array(words, pa.list_(pa.int32())), pa.array(plain, pa.list_(pa.int32()))], names=["doc_id", "rk", "item_key", "item_id", "item_words", "n_slots", "words", "plain"])
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text") -> DataFrame:
-    """(doc_id, rk, item_id, words, item_words, n_slots, changed): contaminated pairs; rk is a hash of id and text."""
+    """(doc_id, rk, item_id, words, item_words, n_slots, changed): contaminated pairs, one for each item; rk is a hash of id and text."""
     spark = docs.sparkSession
-    items = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.lit(0).cast("long").alias("rk"), F.col(item_text).alias("text")).dropDuplicates(["id"])
-    lengths = staged(items.select("id", "text").mapInArrow(_count_task, "id long, words int").where(F.col("words") >= SHORTEST), "items")
+    items = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.xxhash64(F.lit(31), item_id, item_text).alias("rk"), F.col(item_text).alias("text")).where("id is not null").dropDuplicates(["id"])
+    lengths = staged(items.select("rk", "text").mapInArrow(_count_task, "rk long, words int").where(F.col("words") >= SHORTEST), "items")
     sizes = sorted(r.size for r in lengths.select(F.least("words", F.lit(WINDOW)).alias("size")).distinct().collect())  # at most WINDOW numbers
-    out = items.mapInArrow(_window_task(sizes), HITS).join(lengths, "id").where(F.col("size") == F.least("words", F.lit(WINDOW)))
-    bench = staged(out.select(F.col("id").alias("item_id"), F.col("words").alias("item_words"), "size", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots")), "windows")
+    out = items.mapInArrow(_window_task(sizes), HITS).join(lengths, "rk").where(F.col("size") == F.least("words", F.lit(WINDOW)))
+    bench = staged(out.select(F.col("rk").alias("item_key"), F.col("id").alias("item_id"), F.col("words").alias("item_words"), "size", F.col("at").alias("item_at"), "hash", "exact", F.col("slots").alias("item_slots")), "windows")
     blocks = max(1, -(-bench.count() // BLOCK))
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.lit(29), id_col, text_col).alias("rk"), F.col(text_col).alias("text")).where("text is not null")
     hits = None
@@ -155,17 +199,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return spark.createDataFrame([], "doc_id long, rk long, item_id long, words long, item_words int, n_slots long, changed boolean")
-    pairs = hits.distinct().join(bench, ["hash", "size"]).where(F.size("slots") == F.size("item_slots")).withColumn("diagonal", F.col("at") - F.col("item_at"))
-    pairs = staged(pairs.select(F.col("id").alias("doc_id"), "rk", "item_id", "item_words", "size", "diagonal", "item_at", "slots", "item_slots"), "hits")
-    line = ["rk", "item_id", "diagonal"]
-    value = pairs.select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("x")).select(*line, F.col("x.item_slots").alias("want"), F.col("x.slots").alias("have")).distinct()
-    ways = [value.groupBy(*line, c).agg(F.count("*").alias("n"), F.max(F.expr("want <> have")).alias("changed")) for c in ("want", "have")]
-    slots = ways[0].groupBy(*line).agg(F.max("n").alias("forth"), F.count("*").alias("n_slots"), F.max("changed").alias("changed"))
-    slots = slots.join(ways[1].groupBy(*line).agg(F.max("n").alias("back")), line)
-    good = pairs.join(slots, line, "left").where("coalesce(forth, 1) = 1 and coalesce(back, 1) = 1")
-    covered = good.select("doc_id", "rk", "item_id", "item_words", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("changed", F.lit(False)).alias("changed"), F.explode(F.sequence(F.col("item_at"), F.col("item_at") + F.col("size") - 1)).alias("word"))
-    found = covered.groupBy("doc_id", "rk", "item_id", "item_words").agg(F.count_distinct("word").alias("words"), F.max("n_slots").alias("n_slots"), F.min("changed").alias("changed"))
-    return found.where(F.col("words") >= F.least("item_words", F.lit(LEAST)))
+    pairs = hits.distinct().join(bench, ["hash", "size", "exact"]).where("exact or size(slots) = size(item_slots)")
+    who = ["doc_id", "rk", "item_key", "item_id", "item_words"]
+    pairs = pairs.withColumn("doc_id", F.col("id")).groupBy(*who, (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_list(F.struct("exact", "item_at", "size", "slots", "item_slots")).alias("hits"))  # no more than the item has windows
+    lines = staged(pairs.mapInArrow(_line_task, LINES), "hits")
+    word = lines.select(*who, "n_slots", "plain", F.explode("words").alias("word")).withColumn("same", F.when(F.array_contains("plain", F.col("word")), F.col("word")))
+    found = word.groupBy(*who).agg(F.count_distinct("word").alias("words"), F.max("n_slots").alias("n_slots"), F.count_distinct("same").alias("same"))
+    least = F.least("item_words", F.lit(LEAST))
+    return found.where(F.col("words") >= least).select("doc_id", "rk", "item_id", "words", "item_words", "n_slots", (F.col("same") < least).alias("changed"))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", **names) -> DataFrame:
