@@ -1,12 +1,13 @@
 """Benchmark decontamination by template canonicalisation.
 
-Windows of WINDOW words are hash-joined between documents and benchmark; unchanged ones count wherever they
-agree.  In template windows numbers, names (capitalised words inside a
+Windows of WINDOW words are hash-joined between documents and benchmark in two readings.  Exact windows hold the
+words as they are and count wherever they agree.  In template windows numbers, names (capitalised words inside a
 sentence) and units are typed placeholders; they need enough literal words, and a hit carries the values of its slots.
 In each run of touching windows on a diagonal (document place less item place) these values must map one to one, and
 windows with a value that does not are dropped, so a question whose numbers or names were exchanged is caught, and a
 text that merely shares the form is not.  A document is contaminated by an item if the hits that count cover LEAST
-words of it (all of a shorter item); it is a changed copy if exact windows alone do not.
+words of it (all of a shorter item); it is a changed copy if exact windows alone do not.  The first word of a
+document's template window is read both as a name and as a literal, if it is capitalised.
 
 Benchmark windows are looked up in blocks of BLOCK hashes, so the set that tasks hold is bounded, whatever the size
 of the benchmark; hits alone are shuffled.
@@ -98,9 +99,9 @@ def windows(token, value, kind, first, capital, size: int, both: bool):
     whole = text[:n] == text[size - 1 :]
     literal = np.concatenate([[0], np.cumsum(kind == 0)])
     least, held = min(LITERAL, max(3, size - 3)), literal[size:] - literal[:n]
-    at, plain = np.flatnonzero(whole & (held >= least)), np.empty(0, np.int64)
+    at, plain = np.flatnonzero(whole & (held >= least)), np.flatnonzero(whole)
     starts, hashes, kinds = [plain, at], [mix64(shingle_hashes(value, size) ^ np.uint64(EXACT))[plain], shingle_hashes(token, size)[at]], [np.zeros(len(plain), np.int8), kind[at] != 0]
-    if False:
+    if both:
         literal_now = kind[:n] == 0
         at2 = np.flatnonzero(whole & capital[:n] & (held + np.where(literal_now, -1, 1) >= least))
         other = np.where(literal_now[at2], np.uint64(NAME), value[at2])
@@ -161,7 +162,7 @@ def _line_task(batches):
     for b in batches:
         n_slots, words, plain = [], [], []
         for hits in b.column("hits").to_pylist():
-            good = [h for h in hits if h["slots"] == h["item_slots"]]
+            good = [h for h in hits if h["exact"]]
             same = {w for h in good for w in range(h["item_at"], h["item_at"] + h["size"])}
             runs: list = []
             for h in sorted((h for h in hits if not h["exact"]), key=lambda h: h["item_at"]):

@@ -10,3 +10,12 @@ def test_one_inconsistent_slot_keeps_the_rest_of_the_diagonal(spark):
     other = form.replace("first Anna", "first Maria").replace("second Anna", "second Paul").replace("third Anna", "third Clara")
     d, items = run(spark, [(1, "so. " + mixed + ". end", None), (2, "so. " + together + ". end", None), (3, "so " + other + " end", None)], [(70, ITEM), (71, form)])
     assert {(r.doc_id, r.item_id, r.changed) for r in dc.contamination(d, items).collect()} == {(1, 70, False), (2, 70, False)}
+
+
+def test_exact_copies_of_slot_dense_items(spark):
+    dense = "Evaluate 3 + 4 * 5 - 6 / 2 and 7 + 8 - 9 and give the sum"
+    end = "Which day is it in 3 4 5 6 7"
+    first = "What is the name of the river by Riga?"
+    docs = [(1, "lorem ipsum " + dense + " dolor", None), (2, "Lorem. " + end + " dolor", None), (3, "lorem the question What is the name of the river by Riga dolor", None), (4, "lorem the question What is the name of the river by Oslo dolor", None), (5, "lorem 3 4 5 6 2 dolor", None)]
+    d, items = run(spark, docs, [(1, dense), (2, end), (3, first)])
+    assert {(r.doc_id, r.item_id, r.changed) for r in dc.contamination(d, items).collect()} == {(1, 1, False), (2, 2, False), (3, 3, False), (4, 3, True)}
