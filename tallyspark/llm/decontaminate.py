@@ -13,7 +13,8 @@ Benchmark windows are looked up in blocks of BLOCK hashes, so the set that tasks
 of the benchmark; hits alone are shuffled.
 
 Defined cases: null or empty texts match nothing; items with fewer than SHORTEST words
-are not looked for; items with too few literal words are found as exact copies only; repeated rows are each reported once per pair of ids; null ids are kept as null; empty tables give
+are not looked for; items with too few literal words are found as exact copies only; items are told apart by id and
+text, null ids among them; repeated rows are each reported once per pair of ids; null ids are kept as null; empty tables give
 empty results; texts are read whole; extra columns are kept by ``remove_contaminated``.
 """
 
@@ -182,7 +183,7 @@ def _line_task(batches):
 def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text") -> DataFrame:
     """(doc_id, rk, item_id, words, item_words, n_slots, changed): contaminated pairs, one for each item; rk is a hash of id and text."""
     spark = docs.sparkSession
-    items = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.xxhash64(F.lit(31), item_id, item_text).alias("rk"), F.col(item_text).alias("text")).where("id is not null").dropDuplicates(["id"])
+    items = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.xxhash64(F.lit(31), item_id, item_text).alias("rk"), F.col(item_text).alias("text")).dropDuplicates(["id", "text"])
     lengths = staged(items.select("rk", "text").mapInArrow(_count_task, "rk long, words int").where(F.col("words") >= SHORTEST), "items")
     sizes = sorted(r.size for r in lengths.select(F.least("words", F.lit(WINDOW)).alias("size")).distinct().collect())  # at most WINDOW numbers
     out = items.mapInArrow(_window_task(sizes), HITS).join(lengths, "rk").where(F.col("size") == F.least("words", F.lit(WINDOW)))

@@ -19,3 +19,11 @@ def test_exact_copies_of_slot_dense_items(spark):
     docs = [(1, "lorem ipsum " + dense + " dolor", None), (2, "Lorem. " + end + " dolor", None), (3, "lorem the question What is the name of the river by Riga dolor", None), (4, "lorem the question What is the name of the river by Oslo dolor", None), (5, "lorem 3 4 5 6 2 dolor", None)]
     d, items = run(spark, docs, [(1, dense), (2, end), (3, first)])
     assert {(r.doc_id, r.item_id, r.changed) for r in dc.contamination(d, items).collect()} == {(1, 1, False), (2, 2, False), (3, 3, False), (4, 3, True)}
+
+
+def test_items_of_one_id_are_all_looked_for(spark):
+    second = "The quick green ship sailed along seven quiet rivers until the captain found a small and hidden harbour"
+    third = "Nobody expected that the old violin would sound so warm after forty winters in a cold and empty attic"
+    d, items = run(spark, [(1, "a " + ITEM, None), (2, "a " + second, None), (3, "a " + third, None)], [(0, ITEM), (0, second), (None, third), (0, ITEM)])
+    assert {(r.doc_id, r.item_id) for r in dc.contamination(d, items).collect()} == {(1, 0), (2, 0), (3, None)}
+    assert dc.remove_contaminated(d, items).count() == 0
