@@ -4,12 +4,12 @@
 2. Start: nodes are range-sorted by random-hyperplane codes a few times over, and every window of WINDOW
    consecutive nodes is compared within itself (bounded blocks, no skew).
 3. NN-descent: a node's neighbours and reverse neighbours (at most ``degree`` of each) meet at the node by
-   joins; pairs of them that beat a current neighbour are sent back and merged, until few change.
-4. Search: a query's beam starts at given nodes, the unexpanded ones in it are joined to their lists (edges both ways), what is
+   joins; pairs of them that beat a current neighbour are sent back and merged, until under CHANGES of the edges change.
+4. Search: a query's beam starts at its own neighbours and ENTRIES spread nodes, the unexpanded ones in it are joined to their lists (edges both ways), what is
    found is scored and merged, until nothing in the beam is unexpanded.  The last scores are double-precision
    cosines of the original vectors.
 
-Every valid row is indexed.  Defined cases: null, zero or non-finite vectors and rows with null ids take no part;
+``degree`` and the beam's width grow with the number of nodes (degree_of, beam_of).  Every valid row is indexed.  Defined cases: null, zero or non-finite vectors and rows with null ids take no part;
 a repeated (id, vector) counts once; vectors of another length than most rows' are compared only if
 lengths agree; ties go to the smaller id; with fewer candidates all are returned; an empty table gives no rows.
 """
@@ -24,18 +24,28 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 
-DEGREE, STARTS, WINDOW, DESCENTS = 20, 6, 160, 5
-BEAM, STEPS = 40, 6
+DEGREE, STARTS, WINDOW, CHANGES = 20, 6, 160, 0.001
+BEAM, ENTRIES = 100, 16
+
+
+def degree_of(nodes: int) -> int:
+    """20 up to 2,000 nodes, 30 at 10,000, 40 at 50,000."""
+    return DEGREE + round(4.3 * max(0.0, float(np.log2(max(nodes, 1) / 2000))))
+
+
+def beam_of(nodes: int) -> int:
+    """100 up to 500 nodes, 316 at 10,000, 432 at 50,000."""
+    return BEAM + round(50 * max(0.0, float(np.log2(max(nodes, 1) / 500))))
 
 
 def _vectors(col) -> np.ndarray:
-    """A matrix of float32 rows from an Arrow column of equally long binaries."""
+    """A matrix of double rows from an Arrow column of equally long binaries."""
     parts = col.to_pylist()
-    return np.frombuffer(b"".join(parts), np.float16).reshape(len(parts), -1).astype(np.float32) if parts else np.empty((0, 0), np.float32)
+    return np.frombuffer(b"".join(parts), np.float32).reshape(len(parts), -1).astype(np.float64) if parts else np.empty((0, 0))
 
 
 def nodes_of(rows: DataFrame, id_col: str, vec_col: str, keep: int) -> tuple[DataFrame, DataFrame]:
-    """(node, v): unit vectors as float16; and (node, id, original) with up to ``keep`` smallest ids of a node."""
+    """(node, v): unit vectors as float32; and (node, id, original) with up to ``keep`` smallest ids of a node."""
     good = rows.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("original"))
     good = good.where("size(original) > 0 and not exists(original, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(original, x -> x <> 0)")
     place = W.partitionBy("original").orderBy("id")
@@ -49,7 +59,7 @@ def nodes_of(rows: DataFrame, id_col: str, vec_col: str, keep: int) -> tuple[Dat
             for v in b.column(1).to_pylist():
                 x = np.array(v, np.float64)
                 x = x / np.abs(x).max()
-                out.append((x / np.sqrt((x * x).sum())).astype(np.float16).tobytes())
+                out.append((x / np.sqrt((x * x).sum())).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["node", "v"])
 
     # a node may stand for vectors of several ids only if these are equal, so its smallest id names it
@@ -63,11 +73,11 @@ def _codes(starts: int, seed: int = 3, bits: int = 20):
             groups: dict = {}
             nodes, raw = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, v in enumerate(raw):
-                groups.setdefault(len(v) // 2, []).append(i)
+                groups.setdefault(len(v) // 4, []).append(i)
             for d, at in groups.items():
                 if d not in planes:
                     planes[d] = np.random.default_rng(seed).normal(size=(starts, bits + 1, d)).astype(np.float32)
-                x = np.frombuffer(b"".join(raw[i] for i in at), np.float16).reshape(len(at), d).astype(np.float32)
+                x = np.frombuffer(b"".join(raw[i] for i in at), np.float32).reshape(len(at), d)
                 for r in range(starts):
                     y = x @ planes[d][r].T
                     code = ((y[:, :bits] > 0) << np.arange(bits)).sum(1).astype(np.float64) + (np.tanh(y[:, bits]) + 1) / 2
@@ -77,7 +87,7 @@ def _codes(starts: int, seed: int = 3, bits: int = 20):
 
 
 def _emit(a, b, s):
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float32())], names=["a", "b", "sim"])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.round(s, 12), pa.float64())], names=["a", "b", "sim"])
 
 
 def _window_task(degree: int):
@@ -86,7 +96,7 @@ def _window_task(degree: int):
             n = len(nodes)
             if n < 2:
                 return
-            x = np.frombuffer(b"".join(raw), np.float16).reshape(n, -1).astype(np.float32)
+            x = np.frombuffer(b"".join(raw), np.float32).reshape(n, -1).astype(np.float64)
             s = x @ x.T
             np.fill_diagonal(s, -2)
             k = min(degree, n - 1)
@@ -132,29 +142,30 @@ def _meet_task(batches):
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
         for n in np.unique(size[size > 1]):
             rows = np.flatnonzero(size == n)
-            for at in range(0, len(rows), 512):
-                idx = start[rows[at : at + 512]][:, None] + np.arange(n)
+            for at in range(0, len(rows), 256):
+                idx = start[rows[at : at + 256]][:, None] + np.arange(n)
                 x = vecs[idx]
                 s = x @ x.transpose(0, 2, 1)
                 s[:, np.arange(n), np.arange(n)] = -2
-                hit = np.nonzero(s > bar[idx][:, :, None] + 1e-4)
+                hit = np.nonzero(s > bar[idx][:, :, None] + 1e-12)  # no more than what rounding makes, so lists only get nearer
                 yield _emit(ids[idx[hit[0], hit[1]]], ids[idx[hit[0], hit[2]]], s[hit])
 
 
-def build_graph(vectors: DataFrame, degree: int = DEGREE, starts: int = STARTS, descents: int = DESCENTS) -> DataFrame:
-    sorted_ = vectors.mapInArrow(_codes(starts), "r int, d int, code double, node long, v binary").repartitionByRange("r", "d", "code", "node").sortWithinPartitions("r", "d", "code", "node")
-    graph = staged(nearest_of(sorted_.mapInArrow(_window_task(degree), "a long, b long, sim float"), degree), "graph")
+def build_graph(vectors: DataFrame, degree: int | None = None, starts: int = STARTS) -> DataFrame:
     total = vectors.count()
-    for _ in range(descents):
+    degree = degree or degree_of(total)
+    sorted_ = vectors.mapInArrow(_codes(starts), "r int, d int, code double, node long, v binary").repartitionByRange("r", "d", "code", "node").sortWithinPartitions("r", "d", "code", "node")
+    graph = staged(nearest_of(sorted_.mapInArrow(_window_task(degree), "a long, b long, sim double"), degree), "graph")
+    while total:
         pairs = pairs_of(graph)
         back = pairs.withColumn("nth", F.row_number().over(W.partitionBy("b").orderBy(F.desc("sim"), "a"))).where(F.col("nth") <= degree).select(F.col("b").alias("at"), F.col("a").alias("u"))
         meet = pairs.select(F.col("a").alias("at"), F.col("b").alias("u")).unionByName(back).distinct()
-        bars = graph.select(F.col("a").alias("u"), F.when(F.size("near") < degree, F.lit(-1.5)).otherwise(F.element_at("near", -1)["sim"]).cast("float").alias("bar"))
+        bars = graph.select(F.col("a").alias("u"), F.when(F.size("near") < degree, F.lit(-1.5)).otherwise(F.element_at("near", -1)["sim"]).cast("double").alias("bar"))
         members = meet.join(vectors.withColumnRenamed("node", "u").join(bars, "u"), "u")
         lists = members.groupBy("at").agg(F.collect_list(F.struct("u", "v", "bar")).alias("members")).select("members")  # at most 2 x degree
-        found = staged(lists.mapInArrow(_meet_task, "a long, b long, sim float").groupBy("a", "b").agg(F.max("sim").alias("sim")).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "found")
-        graph = staged(nearest_of(pairs.unionByName(found), degree), "graph")
-        if found.count() < 0.02 * total * degree:
+        found = staged(lists.mapInArrow(_meet_task, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim")).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "found")
+        graph = staged(nearest_of(pairs.unionByName(found), degree), "graph", release=True)
+        if pairs_of(graph).join(found, ["a", "b"], "left_semi").count() <= CHANGES * total * degree:
             break
     return graph
 
@@ -162,28 +173,28 @@ def build_graph(vectors: DataFrame, degree: int = DEGREE, starts: int = STARTS,
 def _cosine_task(batches):
     for b in batches:
         x, y = _vectors(b.column("qv")), _vectors(b.column("v"))
-        yield pa.RecordBatch.from_arrays([b.column("q"), b.column("c"), pa.array((x * y).sum(1).astype(np.float32), pa.float32()), pa.array([False] * b.num_rows)], names=["q", "c", "sim", "done"])
+        yield pa.RecordBatch.from_arrays([b.column("q"), b.column("c"), pa.array((x * y).sum(1), pa.float64()), pa.array([False] * b.num_rows)], names=["q", "c", "sim", "done"])
 
 
-def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, starts: DataFrame, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
+def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, starts: DataFrame, degree: int, beam: int) -> DataFrame:
     """(q, c, sim): the beams of queries (q, qv) after greedy search from the start nodes (q, c)."""
     edges = pairs_of(graph)
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    near = staged(nearest_of(both, 2 * DEGREE).select(F.col("a").alias("c"), F.transform("near", lambda x: x["b"]).alias("next")), "lists")
+    near = staged(nearest_of(both, 2 * degree).select(F.col("a").alias("c"), F.transform("near", lambda x: x["b"]).alias("next")), "lists")
     vecs = vectors.select(F.col("node").alias("c"), "v")
 
     def scored(pairs):
         full = pairs.join(vecs, "c").join(queries, "q").where("length(v) = length(qv)")
-        return full.mapInArrow(_cosine_task, "q long, c long, sim float, done boolean")
+        return full.mapInArrow(_cosine_task, "q long, c long, sim double, done boolean")
 
     def best(rows):
         return rows.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "c"))).where(F.col("nth") <= beam).drop("nth")
 
     state = staged(best(scored(starts.distinct())), "beam")
-    for _ in range(steps):
+    while True:  # a beam only gets nearer and a node in it is expanded once
         front = state.where("not done").select("q", "c")
         fresh = front.join(near, "c").select("q", F.explode("next").alias("c")).distinct().join(state.select("q", "c"), ["q", "c"], "left_anti")
-        state = staged(best(state.withColumn("done", F.lit(True)).unionByName(scored(fresh))), "beam")
+        state = staged(best(state.withColumn("done", F.lit(True)).unionByName(scored(fresh))), "beam", release=True)
         if not state.where("not done").limit(1).count():
             break
     return state.select("q", "c", "sim")
@@ -203,13 +214,17 @@ def _exact_task(batches):
 def neighbours(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", **how) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of every query row (``is_query`` over column id)."""
     vectors, ids = nodes_of(rows, id_col, vec_col, k + 1)
-    graph = build_graph(vectors, **how)
+    total = vectors.count()
+    degree, beam_width = how.pop("degree", None) or degree_of(total), how.pop("beam", None) or beam_of(total)
+    graph = build_graph(vectors, degree, **how)
     asked = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("original")).where(is_query).distinct()
     node = ids.select("node", "original").distinct()
     asked = staged(asked.join(node, "original").select("id", F.col("node").alias("q")), "asked")
     queries = staged(asked.select("q").distinct().join(vectors.select(F.col("node").alias("q"), F.col("v").alias("qv")), "q"), "queries")
     starts = queries.select("q", F.col("q").alias("c")).unionByName(queries.select("q").join(pairs_of(graph).select(F.col("a").alias("q"), F.col("b").alias("c")), "q"))
-    beam = search(graph, vectors, queries, starts)
+    spread = vectors.select(F.col("node").alias("c")).orderBy(F.xxhash64("c"), "c").limit(ENTRIES)
+    starts = starts.unionByName(queries.select("q").crossJoin(F.broadcast(spread)))
+    beam = search(graph, vectors, queries, starts, degree, max(beam_width, k + 1))
     one = ids.where("node = id").select("node", "original").dropDuplicates(["node"])
     exact = beam.select("q", "c").join(one.select(F.col("node").alias("q"), F.col("original").alias("x")), "q").join(one.select(F.col("node").alias("c"), F.col("original").alias("y")), "c").select("q", "c", "x", "y").mapInArrow(_exact_task, "q long, c long, score double")
     found = asked.join(exact, "q").join(ids.select(F.col("node").alias("c"), F.col("id").alias("vec_id")), "c").where("vec_id <> id")
