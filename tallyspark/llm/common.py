@@ -43,6 +43,11 @@ def staged(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bounded(df: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """df (staged, of narrow rows) with a broadcast hint if it has at most ``most`` rows; else joins shuffle it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def text_of(col: str | Column) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.coalesce(c, F.lit(""))

@@ -3,17 +3,25 @@
 1. Equal shingle sets are one node (64-bit hash of the set and its size), so copies cost one row each.
 2. Where two sets have J >= t, their symmetric difference is at most (1-t)/(1+t) of the sum of the sizes.  A
    set is cut by token hash into more parts than that, so linked sets share a part (not an empty one) whole.  Sets emit the hashes
-   of their parts for their own size class and the next one.
+   of their parts for their own size class and the next one; these meet in slots of their class, packed.
 3. Nodes that share part hashes are dealt to groups of like documents (smallest shared part hash, split by hash
-   to at most BLOCK members).  The matrix holds, for each part hash, the groups it occurs in; groups that meet in
-   it often enough are candidates.  Opening a pair of groups bounds each query's overlap by the other group's token union
-   before it looks at members.
-4. First all groups of a part hash meet one hub group; components of the links follow.  Only nodes outside
-   their part hash's main component then meet all other groups, so families of near copies do not cost
+   to about BLOCK members).  The matrix holds, for each part hash, the groups it occurs in.  A group and a query that
+   meet in it often enough are a candidate.
+4. A group stores the union of its members' tokens, as a bitmap of hashed tokens (a superset, so what it bounds
+   holds).  A query's overlap is bounded by the union and then by the members' own bitmaps; only groups that
+   qualify are opened, and their members' tokens are compared with the query's, which is sent to each group once.
+   Groups with many queries are salted.
+5. First all groups of a part hash meet one hub group; components of the links follow.  Only nodes outside
+   their part hash's main component then meet the other groups, so families of near copies do not cost
    the square of their size unless they are hardly linked at all.
 
+Nodes and tokens are 64-bit hashes and part hashes 32 bits inside a slot; nodes and tokens that agree are taken as
+equal, part hashes only propose candidates.  Documents are keyed by a 64-bit hash of id and text.
+
 Defined cases: null or empty text has no shingles and is linked with nothing; fewer than n words are one
-shingle; ties go to the smaller doc_id; repeated rows are copies; an empty table gives an empty result.
+shingle; ties go to the smaller doc_id; repeated rows are copies; an empty table gives an empty result; texts of any
+length are read whole; extra columns are ignored by ``component_ids`` and kept by ``keep_one`` (internal names start
+with ``_nj_``), which keeps any one of rows that agree in id and text.
 """
 
 from __future__ import annotations
@@ -22,14 +30,14 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of_bytes, components, hashed_words, mix64, partitions_for, shingle_hashes, staged, table
+from .common import batches_of_bytes, bounded, components, hashed_words, mix64, partitions_for, shingle_hashes, staged, table
 
 BLOCK = 64
-PAIR = np.dtype([("sig", "<u8"), ("node", "<i8")])
+#: Tokens of a group's members together, and queries that meet a group in one task, about.
+GROUP_TOKENS, QUERIES = 1 << 19, 2000
 
 
 class Parts:
@@ -60,9 +68,9 @@ class Parts:
         m = self.differ(level) + self.need(level)
         return m + int(1.5 * m * np.exp(-float(self.t) * self.low[level] / m)) + 4
 
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        """Part hashes of a sorted token set, for its class and the next; the three upper bits say how many of
-        them linked sets share at least.  A set with few empty parts need not emit these."""
+    def signatures(self, tokens: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(class, part hashes) of a sorted token set, for its class and the next.  A set with few empty parts
+        need not emit these."""
         own = self.level(len(tokens))
         out = []
         for level in (own, own + 1):
@@ -74,29 +82,25 @@ class Parts:
             at = np.concatenate([[0], np.searchsorted(tokens, cut), [len(tokens)]])
             sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(tokens ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
             part = mix64(sums[at[1:]] - sums[at[:-1]] + mix64(np.arange(m, dtype=np.uint64) + np.uint64(level << 32)))
-            part = part >> np.uint64(3) | np.uint64(self.need(level) << 61)
             full = at[1:] > at[:-1]
-            out.append(part[full] if m - int(full.sum()) <= m - d - self.need(level) else part)
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
-def pack(sig: np.ndarray, node: np.ndarray) -> bytes:
-    """Part hashes (40 bits, the slot is known) with numbers into a table of nodes; few bytes a record."""
-    nodes, at = np.unique(node, return_inverse=True)
-    wide = np.uint8(2 if len(nodes) < 1 << 16 else 4)
-    high = (sig >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    return b"".join([bytes([wide]), np.array([len(sig), len(nodes)], "<u4").tobytes(), nodes.astype("<i8").tobytes(), at.astype(f"<u{wide}").tobytes(), np.ascontiguousarray(high).tobytes()])
-
-
-def unpack(raw: bytes) -> np.ndarray:
-    wide, (n, k) = raw[0], np.frombuffer(raw, "<u4", 2, 1)
-    nodes = np.frombuffer(raw, "<i8", k, 9)
-    at = 9 + 8 * int(k)
-    out, wide8 = np.empty(n, PAIR), np.zeros((n, 8), np.uint8)
-    out["node"] = nodes[np.frombuffer(raw, f"<u{wide}", n, at)]
-    wide8[:, :5] = np.frombuffer(raw, np.uint8, 5 * int(n), at + wide * int(n)).reshape(-1, 5)
-    out["sig"] = wide8.view("<u8").ravel()
-    return out
+            out.append((level, part[full] if m - int(full.sum()) <= m - d - self.need(level) else part))
+        return out
+
+
+class Slots:
+    """Slots of part hashes: every class has its own, in number as its share of all tokens."""
+
+    def __init__(self, parts: Parts, tokens: dict[int, int], total: int):
+        weight = {c: tokens.get(c, 0) + tokens.get(c - 1, 0) for c in {x + y for x in tokens for y in (0, 1)}}
+        whole = max(1, sum(weight.values()))
+        self.base, self.count, self.need, at = {}, {}, [], 0
+        for c in sorted(weight):
+            self.base[c], self.count[c] = at, max(1, round(total * weight[c] / whole))
+            at += self.count[c]
+            self.need += [parts.need(c)] * self.count[c]
+
+    def of(self, level: int, part: np.ndarray) -> np.ndarray:
+        return self.base[level] + ((part >> np.uint64(32)) % np.uint64(self.count[level])).astype(np.int64)
 
 
 def token_sets(texts: list, k: int):
@@ -113,218 +117,426 @@ def node_of(tokens: np.ndarray) -> int:
     return int(mix64(tokens.sum(dtype=np.uint64, keepdims=True) + once + np.uint64(len(tokens))).astype(np.int64)[0])
 
 
-def _node_task(k: int):
-    """One row a document: size of its set and its node."""
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Hashed tokens as a bitmap of 64-bit words, about four bits a token."""
+    words = max(1, 1 << (4 * len(tokens) - 1).bit_length() >> 6)
+    bit = tokens & np.uint64(64 * words - 1)
+    out = np.zeros(words, np.uint64)
+    np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap (last axis) with fewer words, as if it had been made so."""
+    return np.bitwise_or.reduce(bits.reshape(*bits.shape[:-1], -1, words), axis=-2)
+
+
+def _batch(schema: dict, *cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.values())], names=list(schema))
+
+
+NODES = {"rk": pa.int64(), "doc_id": pa.int64(), "n": pa.int64(), "level": pa.int32(), "node": pa.int64(), "bits": pa.binary()}
+
+
+def _node_task(k: int, parts: Parts):
+    """One row a document: size and class of its set, its node, and its bitmap."""
 
     def run(batches):
         for b in batches:
-            ns, nodes = [], []
+            ns, levels, nodes, bits = [], [], [], []
             for tokens in token_sets(b.column(2).to_pylist(), k):
-                ns.append(len(tokens))
-                nodes.append(node_of(tokens) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64())], names=["rk", "doc_id", "n", "node"])
+                n = len(tokens)
+                ns.append(n)
+                levels.append(parts.level(n) if n else None)
+                nodes.append(node_of(tokens) if n else None)
+                bits.append(bitmap(tokens).tobytes() if n else None)
+            yield _batch(NODES, b.column(0), b.column(1), ns, levels, nodes, bits)
 
     return run
 
 
-def _signature_task(k: int, parts: Parts, slots: int, most: int = 1_500_000):
-    """Part hashes of the distinct sets of a task, packed by slot."""
+def _signature_task(k: int, parts: Parts, slots: Slots, most: int = 1_500_000):
+    """Part hashes of the distinct sets of a task, packed by slot: a table of nodes, how many each has, the hashes."""
 
-    def flush(sigs, nodes):
-        sig, node = np.concatenate(sigs), np.repeat(np.array(nodes, np.int64), [len(s) for s in sigs])
-        slot = ((sig & np.uint64(0xFFFFFF)) % np.uint64(slots)).astype(np.int64)
+    def flush(slot, part, at, nodes):
+        slot, part, at, nodes = np.concatenate(slot), np.concatenate(part), np.concatenate(at), np.array(nodes, np.int64)
         order = np.argsort(slot, kind="stable")
-        sig, node, slot = sig[order], node[order], slot[order]
+        slot, part, at = slot[order], part[order].astype("<u4"), at[order]
         cut = np.flatnonzero(np.diff(slot, prepend=-1))
-        return pa.RecordBatch.from_arrays([pa.array(slot[cut].astype(np.int32)), pa.array([pack(sig[a:z], node[a:z]) for a, z in zip(cut, [*cut[1:], len(sig)])], pa.binary())], names=["slot", "payload"])
+        out = []
+        for a, z in zip(cut, [*cut[1:], len(slot)]):
+            first = np.flatnonzero(np.diff(at[a:z], prepend=-1))
+            many = np.diff([*first, z - a]).astype("<u4")
+            out.append(np.array([len(first)], "<u4").tobytes() + nodes[at[a:z][first]].astype("<i8").tobytes() + many.tobytes() + part[a:z].tobytes())
+        return _batch({"slot": pa.int32(), "payload": pa.binary()}, slot[cut], out)
 
     def run(batches):
-        seen, sigs, nodes, size = set(), [], [], 0
+        seen, slot, part, at, nodes, size = set(), [], [], [], [], 0
         for b in batches:
             for tokens in token_sets(b.column(0).to_pylist(), k):
                 if not len(tokens) or (node := node_of(tokens)) in seen:
                     continue
                 seen.add(node)
-                s = parts.signatures(tokens)
-                if len(s):
-                    sigs.append(s)
-                    nodes.append(node)
-                    size += len(s)
+                for level, p in parts.signatures(tokens):
+                    slot.append(slots.of(level, p))
+                    part.append(p)
+                    at.append(np.full(len(p), len(nodes), np.int32))
+                    size += len(p)
+                nodes.append(node)
                 if size > most:
-                    yield flush(sigs, nodes)
-                    sigs, nodes, size = [], [], 0
-        if sigs:
-            yield flush(sigs, nodes)
+                    yield flush(slot, part, at, nodes)
+                    slot, part, at, nodes, size = [], [], [], [], 0
+        if size:
+            yield flush(slot, part, at, nodes)
 
     return run
 
 
-def _shared_task(batches):
-    """Part hashes that more than one node has: (sig, node)."""
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    k = int(np.frombuffer(raw, "<u4", 1)[0])
+    nodes, many = np.frombuffer(raw, "<i8", k, 4), np.frombuffer(raw, "<u4", k, 4 + 8 * k)
+    return np.frombuffer(raw, "<u4", offset=4 + 12 * k), np.repeat(nodes, many)
 
-    def shared(slot, parts):
-        rec = np.unique(np.concatenate([unpack(p) for p in parts]))
-        new = np.ones(len(rec), bool)
-        new[1:] = rec["sig"][1:] != rec["sig"][:-1]
-        ids = np.cumsum(new) - 1
-        rec = rec[np.bincount(ids)[ids] > 1]
-        return pa.RecordBatch.from_arrays([pa.array((rec["sig"] << np.uint64(20) | np.uint64(slot)).astype(np.int64)), pa.array(rec["node"])], names=["sig", "node"])
 
-    now, have = None, []
+def _by_slot(batches, *names):
+    """(slot, rows of the named columns) of sorted rows, slot by slot, in runs of one batch."""
     for b in batches:
-        for s, p in zip(b.column("slot").to_pylist(), b.column("payload").to_pylist()):
-            if s != now:
-                if have:
-                    yield shared(now, have)
-                now, have = s, []
-            have.append(p)
-    if have:
-        yield shared(now, have)
+        slot = b.column("slot").to_numpy()
+        cut = np.flatnonzero(np.diff(slot, prepend=-1))
+        cols = [b.column(n) for n in names]
+        for a, z in zip(cut, [*cut[1:], len(slot)]):
+            yield int(slot[a]), [c.slice(a, z - a) for c in cols]
+
+
+SHARED = {"slot": pa.int32(), "node": pa.int64(), "n": pa.int64(), "need": pa.int32(), "home": pa.int64(), "sigs": pa.binary()}
+
+
+def _shared_task(need: list[int], most: int = 2_000_000):
+    """Part hashes that more than one node has, packed by slot and node.  What is kept in a task are the distinct hashes
+    of a slot: the rows of a hash that many nodes have pass through."""
+
+    class Meeting:
+        def __init__(self, slot):
+            self.slot, self.have, self.size, self.open = slot, [], 0, np.empty(0, np.uint32)
+
+        def add(self, raw):
+            self.have.append(_unpacked(raw))
+            self.size += len(self.have[-1][0])
+
+        def compact(self, last):
+            sig, node = (np.concatenate(x) for x in zip(*self.have))
+            order = np.lexsort((node, sig))
+            sig, node = sig[order], node[order]
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+            sig, node = sig[new], node[new]
+            first = np.ones(len(sig), bool)
+            first[1:] = sig[1:] != sig[:-1]
+            ids = np.cumsum(first) - 1
+            shared = np.bincount(ids)[ids] > 1
+            if len(self.open):
+                shared |= self.open[np.minimum(np.searchsorted(self.open, sig), len(self.open) - 1)] == sig
+            if not last:
+                self.open = np.union1d(self.open, sig[shared])
+                self.have = [(sig[~shared], node[~shared])]
+                self.size = 0
+            sig, node = sig[shared], node[shared]
+            if not len(sig):
+                return
+            order = np.lexsort((sig, node))
+            sig, node = sig[order].astype("<u4"), node[order]
+            cut = np.flatnonzero(np.diff(node, prepend=node[0] - 1))
+            edge = [*cut[1:].tolist(), len(node)]
+            m = len(cut)
+            home = np.int64(self.slot << 32) + sig[cut].astype(np.int64)
+            yield _batch(SHARED, np.full(m, self.slot), node[cut], np.diff([*cut, len(node)]), np.full(m, need[self.slot]), home, [sig[a:z].tobytes() for a, z in zip(cut.tolist(), edge)])
 
+    def run(batches):
+        now = None
+        for slot, (payloads,) in _by_slot(batches, "payload"):
+            if now is None or slot != now.slot:
+                if now is not None:
+                    yield from now.compact(True)
+                now = Meeting(slot)
+            for raw in payloads.to_pylist():
+                now.add(raw)
+                if now.size > most:
+                    yield from now.compact(False)
+        if now is not None:
+            yield from now.compact(True)
 
-def needed() -> Column:
-    """What a part hash says about the number of parts that linked sets share."""
-    return F.shiftrightunsigned("sig", 57)
+    return run
 
 
-def with_partners(shared: DataFrame) -> DataFrame:
-    """Rows of nodes with as many shared parts as a link takes, of part hashes that two of them have."""
-    enough = shared.groupBy("node").agg(F.count("*").alias("n"), F.min(needed()).alias("need")).where("n >= need").select("node")
-    kept = shared.join(enough, "node", "left_semi")
-    return kept.join(kept.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "sig", "left_semi")
+def blocks_of(shared: DataFrame, rows: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(node, block, n, bits, rk): nodes that share as many parts as a link takes; those with the same smallest shared
+    part hash are together, split by node hash to about ``size`` members and GROUP_TOKENS tokens."""
+    home = shared.groupBy("node").agg(F.sum("n").alias("parts"), F.min("need").alias("need"), F.min("home").alias("home")).where("parts >= need").select("node", "home")
+    known = rows.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("rk").alias("rk"))
+    home = staged(home.join(known, "node"), "homes")
+    many = home.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / size, F.sum("n") / GROUP_TOKENS)).alias("many"))
+    return home.join(many, "home").select("node", F.xxhash64("home", F.pmod("node", "many")).alias("block"), "n", "bits", "rk")
 
 
-def met(pairs: DataFrame) -> DataFrame:
-    """(x, y) of pairs of groups (sig, x, y) that share half the parts a link takes.  Half, because of two
-    linked nodes only one need stand outside the main component of each part they share."""
-    return pairs.groupBy("x", "y").agg(F.count_distinct("sig").alias("n"), F.min(needed()).alias("need")).where("2 * n >= need").select("x", "y")
+PAIRS = {"x": pa.int64(), "y": pa.int64(), "n": pa.int64(), "need": pa.int32()}
 
 
-def blocks_of(shared: DataFrame, salt: int = 0, size: int = BLOCK) -> DataFrame:
-    """(node, block): nodes with the same smallest shared part hash, split by node hash to about ``size``."""
-    home = shared.groupBy("node").agg(F.min("sig").alias("home"))
-    many = home.groupBy("home").agg(F.count("*").alias("many"))
-    return home.join(many, "home").select("node", F.xxhash64(F.lit(salt), "home", F.pmod("node", F.ceil(F.col("many") / size))).alias("block"))
+def _listed(sigs) -> tuple[np.ndarray, np.ndarray]:
+    """Part hashes of the rows, and how many each row has."""
+    raw = sigs.to_pylist()
+    return np.frombuffer(b"".join(raw), "<u4"), np.array([len(r) // 4 for r in raw])
 
 
-def _linked(a: list[np.ndarray], b: list[np.ndarray], t: Fraction, same: bool, roots: dict, an, bn) -> None:
-    """Joins roots of linked members of two opened groups."""
+def _counted(x, y, slot, need):
+    """Rows of PAIRS for the distinct (x, y)."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    cut = np.flatnonzero(new)
+    return _batch(PAIRS, x[cut], y[cut], np.diff([*cut, len(x)]), np.full(len(cut), need[slot]))
 
-    def root(x):
-        while roots.setdefault(x, x) != x:
-            roots[x] = x = roots[roots[x]]
-        return x
 
-    num, den = t.numerator, t.denominator
-    union = np.unique(np.concatenate(b))
-    nb = np.array([len(x) for x in b])
-    matrix = None
-    for i, q in enumerate(a):
-        at = np.searchsorted(union, q)
-        at[at == len(union)] = 0
-        at = at[union[at] == q]
-        if den * len(at) < num * len(q):  # the group's union cannot hold a linked set
-            continue
-        if matrix is None:
-            matrix = np.zeros((len(union), len(b)), np.uint8)
-            for j, x in enumerate(b):
-                matrix[np.searchsorted(union, x), j] = 1
-        both = matrix[at].sum(0, dtype=np.int64)
-        for j in np.flatnonzero(den * both >= num * (len(q) + nb - both)):
-            if not (same and j <= i):
-                x, y = root(an[i]), root(bn[j])
-                if x != y:
-                    roots[max(x, y)] = min(x, y)
+def _distinct(*cols):
+    """Distinct rows of the columns, sorted by the first, the second, ..."""
+    order = np.lexsort(cols[::-1])
+    cols = [c[order] for c in cols]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    return [c[new] for c in cols]
 
 
-def _open_task(t: Fraction):
+def _hub_task(need: list[int]):
+    """Of rows (slot, block, sigs) by slot and block: every block with the first block of each of its part hashes."""
+
     def run(batches):
-        for b in batches:
-            ends: list[tuple[int, int]] = []
-            roots: dict[int, int] = {}
-            for x, y, xn, xs, xt, yn, ys, yt in zip(*(c.to_pylist() for c in b.columns)):
-                def sets(n, s, tok):
-                    s = np.frombuffer(s, np.uint32)
-                    return np.split(np.frombuffer(tok, np.uint64), np.cumsum(s)[:-1])
+        now, known, hub = None, None, None
+        for slot, (block, sigs) in _by_slot(batches, "block", "sigs"):
+            if slot != now:
+                now, known, hub = slot, np.empty(0, np.uint32), np.empty(0, np.int64)
+            sig, many = _listed(sigs)
+            sig, block = _distinct(sig, np.repeat(block.to_numpy(), many))
+            new = np.ones(len(sig), bool)
+            new[1:] = sig[1:] != sig[:-1]
+            fresh = new & ~np.isin(sig, known)
+            known, hub = np.concatenate([known, sig[fresh]]), np.concatenate([hub, block[fresh]])
+            order = np.argsort(known)
+            known, hub = known[order], hub[order]
+            yield _counted(block, hub[np.searchsorted(known, sig)], slot, need)
+
+    return run
+
 
-                _linked(sets(xn, xs, xt), sets(yn, ys, yt), t, x == y, roots, np.frombuffer(xn, np.int64).tolist(), np.frombuffer(yn, np.int64).tolist())
-            ends += [(v, r) for v, r in roots.items() if v != r]
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in ends], pa.int64()), pa.array([e[1] for e in ends], pa.int64())], names=["a", "b"])
+def _late_task(need: list[int], most: int = 1 << 22):
+    """Of rows (slot, root, node, block, sigs) by slot: nodes outside the main component of a part hash, with the
+    blocks that hold nodes of other components there."""
+
+    def flush(slot, parts):
+        sig, root, node, block = (np.concatenate(c) for c in zip(*parts))
+        s, r = _distinct(sig, root)
+        mixed = np.unique(s[1:][s[1:] == s[:-1]])  # hashes with more than one component
+        keep = np.isin(sig, mixed)
+        sig, root, node, block = sig[keep], root[keep], node[keep], block[keep]
+        if not len(sig):
+            return
+        order = np.lexsort((root, sig))
+        sig, root, node, block = sig[order], root[order], node[order], block[order]
+        new_s = np.ones(len(sig), bool)
+        new_s[1:] = sig[1:] != sig[:-1]
+        new_r = new_s.copy()
+        new_r[1:] |= root[1:] != root[:-1]
+        r_of, s_of = np.cumsum(new_r) - 1, np.cumsum(new_s) - 1
+        size = np.bincount(r_of)
+        first = np.flatnonzero(new_r)
+        rank = np.lexsort((root[first], size, s_of[first]))  # the last of each hash is its main component
+        main = np.zeros(len(first), bool)
+        main[rank[np.append(np.diff(s_of[first][rank]) > 0, True)]] = True
+        alone = np.flatnonzero(~main[r_of])
+        ts, tb, tr = _distinct(sig, block, root)
+        lo, hi = np.searchsorted(ts, sig[alone], "left"), np.searchsorted(ts, sig[alone], "right")
+        total = np.cumsum(hi - lo)
+        a = 0
+        while a < len(alone):
+            z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+            many = (hi - lo)[a:z]
+            to = np.repeat(lo[a:z], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            q = np.repeat(alone[a:z], many)
+            other = tr[to] != root[q]
+            _, x, y = _distinct(sig[q[other]], node[q[other]], tb[to[other]])
+            if len(x):
+                yield _counted(x, y, slot, need)
+            a = z
+
+    def run(batches):
+        now, parts = None, []
+        for slot, (root, node, block, sigs) in _by_slot(batches, "root", "node", "block", "sigs"):
+            if slot != now:
+                if parts:
+                    yield from flush(now, parts)
+                now, parts = slot, []
+            sig, many = _listed(sigs)
+            parts.append([sig, *(np.repeat(c.to_numpy(), many) for c in (root, node, block))])
+        if parts:
+            yield from flush(now, parts)
 
     return run
 
 
-def open_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, t: Fraction) -> DataFrame:
-    """Links (a, b) found by opening candidate pairs of groups (x, y)."""
-    full = pairs.join(left.toDF("x", "xn", "xs", "xt"), "x").join(right.toDF("y", "yn", "ys", "yt"), "y")
-    return full.select("x", "y", "xn", "xs", "xt", "yn", "ys", "yt").mapInArrow(_open_task(t), "a long, b long")
+def met(pairs: DataFrame) -> DataFrame:
+    """(x, y) that share half the parts a link takes.  Half, because of two linked nodes only one need stand
+    outside the main component of each part they share."""
+    return pairs.groupBy("x", "y").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("2 * n >= need").select("x", "y")
 
 
-def groups_of(blocks: DataFrame, tokens: DataFrame) -> DataFrame:
-    """A row for each group: node ids, set sizes, tokens, packed (a group has about BLOCK members)."""
+MEETING = "y long, salt long, node long, asks boolean, n long, data binary"
 
-    def gather(key, tab):
-        tokens = dict(zip(tab.column("node").to_pylist(), tab.column("tokens").to_pylist()))  # equal rows of a text give it twice
-        sets = [np.frombuffer(x, np.uint64) for x in tokens.values()]
-        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([np.array(list(tokens), np.int64).tobytes()], pa.binary()), pa.array([np.array([len(s) for s in sets], np.uint32).tobytes()], pa.binary()), pa.array([np.concatenate(sets).tobytes()], pa.binary())], names=["block", "nodes", "sizes", "tokens"])
 
-    return blocks.join(tokens, "node").groupBy("block").applyInArrow(gather, "block long, nodes binary, sizes binary, tokens binary")
+def meetings(found: DataFrame, blocks: DataFrame, data: DataFrame) -> DataFrame:
+    """Rows of MEETING: the members of each group y of ``found`` (q, y) and then its queries, with their data
+    (node, n, data).  A group with many queries meets them in several places."""
+    salts = found.groupBy("y").agg(F.ceil(F.count("*") / QUERIES).alias("salts"))
+    asks = found.join(salts, "y").select("y", F.pmod(F.xxhash64("q"), "salts").alias("salt"), F.col("q").alias("node"), F.lit(True).alias("asks"))
+    held = salts.select("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).join(blocks.select(F.col("block").alias("y"), "node"), "y").select("y", "salt", "node", F.lit(False).alias("asks"))
+    rows = held.unionByName(asks).join(data, "node").select("y", "salt", "node", "asks", "n", "data")
+    return rows.repartition("y", "salt").sortWithinPartitions("y", "salt", "asks")
 
 
-def _member_task(batches):
-    """Groups back to (node, tokens)."""
+def _groups(batches):
+    """(what a new group's members hold, or a query) in order: ("group", nodes, ns, data) and ("ask", node, n, data)."""
+    now, members, opened = None, {}, False
     for b in batches:
-        nodes, out = [], []
-        for n, s, t in zip(*(b.column(c).to_pylist() for c in ("nodes", "sizes", "tokens"))):
-            nodes += np.frombuffer(n, np.int64).tolist()
-            out += [x.tobytes() for x in np.split(np.frombuffer(t, np.uint64), np.cumsum(np.frombuffer(s, np.uint32))[:-1])]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], names=["node", "tokens"])
+        for y, salt, node, asks, n, data in zip(*(b.column(c).to_pylist() for c in ("y", "salt", "node", "asks", "n", "data"))):
+            if (y, salt) != now:
+                now, members, opened = (y, salt), {}, False
+            if not asks:
+                members[node] = (n, data)
+                continue
+            if not opened and members:
+                opened = True
+                yield "group", list(members), np.array([m[0] for m in members.values()]), (y, [np.frombuffer(m[1], np.uint64) for m in members.values()])
+            if members:
+                yield "ask", node, n, np.frombuffer(data, np.uint64)
+
+
+def _bound_task(t: Fraction):
+    """(q, y) of queries that the group's union and one of its members' bitmaps leave possible."""
+    num, den = t.numerator, t.denominator
+
+    def run(batches):
+        out_q, out_y = [], []
+        for what, node, n, data in _groups(batches):
+            if what == "group":
+                y, nodes, ns, least, by_width = data[0], np.array(node), n, min(map(len, data[1])), {}
+                every = np.array([folded(x, least) for x in data[1]])
+                continue
+            width = min(least, len(data))
+            if width not in by_width:
+                held = folded(every, width)
+                by_width[width] = held, np.bitwise_or.reduce(held, axis=0)
+            held, union = by_width[width]
+            mine = folded(data, width)
+            if den * (n - int(np.bitwise_count(mine & ~union).sum())) < num * n:
+                continue
+            both = np.minimum(n - np.bitwise_count(mine & ~held).sum(1).astype(np.int64), ns - np.bitwise_count(held & ~mine).sum(1).astype(np.int64))
+            if ((den * both >= num * (n + ns - both)) & (nodes != node)).any():
+                out_q.append(node)
+                out_y.append(y)
+            if len(out_q) >= 10_000:
+                yield _batch({"q": pa.int64(), "y": pa.int64()}, out_q, out_y)
+                out_q, out_y = [], []
+        yield _batch({"q": pa.int64(), "y": pa.int64()}, out_q, out_y)
+
+    return run
+
+
+def _open_task(t: Fraction):
+    """Links between opened groups and their queries: (node, smallest node it hangs together with there)."""
+    num, den = t.numerator, t.denominator
+
+    def ends(roots):
+        def root(x):
+            while roots[x] != x:
+                x = roots[x]
+            return x
+
+        links = [(v, root(v)) for v in roots]
+        links = [x for x in links if x[0] != x[1]]
+        return _batch({"a": pa.int64(), "b": pa.int64()}, [x[0] for x in links], [x[1] for x in links])
+
+    def run(batches):
+        roots: dict[int, int] = {}
+
+        def root(x):
+            while roots.setdefault(x, x) != x:
+                roots[x] = x = roots[roots[x]]
+            return x
+
+        for what, node, n, data in _groups(batches):
+            if what == "group":
+                if roots:
+                    yield ends(roots)
+                    roots.clear()
+                nodes, ns = node, n
+                union = np.unique(np.concatenate(data[1]))
+                matrix = np.zeros((len(union), len(nodes)), np.uint8)
+                for j, x in enumerate(data[1]):
+                    matrix[np.searchsorted(union, x), j] = 1
+                continue
+            at = np.minimum(np.searchsorted(union, data), len(union) - 1)
+            both = matrix[at[union[at] == data]].sum(0, dtype=np.int64)
+            for j in np.flatnonzero(den * both >= num * (n + ns - both)):
+                if nodes[j] != node and (x := root(node)) != (y := root(nodes[j])):
+                    roots[max(x, y)] = min(x, y)
+        yield ends(roots)
+
+    return run
 
 
 def _token_task(k: int):
     def run(batches):
+        seen = set()
         for b in batches:
-            nodes, out = [], []
+            nodes, ns, out = [], [], []
             for node, tokens in zip(b.column(0).to_pylist(), token_sets(b.column(1).to_pylist(), k)):
-                if len(tokens) and node_of(tokens) == node:
+                if len(tokens) and node not in seen and node_of(tokens) == node:
+                    seen.add(node)
                     nodes.append(node)
+                    ns.append(len(tokens))
                     out.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], names=["node", "tokens"])
+            yield _batch({"node": pa.int64(), "n": pa.int64(), "data": pa.binary()}, nodes, ns, out)
 
     return run
 
 
+def links_of(found: DataFrame, blocks: DataFrame, keyed: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """Links (a, b) among candidates (q, y): bounded by bitmaps, the rest opened."""
+    left = staged(meetings(found, blocks, blocks.select("node", "n", F.col("bits").alias("data"))).mapInArrow(_bound_task(t), "q long, y long"), "qualified")
+    wanted = left.select(F.col("q").alias("node")).unionByName(left.select("y").distinct().join(blocks.select(F.col("block").alias("y"), "node"), "y").select("node")).distinct()
+    wanted = staged(wanted.join(blocks.select("node", "rk"), "node").select("rk", "node"), "wanted")
+    tokens = staged(keyed.join(bounded(wanted), "rk").select("node", "text").mapInArrow(_token_task(k), "node long, n long, data binary"), "tokens")
+    return staged(meetings(left, blocks, tokens).mapInArrow(_open_task(t), "a long, b long").distinct(), "links", release=True)
+
+
 def linked_documents(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rk, doc_id, n, node, root): one row per document; rk is a hash of id and text, root the same for all
     documents of a component, null without shingles."""
-    parts, slots = Parts(t), 4 * partitions_for(docs)
+    parts = Parts(t)
     keyed = docs.select(F.xxhash64(F.lit(23), id_col, text_col).alias("rk"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = staged(keyed.mapInArrow(_node_task(k), "rk long, doc_id long, n long, node long"), "nodes")
+    rows = staged(keyed.mapInArrow(_node_task(k, parts), "rk long, doc_id long, n long, level int, node long, bits binary"), "nodes")
+    sizes = rows.where("node is not null").groupBy("level").agg(F.sum("n").alias("n")).collect()  # one row for each size class
+    slots = Slots(parts, {r.level: r.n for r in sizes}, partitions_for(docs))
     packed = keyed.select("text").mapInArrow(_signature_task(k, parts, slots), "slot int, payload binary")
-    shared = staged(packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(_shared_task, "sig long, node long"), "shared", release=True)
-    shared = staged(with_partners(shared), "partners")
-    blocks = staged(blocks_of(shared), "blocks")
-    # one text of each node that shares a part
-    one = rows.where("node is not null").groupBy("node").agg(F.min("rk").alias("rk")).join(blocks.select("node"), "node", "left_semi")
-    tokens = keyed.select("rk", "text").join(one, "rk").select("node", "text").mapInArrow(_token_task(k), "node long, tokens binary")
-    groups = staged(groups_of(blocks, tokens), "groups", release=True)
-    matrix = staged(shared.join(blocks, "node").select("sig", "block").distinct(), "matrix")
-    hub = matrix.groupBy("sig").agg(F.min("block").alias("y"))
-    pairs = met(matrix.join(hub, "sig").select("sig", F.col("block").alias("x"), "y"))
-    first = staged(open_pairs(pairs, groups, groups, t).distinct(), "links", release=True)
+    shared = staged(packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(_shared_task(slots.need), "slot int, node long, n long, need int, home long, sigs binary"), "shared", release=True)
+    blocks = staged(blocks_of(shared, rows), "blocks")
+    placed = shared.select("slot", "node", "sigs").join(blocks.select("node", "block"), "node")
+    hubs = placed.select("slot", "block", "sigs").repartition("slot").sortWithinPartitions("slot", "block").mapInArrow(_hub_task(slots.need), "x long, y long, n long, need int")
+    found = met(hubs).join(blocks.select(F.col("block").alias("x"), F.col("node").alias("q")), "x").select("q", "y")
+    first = links_of(found, blocks, keyed, k, t)
     roots = components(first)
-    # what does not hang together with the main component of a part hash meets all its other groups
-    placed = shared.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    by_root = placed.groupBy("sig", "root").agg(F.count("*").alias("many"))
-    main = by_root.groupBy("sig").agg(F.max_by("root", F.struct("many", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    alone = staged(placed.join(main, "sig").where("root <> main").select("sig", "node"), "alone")
-    late = staged(blocks_of(alone, 1), "late")
-    rows_x = alone.join(late, "node").select("sig", F.col("block").alias("x")).distinct()
-    again = rows_x.join(matrix.withColumnRenamed("block", "y"), "sig")
-    again = met(again)
-    second = open_pairs(again, groups_of(late, groups.mapInArrow(_member_task, "node long, tokens binary")), groups, t)
-    links = staged(first.unionByName(second).distinct(), "links")
-    roots = components(links)
+    # what does not hang together with the main component of a part hash meets the groups of all the others
+    late = placed.join(roots, "node", "left").select("slot", F.coalesce("root", "node").alias("root"), "node", "block", "sigs").repartition("slot").sortWithinPartitions("slot").mapInArrow(_late_task(slots.need), "x long, y long, n long, need int")
+    second = links_of(met(late).select(F.col("x").alias("q"), "y"), blocks, keyed, k, t)
+    roots = components(first.unionByName(second))
     return rows.join(roots, "node", "left").select("rk", "doc_id", "n", "node", F.coalesce("root", "node").alias("root"))
 
 
@@ -337,12 +549,16 @@ def component_ids(docs: DataFrame, k: int, t: Fraction, id_col="doc_id", text_co
 
 def keep_one(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5), id_col="doc_id", text_col="text") -> DataFrame:
     """The document with the smallest id of each component, and all documents without shingles."""
-    rows = linked_documents(docs, k, t, id_col, text_col)
-    kept = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "rk")).alias("m")).select(F.col("m.rk").alias("_nj_rk"))
-    kept = kept.unionByName(rows.where("root is null").select(F.col("rk").alias("_nj_rk")).distinct())
-    keyed = docs.withColumn("_nj_rk", F.xxhash64(F.lit(23), id_col, text_col))
-    once = W.partitionBy("_nj_rk").orderBy(F.lit(1))
-    return keyed.join(kept.distinct(), "_nj_rk").withColumn("_nj_n", F.row_number().over(once)).where("_nj_n = 1").drop("_nj_rk", "_nj_n")
+    rows = linked_documents(docs, k, t, id_col, text_col).select("rk", "doc_id", "root")
+    once = staged(rows.groupBy("rk").agg(F.min("doc_id").alias("doc_id"), F.min("root").alias("root"), F.count("*").alias("many")), "documents")
+    best = once.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "rk")).alias("m")).select(F.col("m.rk").alias("rk"), F.lit(True).alias("kept"))
+    marked = once.join(best, "rk", "left").where("kept is null and root is not null or many > 1")
+    marks = staged(marked.select(F.col("rk").alias("_nj_rk"), (F.col("kept").isNull() & F.col("root").isNotNull()).alias("_nj_gone")), "marks")
+    keyed = docs.withColumn("_nj_rk", F.xxhash64(F.lit(23), id_col, text_col)).join(bounded(marks), "_nj_rk", "left").where("not coalesce(_nj_gone, false)")
+    out = keyed.where("_nj_gone is null").select(*docs.columns)
+    if marks.where("not _nj_gone").limit(1).count():  # rows that are equal in id and text
+        out = out.unionByName(keyed.where("_nj_gone is not null").dropDuplicates(["_nj_rk"]).select(*docs.columns))
+    return out
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def made(seed, n=160):
 
 def test_components_equal_brute_force(spark, monkeypatch):
     for seed, k, t in ((1, 3, Fraction(9, 10)), (2, 2, Fraction(4, 5))):
-        monkeypatch.setattr(nj.blocks_of, "__defaults__", (0, 4))
+        monkeypatch.setattr(nj.blocks_of, "__defaults__", (4,))
         rows = made(seed)
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
         got = sorted(tuple(r) for r in nj.component_ids(df, k, t).collect())
@@ -57,6 +57,25 @@ def test_components_equal_brute_force(spark, monkeypatch):
         assert len({r[2] for r in got}) < len(got)
 
 
+def test_small_bounds_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(nj._shared_task, "__defaults__", (60,))
+    monkeypatch.setattr(nj._late_task, "__defaults__", (9,))
+    monkeypatch.setattr(nj, "QUERIES", 3)
+    rows = made(5, 120)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(tuple(r) for r in nj.component_ids(df, 2, Fraction(4, 5)).collect()) == brute(rows, 2, 4, 5)
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(4)
+    a, b = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for n in (300, 130))
+    b = np.unique(np.concatenate([b, a[:100]]))
+    wide, narrow = nj.bitmap(a), nj.bitmap(b)
+    assert len(wide) > len(narrow) and (nj.folded(wide, len(narrow)) == nj.folded(np.array([wide, wide]), len(narrow))[1]).all()
+    least = np.bitwise_count(nj.folded(wide, len(narrow)) & ~narrow).sum()
+    assert 0 < least <= len(np.setdiff1d(a, b))
+
+
 def test_parts_meet():
     parts, rng = nj.Parts(Fraction(9, 10)), np.random.default_rng(1)
     for n in (10, 19, 57, 300, 1111):
@@ -64,7 +83,7 @@ def test_parts_meet():
         most = int(len(a) // 19)  # J stays at 0.9 or more
         b = np.unique(np.concatenate([a[most:], rng.integers(0, 2**63, most).astype(np.uint64)]))
         if 10 * len(np.intersect1d(a, b)) >= 9 * len(np.union1d(a, b)) and len(a) > 9:
-            assert len(np.intersect1d(parts.signatures(a), parts.signatures(b)))
+            assert len(np.intersect1d(*(np.concatenate([p for _, p in parts.signatures(x)]) for x in (a, b))))
 
 
 def test_nulls_copies_and_extra_columns(spark):
