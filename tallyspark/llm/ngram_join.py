@@ -4,14 +4,14 @@
 2. Where two sets have J >= t, their symmetric difference is at most (1-t)/(1+t) of the sum of the sizes.  A
    set is cut by token hash into more parts than that, so linked sets share a part (not an empty one) whole.  Sets emit the hashes
    of their parts for their own size class and the next one; these meet in slots of their class, packed.
-3. Nodes that share part hashes are dealt to groups of like documents (smallest shared part hash, split by hash
+3. Nodes that share part hashes are dealt to groups of like documents (commonest part hash, split by hash
    to about BLOCK members).  The matrix holds, for each part hash, the groups it occurs in.  A group and a query that
    meet in it often enough are a candidate.
 4. A group stores the union of its members' tokens, as a bitmap of hashed tokens (a superset, so what it bounds
    holds).  A query's overlap is bounded by the union and then by the members' own bitmaps; only groups that
    qualify are opened, and their members' tokens are compared with the query's, which is sent to each group once.
    Groups with many queries are salted.
-5. First all groups of a part hash meet one hub group; components of the links follow.  Only nodes outside
+5. First all nodes meet the hub group of most of their part hashes; components of the links follow.  Only nodes outside
    their part hash's main component then meet the other groups, so families of near copies do not cost
    the square of their size unless they are hardly linked at all.
 
@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import batches_of_bytes, bounded, components, hashed_words, mix64, partitions_for, shingle_hashes, staged, table
 
-BLOCK = 64
+BLOCK = 256
 #: Tokens of a group's members together, and queries that meet a group in one task, about.
-GROUP_TOKENS, QUERIES = 1 << 19, 2000
+GROUP_TOKENS, QUERIES = 1 << 18, 2000
 
 
 class Parts:
@@ -208,7 +208,7 @@ def _by_slot(batches, *names):
             yield int(slot[a]), [c.slice(a, z - a) for c in cols]
 
 
-SHARED = {"slot": pa.int32(), "node": pa.int64(), "n": pa.int64(), "need": pa.int32(), "home": pa.int64(), "sigs": pa.binary()}
+SHARED = {"slot": pa.int32(), "node": pa.int64(), "n": pa.int64(), "need": pa.int32(), "many": pa.int64(), "home": pa.int64(), "sigs": pa.binary()}
 
 
 def _shared_task(need: list[int], most: int = 2_000_000):
@@ -233,23 +233,24 @@ def _shared_task(need: list[int], most: int = 2_000_000):
             first = np.ones(len(sig), bool)
             first[1:] = sig[1:] != sig[:-1]
             ids = np.cumsum(first) - 1
-            shared = np.bincount(ids)[ids] > 1
+            many = np.bincount(ids)[ids]
+            shared = many > 1
             if len(self.open):
                 shared |= self.open[np.minimum(np.searchsorted(self.open, sig), len(self.open) - 1)] == sig
             if not last:
                 self.open = np.union1d(self.open, sig[shared])
                 self.have = [(sig[~shared], node[~shared])]
                 self.size = 0
-            sig, node = sig[shared], node[shared]
+            sig, node, many = sig[shared], node[shared], many[shared]
             if not len(sig):
                 return
-            order = np.lexsort((sig, node))
-            sig, node = sig[order].astype("<u4"), node[order]
+            order = np.lexsort((sig, -many, node))  # a node's commonest part hash comes first
+            sig, node, many = sig[order].astype("<u4"), node[order], many[order]
             cut = np.flatnonzero(np.diff(node, prepend=node[0] - 1))
             edge = [*cut[1:].tolist(), len(node)]
             m = len(cut)
             home = np.int64(self.slot << 32) + sig[cut].astype(np.int64)
-            yield _batch(SHARED, np.full(m, self.slot), node[cut], np.diff([*cut, len(node)]), np.full(m, need[self.slot]), home, [sig[a:z].tobytes() for a, z in zip(cut.tolist(), edge)])
+            yield _batch(SHARED, np.full(m, self.slot), node[cut], np.diff([*cut, len(node)]), np.full(m, need[self.slot]), many[cut], home, [sig[a:z].tobytes() for a, z in zip(cut.tolist(), edge)])
 
     def run(batches):
         now = None
@@ -269,16 +270,16 @@ def _shared_task(need: list[int], most: int = 2_000_000):
 
 
 def blocks_of(shared: DataFrame, rows: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(node, block, n, bits, rk): nodes that share as many parts as a link takes; those with the same smallest shared
+    """(node, block, n, bits, rk): nodes that share as many parts as a link takes; those with the same commonest
     part hash are together, split by node hash to about ``size`` members and GROUP_TOKENS tokens."""
-    home = shared.groupBy("node").agg(F.sum("n").alias("parts"), F.min("need").alias("need"), F.min("home").alias("home")).where("parts >= need").select("node", "home")
+    home = shared.groupBy("node").agg(F.sum("n").alias("parts"), F.min("need").alias("need"), F.max_by("home", F.struct("many", "home")).alias("home")).where("parts >= need").select("node", "home")
     known = rows.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("rk").alias("rk"))
     home = staged(home.join(known, "node"), "homes")
     many = home.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / size, F.sum("n") / GROUP_TOKENS)).alias("many"))
     return home.join(many, "home").select("node", F.xxhash64("home", F.pmod("node", "many")).alias("block"), "n", "bits", "rk")
 
 
-PAIRS = {"x": pa.int64(), "y": pa.int64(), "n": pa.int64(), "need": pa.int32()}
+PAIRS = {"q": pa.int64(), "y": pa.int64(), "n": pa.int64(), "need": pa.int32()}
 
 
 def _listed(sigs) -> tuple[np.ndarray, np.ndarray]:
@@ -287,14 +288,19 @@ def _listed(sigs) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), "<u4"), np.array([len(r) // 4 for r in raw])
 
 
-def _counted(x, y, slot, need):
-    """Rows of PAIRS for the distinct (x, y)."""
+def _counted(x, y, slot, need, best=False):
+    """Rows of PAIRS for the distinct (x, y), x a node and y a block; for ``best``, the commonest y of each x."""
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
     new = np.ones(len(x), bool)
     new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     cut = np.flatnonzero(new)
-    return _batch(PAIRS, x[cut], y[cut], np.diff([*cut, len(x)]), np.full(len(cut), need[slot]))
+    x, y, n = x[cut], y[cut], np.diff([*cut, len(x)])
+    if best:
+        order = np.lexsort((y, -n, x))
+        order = order[np.append(True, np.diff(x[order]) != 0)]
+        x, y, n = x[order], y[order], n[order]
+    return _batch(PAIRS, x, y, n, np.full(len(x), need[slot]))
 
 
 def _distinct(*cols):
@@ -307,22 +313,22 @@ def _distinct(*cols):
 
 
 def _hub_task(need: list[int]):
-    """Of rows (slot, block, sigs) by slot and block: every block with the first block of each of its part hashes."""
+    """Of rows (slot, block, node, sigs) by slot and block: every node with the block that comes first for most of its part hashes."""
 
     def run(batches):
         now, known, hub = None, None, None
-        for slot, (block, sigs) in _by_slot(batches, "block", "sigs"):
+        for slot, (block, node, sigs) in _by_slot(batches, "block", "node", "sigs"):
             if slot != now:
                 now, known, hub = slot, np.empty(0, np.uint32), np.empty(0, np.int64)
             sig, many = _listed(sigs)
-            sig, block = _distinct(sig, np.repeat(block.to_numpy(), many))
+            sig, block, node = _distinct(sig, *(np.repeat(c.to_numpy(), many) for c in (block, node)))
             new = np.ones(len(sig), bool)
             new[1:] = sig[1:] != sig[:-1]
             fresh = new & ~np.isin(sig, known)
             known, hub = np.concatenate([known, sig[fresh]]), np.concatenate([hub, block[fresh]])
             order = np.argsort(known)
             known, hub = known[order], hub[order]
-            yield _counted(block, hub[np.searchsorted(known, sig)], slot, need)
+            yield _counted(node, hub[np.searchsorted(known, sig)], slot, need, True)
 
     return run
 
@@ -382,10 +388,10 @@ def _late_task(need: list[int], most: int = 1 << 22):
     return run
 
 
-def met(pairs: DataFrame) -> DataFrame:
-    """(x, y) that share half the parts a link takes.  Half, because of two linked nodes only one need stand
+def met(pairs: DataFrame, times: int = 2) -> DataFrame:
+    """(q, y) that share half the parts a link takes.  Half, because of two linked nodes only one need stand
     outside the main component of each part they share."""
-    return pairs.groupBy("x", "y").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("2 * n >= need").select("x", "y")
+    return pairs.groupBy("q", "y").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where(f"{times} * n >= need").select("q", "y")
 
 
 MEETING = "y long, salt long, node long, asks boolean, n long, data binary"
@@ -517,39 +523,41 @@ def links_of(found: DataFrame, blocks: DataFrame, keyed: DataFrame, k: int, t: F
     return staged(meetings(left, blocks, tokens).mapInArrow(_open_task(t), "a long, b long").distinct(), "links", release=True)
 
 
-def linked_documents(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rk, doc_id, n, node, root): one row per document; rk is a hash of id and text, root the same for all
-    documents of a component, null without shingles."""
+def linked_nodes(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (rk, doc_id, n, node), one for each document, rk a hash of id and text, node null without shingles; and
+    the components (node, root) of nodes that have links."""
     parts = Parts(t)
     keyed = docs.select(F.xxhash64(F.lit(23), id_col, text_col).alias("rk"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = staged(keyed.mapInArrow(_node_task(k, parts), "rk long, doc_id long, n long, level int, node long, bits binary"), "nodes")
     sizes = rows.where("node is not null").groupBy("level").agg(F.sum("n").alias("n")).collect()  # one row for each size class
     slots = Slots(parts, {r.level: r.n for r in sizes}, partitions_for(docs))
     packed = keyed.select("text").mapInArrow(_signature_task(k, parts, slots), "slot int, payload binary")
-    shared = staged(packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(_shared_task(slots.need), "slot int, node long, n long, need int, home long, sigs binary"), "shared", release=True)
+    shared = staged(packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(_shared_task(slots.need), "slot int, node long, n long, need int, many long, home long, sigs binary"), "shared", release=True)
     blocks = staged(blocks_of(shared, rows), "blocks")
     placed = shared.select("slot", "node", "sigs").join(blocks.select("node", "block"), "node")
-    hubs = placed.select("slot", "block", "sigs").repartition("slot").sortWithinPartitions("slot", "block").mapInArrow(_hub_task(slots.need), "x long, y long, n long, need int")
-    found = met(hubs).join(blocks.select(F.col("block").alias("x"), F.col("node").alias("q")), "x").select("q", "y")
-    first = links_of(found, blocks, keyed, k, t)
+    hubs = placed.select("slot", "block", "node", "sigs").repartition("slot").sortWithinPartitions("slot", "block").mapInArrow(_hub_task(slots.need), "q long, y long, n long, need int")
+    first = links_of(met(hubs, 1), blocks, keyed, k, t)
     roots = components(first)
     # what does not hang together with the main component of a part hash meets the groups of all the others
-    late = placed.join(roots, "node", "left").select("slot", F.coalesce("root", "node").alias("root"), "node", "block", "sigs").repartition("slot").sortWithinPartitions("slot").mapInArrow(_late_task(slots.need), "x long, y long, n long, need int")
-    second = links_of(met(late).select(F.col("x").alias("q"), "y"), blocks, keyed, k, t)
-    roots = components(first.unionByName(second))
-    return rows.join(roots, "node", "left").select("rk", "doc_id", "n", "node", F.coalesce("root", "node").alias("root"))
+    late = placed.join(roots, "node", "left").select("slot", F.coalesce("root", "node").alias("root"), "node", "block", "sigs").repartition("slot").sortWithinPartitions("slot").mapInArrow(_late_task(slots.need), "q long, y long, n long, need int")
+    second = links_of(met(late), blocks, keyed, k, t)
+    return rows.select("rk", "doc_id", "n", "node"), components(first.unionByName(second))
 
 
 def component_ids(docs: DataFrame, k: int, t: Fraction, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, n_shingles, component_id)."""
-    rows = linked_documents(docs, k, t, id_col, text_col)
-    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    rows, roots = linked_nodes(docs, k, t, id_col, text_col)
+    one = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"))
+    placed = staged(one.join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root")), "placed")
+    least = placed.groupBy("root").agg(F.min("doc").alias("least"))
+    named = staged(placed.join(least, "root").select("node", "least"), "named")
+    return rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5), id_col="doc_id", text_col="text") -> DataFrame:
     """The document with the smallest id of each component, and all documents without shingles."""
-    rows = linked_documents(docs, k, t, id_col, text_col).select("rk", "doc_id", "root")
+    rows, roots = linked_nodes(docs, k, t, id_col, text_col)
+    rows = rows.join(roots, "node", "left").select("rk", "doc_id", F.coalesce("root", "node").alias("root"))
     once = staged(rows.groupBy("rk").agg(F.min("doc_id").alias("doc_id"), F.min("root").alias("root"), F.count("*").alias("many")), "documents")
     best = once.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "rk")).alias("m")).select(F.col("m.rk").alias("rk"), F.lit(True).alias("kept"))
     marked = once.join(best, "rk", "left").where("kept is null and root is not null or many > 1")
