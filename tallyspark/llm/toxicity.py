@@ -1,23 +1,27 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-1. At most ``sample`` labelled rows are the examples (a documented bound of the fit).  Terms are chosen by
-   how far their document frequencies differ between the classes (log-likelihood ratio over the examples);
-   a term is a word or the beginning of one.
-2. Examples become unit TF-IDF vectors.  They are ordered so that like vectors lie together and cut into
-   blocks; every term keeps its largest weight in each block (the block-max index).
-3. A query's bound for a block is the dot product with the block's maxima; blocks are opened from the
-   highest bound until the k-th best cosine is above the next bound, so the k nearest are exact (ties to the
-   smaller example id).
+1. At most ``sample`` labelled rows are the examples (a documented bound of the fit).  Every word of every example is
+   a term; its document frequency is counted over all documents.  A weight is (1 + ln tf) * idf * rf^2, where
+   rf = log2(2 + a / max(1, c)) is the relevance frequency of the term (a of the positive, c of the negative
+   examples hold it); without it the nearest examples are those of like function words.
+2. Examples become unit vectors, ordered so that like vectors lie together, in blocks.  Common terms are kept as a
+   dense matrix with their largest weight in each block, rare ones as postings.
+3. A query's bound for a block is its product with the block's largest weights of common terms plus the largest
+   sum over its rare terms; blocks are opened from the highest bound on, until the k-th best cosine is above what
+   is left, so the k nearest are exact.  All examples at the k-th cosine vote: ids play no part.
 4. Votes weighted by cosine give a raw share, calibrated by bins fitted on leave-one-out votes of the
-   examples.  Documents with none of the terms take the share of such examples.
+   examples.
 
-Defined cases: null or empty texts have no terms; without labels the score is 0; repeated rows are scored one
-by one; texts are read whole; extra columns are ignored.
+Words that no example holds change a query's cosines by one common factor, which the shares do not feel; cosines
+are over the words of the examples.
+
+Defined cases: null or empty texts, and texts with none of the terms, take the share of such examples (with the
+overall share as prior); without labels the score is 0; of several labels of an id the largest counts; repeated rows
+are scored one by one; texts are read whole; extra columns are ignored; words are 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,137 +29,163 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, id_mod, table
+from .common import ALNUM_WORDS, batches_of_bytes, hashed_words, id_mod, table
 
-SAMPLE = 8000
-PREFIXES = (4, 5, 6, 7, 8)
-LEAST_LLR = 28.0
-#: Times that the term which every text has (and which keeps the angle aware of how often the others occur) counts.
-GROUND = 8.0
-TERMS = 400
+SAMPLE = 4000
 BLOCK = 32
 NEAREST = 15
 THRESHOLD = 0.7
+#: Queries that are answered together.
+BATCH = 128
 
 
-def text_terms(text: str | None) -> Counter:
-    """Counts of a text's words and of their beginnings (PREFIXES bytes, marked by a trailing *)."""
-    words = Counter(alnum_words(text))
-    out = Counter(words)
-    for w, n in words.items():
-        for k in PREFIXES:
-            if len(w) <= k:
-                break
-            out[w[:k] + b"*"] += n
-    return out
+def counted_terms(texts: list):
+    """Of each run of texts: number of the text, term, and how often it occurs there."""
+    for first, run in batches_of_bytes(texts):
+        h, _, _, at = hashed_words(run, ALNUM_WORDS)
+        of = np.repeat(np.arange(len(run)), np.diff(at))
+        order = np.lexsort((h, of))
+        h, of = h[order], of[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+        cut = np.flatnonzero(new)
+        yield first, len(run), of[cut], h[cut], np.diff([*cut, len(h)])
 
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors of labelled examples in blocks, postings by (term, block)."""
-
-    terms: dict
-    idf: np.ndarray
-    ids: np.ndarray
-    labels: np.ndarray
-    posts: list = field(default_factory=list)  # by block: {term: (positions, weights)}
-    tops: dict = field(default_factory=dict)  # by term: largest weight in each block
-    empty: float = 0.0  # share of positives among examples without terms
+    """Unit vectors of labelled examples in blocks."""
+
+    terms: np.ndarray  # sorted
+    weight: np.ndarray  # of a term: idf * rf^2
+    labels: np.ndarray = field(default_factory=lambda: np.empty(0))
+    ids: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    empty: float = 0.0
     bins: np.ndarray | None = None
 
-    def counts(self, text: str | None) -> dict:
-        """Counts of the index's terms in a text."""
-        out: dict = {}
-        get = self.terms.get
-        for w, n in Counter(alnum_words(text)).items():
-            if (t := get(w)) is not None:
-                out[t] = out.get(t, 0) + n
-            for k in PREFIXES:
-                if len(w) <= k:
-                    break
-                if (t := get(w[:k] + b"*")) is not None:
-                    out[t] = out.get(t, 0) + n
-        return out
-
-    def vector(self, counts: dict) -> tuple:
-        """Sorted (term, weight) pairs of a unit vector; () if no term occurs."""
-        if not counts:
-            return ()
-        ts = sorted(counts)
-        x = np.array([(1 + np.log(counts[t])) * self.idf[t] for t in ts])
-        ground = np.log1p(1.0) * GROUND
-        x = np.append(x, ground) / np.sqrt((x**2).sum() + ground**2)
-        return tuple(zip([*ts, -1], x.tolist()))
-
-    def build(self, vectors: list[tuple]) -> None:
-        order = sorted(range(len(vectors)), key=lambda i: (sorted(vectors[i], key=lambda p: -p[1])[:3], self.ids[i]))
-        self.ids, self.labels = self.ids[order], self.labels[order]
-        n = -(-len(order) // BLOCK)
-        for b in range(n):
-            post: dict[int, list] = {}
-            for at, i in enumerate(order[b * BLOCK : (b + 1) * BLOCK]):
-                for t, x in vectors[i]:
-                    post.setdefault(t, []).append((at, x))
-            self.posts.append({t: (np.array([p for p, _ in v]), np.array([x for _, x in v])) for t, v in post.items()})
-            for t, v in post.items():
-                self.tops.setdefault(t, np.zeros(n))[b] = max(x for _, x in v)
-
-    def nearest(self, vec: tuple, k: int = NEAREST, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples with a positive cosine, nearest first."""
-        bound = np.zeros(len(self.posts))
-        for t, q in vec:
-            if t in self.tops:
-                bound += q * self.tops[t]
-        best_at, best = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1] - 1e-12:
+    def known(self, of: np.ndarray, h: np.ndarray, n: np.ndarray):
+        """Rows (of, term number, weight), unit by ``of``."""
+        if not len(self.terms):
+            return of[:0], np.empty(0, np.int64), np.empty(0)
+        t = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
+        ok = (self.terms[t] == h) & (self.weight[t] > 0)
+        of, t = of[ok], t[ok]
+        x = (1 + np.log(n[ok])) * self.weight[t]
+        size = np.sqrt(np.bincount(of, x * x))[of] if len(of) else x
+        return of, t, x / size
+
+    def build(self, of: np.ndarray, t: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Takes in the examples' vectors; returns the places they got."""
+        n = len(self.labels)
+        cut = np.searchsorted(of, np.arange(n + 1))
+        heads = [tuple(t[a:b][np.lexsort((t[a:b], -x[a:b]))[:3]].tolist()) for a, b in zip(cut, cut[1:])]
+        order = sorted(range(n), key=lambda i: (heads[i], t[cut[i] : cut[i + 1]].tobytes(), x[cut[i] : cut[i + 1]].tobytes()))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.labels, self.ids = self.labels[order], self.ids[order]
+        self.blocks = max(1, -(-n // BLOCK))
+        of = place[of]
+        df = np.bincount(t, minlength=len(self.terms))
+        common = np.flatnonzero(df > max(BLOCK, n // 16))
+        self.dense_of = np.full(len(self.terms), -1, np.int32)
+        self.dense_of[common] = np.arange(len(common))
+        d = self.dense_of[t]
+        dense = np.zeros((self.blocks, len(common), BLOCK))
+        dense[of[d >= 0] // BLOCK, d[d >= 0], of[d >= 0] % BLOCK] = x[d >= 0]
+        self.dense, self.tops = dense, dense.max(2).T.copy() if len(common) else np.zeros((0, self.blocks))
+        rare = np.flatnonzero(d < 0)
+        rare = rare[np.lexsort((of[rare], t[rare]))]
+        self.post_of, self.post_x = of[rare].astype(np.int32), x[rare]
+        self.post_at = np.searchsorted(t[rare], np.arange(len(self.terms) + 1))
+        return place
+
+    def cosines(self, m: int, of: np.ndarray, t: np.ndarray, x: np.ndarray, k: int = NEAREST, without: np.ndarray | None = None):
+        """For m queries: cosines with the examples (-1 where a block was not opened), and the k-th best of each."""
+        wide = self.blocks * BLOCK
+        d = self.dense_of[t]
+        ask = np.zeros((m, self.dense.shape[1]))
+        ask[of[d >= 0], d[d >= 0]] = x[d >= 0]
+        r = np.flatnonzero(d < 0)
+        many = self.post_at[t[r] + 1] - self.post_at[t[r]]
+        to = np.repeat(self.post_at[t[r]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        rare = np.bincount(np.repeat(of[r], many) * wide + self.post_of[to], np.repeat(x[r], many) * self.post_x[to], m * wide).reshape(m, self.blocks, BLOCK)
+        bound = ask @ self.tops + rare.max(2) + 1e-9
+        out = np.full((m, self.blocks, BLOCK), -1.0)
+        shut = np.ones((m, self.blocks), bool)
+        rows = np.arange(m)
+        kth = np.full(m, -1.0)
+        step = max(1, -(-2 * k // BLOCK))
+        while True:
+            left = np.where(shut, bound, -1.0)
+            left[left < kth[:, None]] = -1.0
+            if not (left > 0).any():
                 break
-            dots = np.zeros(BLOCK)
-            for t, q in vec:
-                if t in self.posts[b]:
-                    at, x = self.posts[b][t]
-                    dots[at] += q * x
-            hit = np.flatnonzero(dots > 0)
-            at, dots = hit + b * BLOCK, dots[hit]
+            nth = np.partition(left, -min(step, self.blocks), axis=1)[:, -min(step, self.blocks)]
+            go = (left >= nth[:, None]) & (left > 0)
+            for b in np.flatnonzero(go.any(0)):
+                q = np.flatnonzero(go[:, b])
+                out[q, b] = ask[q] @ self.dense[b] + rare[q, b]
+            shut &= ~go
             if without is not None:
-                keep = self.ids[at] != without
-                at, dots = at[keep], dots[keep]
-            best_at, best = np.concatenate([best_at, at]), np.concatenate([best, dots])
-            order = np.lexsort((self.ids[best_at], -np.round(best, 12)))[:k]
-            best_at, best = best_at[order], best[order]
-        return best_at, best
-
-    def vote(self, vec: tuple, without: int | None = None) -> tuple[float, list[int]]:
-        """Share of positive votes (weight: fourth power of the cosine, plus a little prior), evidence ids."""
-        at, cos = self.nearest(vec, without=without)
-        if not len(at):
-            return self.empty, []
-        w = cos**4
-        return float((w * self.labels[at]).sum() + 0.05 * self.empty) / float(w.sum() + 0.05), [int(x) for x in self.ids[at]]
-
-    def calibrate(self, vectors: list[tuple]) -> None:
+                out[rows, without // BLOCK, without % BLOCK] = -1.0
+            flat = out.reshape(m, wide)
+            kth = np.partition(flat, wide - min(k, wide), axis=1)[:, wide - min(k, wide)]
+            step *= 4
+        return out.reshape(m, wide)[:, : len(self.labels)], kth
+
+    def votes(self, m: int, of: np.ndarray, t: np.ndarray, x: np.ndarray, without: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+        """Share of positive votes of each query (nan without neighbours), and the ids of those that voted, nearest first."""
+        share, proof = np.full(m, np.nan), [[] for _ in range(m)]
+        if not len(self.labels):
+            return share, proof
+        for a in range(0, m, BATCH):
+            z = min(a + BATCH, m)
+            lo, hi = np.searchsorted(of, [a, z])
+            cos, kth = self.cosines(z - a, of[lo:hi] - a, t[lo:hi], x[lo:hi], without=None if without is None else without[a:z])
+            q, e = np.nonzero((cos > 1e-9) & (cos >= kth[:, None] - 1e-9))
+            c = cos[q, e]
+            total = np.bincount(q, c, z - a)
+            share[a:z] = np.divide(np.bincount(q, c * self.labels[e], z - a), total, out=np.full(z - a, np.nan), where=total > 0)
+            order = np.lexsort((e, -c, q))
+            for i, j in zip((q[order] + a).tolist(), self.ids[e[order]].tolist()):
+                proof[i].append(j)
+        return share, proof
+
+    def calibrate(self, m: int, of, t, x, place: np.ndarray) -> None:
         """Share of positives by tenth of the leave-one-out vote, kept monotone."""
-        raw = np.array([self.vote(v, without=int(i))[0] for v, i in vectors])
-        y = np.array([lab for lab in self.label_of(vectors)])
-        cell = np.minimum((raw * 10).astype(int), 9)
-        hits, all_ = np.bincount(cell, y, 10), np.bincount(cell, minlength=10)
+        raw, _ = self.votes(m, of, t, x, without=place)
+        y, ok = self.labels[place], ~np.isnan(raw)
+        cell = np.minimum((raw[ok] * 10).astype(int), 9)
+        hits, every = np.bincount(cell, y[ok], 10), np.bincount(cell, minlength=10)
         mid = (np.arange(10) + 0.5) / 10
-        self.bins = np.maximum.accumulate((hits + 2 * mid) / (all_ + 2))
+        self.bins = np.maximum.accumulate((hits + 2 * mid) / (every + 2))
 
-    def label_of(self, vectors):
-        by = dict(zip(self.ids.tolist(), self.labels.tolist()))
-        return [by[int(i)] for _, i in vectors]
+    def scores(self, m: int, of, h, n) -> tuple[np.ndarray, list]:
+        raw, proof = self.votes(m, *self.known(of, h, n))
+        none = np.isnan(raw)
+        x = np.where(none, 0, raw) * 10 - 0.5
+        low = np.clip(np.floor(x), 0, 8).astype(int)
+        part = np.clip(x - low, 0, 1)
+        got = self.bins[low] * (1 - part) + self.bins[low + 1] * part if self.bins is not None else np.zeros(m)
+        return np.clip(np.where(none, self.empty, got), 0, 1), proof
 
-    def score(self, vec: tuple) -> tuple[float, list[int]]:
-        if not vec:
-            return self.empty, []
-        raw, ids = self.vote(vec)
-        if self.bins is None:
-            return raw, ids
-        x = raw * 10 - 0.5
-        low = int(np.clip(np.floor(x), 0, 8))
-        part = float(np.clip(x - low, 0, 1))
-        return float(np.clip(self.bins[low] * (1 - part) + self.bins[low + 1] * part, 0, 1)), ids
+
+def _frequency_task(cast):
+    """How many texts of the task hold each term."""
+
+    def run(batches):
+        terms = cast.value
+        total = np.zeros(len(terms), np.int64)
+        docs = 0
+        for b in batches:
+            docs += b.num_rows
+            for *_, h, _ in counted_terms(b.column(0).to_pylist()):
+                t = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+                total += np.bincount(t[terms[t] == h], minlength=len(terms))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], docs), pa.int64())], names=["term", "n"])
+
+    return run
 
 
 def build_index(docs: DataFrame, labels: DataFrame, target="toxic", sample=SAMPLE, id_col="doc_id", text_col="text", training=None) -> BlockMaxIndex:
@@ -166,45 +196,38 @@ def build_index(docs: DataFrame, labels: DataFrame, target="toxic", sample=SAMPL
 
     def words(batches):
         for b in batches:
-            got = [sorted(text_terms(t)) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32()), pa.array(got, pa.list_(pa.binary()))], names=["id", "label", "words"])
-
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
-    examples = rows.select(id_col, "_t_label", text_col).mapInArrow(words, "id long, label int, words array<binary>")
-    sums = examples.groupBy().agg(F.count_distinct("id").alias("n"), F.sum("label").alias("p"))
-    pairs = examples.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.sum("label").alias("dp")).where("df >= 5 and 2 * dp >= df")
-    n, p = F.col("n").cast("double"), F.col("p").cast("double")
-    df, dp = F.col("df").cast("double"), F.col("dp").cast("double")
-
-    def part(x, expected):
-        return F.when(x > 0, x * F.log(x / expected)).otherwise(F.lit(0.0))
-
-    llr = part(dp, df * p / n) + part(df - dp, df * (n - p) / n) + part(p - dp, (n - df) * p / n) + part(n - df - p + dp, (n - df) * (n - p) / n)
-    kept = pairs.crossJoin(F.broadcast(sums)).where("p > 0 and p < n").withColumn("llr", 2 * llr).where((F.col("llr") >= LEAST_LLR) & F.expr("dp * n > df * p")).orderBy(F.desc("llr"), "word").limit(TERMS).select("word", "df", "n").collect()  # one row of sums
-    terms = {bytes(r.word): i for i, r in enumerate(sorted(kept, key=lambda r: bytes(r.word)))}
-    idf = np.zeros(len(terms))
-    for r in kept:
-        idf[terms[bytes(r.word)]] = np.log1p(r.n / r.df)
-    index = BlockMaxIndex(terms, idf, np.empty(0, np.int64), np.empty(0))
-    cast = docs.sparkSession.sparkContext.broadcast(index)
-
-    def vectors(batches):
-        for b in batches:
-            out = [sorted(cast.value.counts(t).items()) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32()), pa.array([[k for k, _ in x] for x in out], pa.list_(pa.int32())), pa.array([[n for _, n in x] for x in out], pa.list_(pa.int32()))], names=["id", "label", "terms", "counts"])
-
-    got = rows.select(id_col, "_t_label", text_col).mapInArrow(vectors, "id long, label int, terms array<int>, counts array<int>").collect()
-    got = list({(r.id): r for r in sorted(got, key=lambda r: (r.id, r.terms, r.counts))}.values())
-    index.ids, index.labels = np.array([r.id for r in got], np.int64), np.array([r.label for r in got], float)
-    vecs = [index.vector(dict(zip(r.terms, r.counts))) for r in got]
-    bare = [r.label for r, v in zip(got, vecs) if not v]
-    index.empty = (sum(bare) + 0.1) / (len(bare) + 1) if got else 0.0
-    with_terms = [i for i, v in enumerate(vecs) if v]
-    pairs_ = [(vecs[i], got[i].id) for i in with_terms]
-    index.ids, index.labels = index.ids[with_terms], index.labels[with_terms]
-    index.build([v for v, _ in pairs_])
-    if pairs_:
-        index.calibrate(pairs_)
+            hs, ns = [], []
+            for _, m, of, h, n in counted_terms(b.column(2).to_pylist()):
+                cut = np.searchsorted(of, np.arange(m + 1))
+                hs += [h[a:z].tobytes() for a, z in zip(cut, cut[1:])]
+                ns += [n[a:z].astype("<i8").tobytes() for a, z in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32()), pa.array(hs, pa.binary()), pa.array(ns, pa.binary())], names=["id", "label", "terms", "counts"])
+
+    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(id_col, "_t_label", text_col)
+    got = rows.mapInArrow(words, "id long, label int, terms binary, counts binary").toArrow().to_pylist()  # the bounded sample
+    got = list({r["id"]: r for r in sorted(got, key=lambda r: (r["id"], r["terms"], r["counts"]))}.values())
+    hs = [np.frombuffer(r["terms"], np.uint64) for r in got]
+    of = np.repeat(np.arange(len(got)), [len(h) for h in hs])
+    h = np.concatenate(hs) if hs else np.empty(0, np.uint64)
+    n = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in got]) if got else np.empty(0, np.int64)
+    y = np.array([r["label"] for r in got], float)
+    terms, t = np.unique(h, return_inverse=True)
+    index = BlockMaxIndex(terms, np.zeros(len(terms)))
+    if not len(terms):
+        index.empty = float(y.mean()) if len(y) else 0.0
+        return index
+    counts = docs.select(text_col).mapInArrow(_frequency_task(docs.sparkSession.sparkContext.broadcast(terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row a term of the sample
+    at, df = counts.column("term").to_numpy(), counts.column("n").to_numpy()
+    every = np.ones(len(terms), np.int64)
+    every[at[at >= 0]] = df[at >= 0]
+    held, bad = np.bincount(t), np.bincount(t, y[of])
+    index.weight = np.log1p(df[at < 0].sum() / every) * np.log2(2 + bad / np.maximum(1, held - bad)) ** 2
+    has = np.bincount(of, minlength=len(got)) > 0
+    index.empty = float((y[~has].sum() + y.mean()) / ((~has).sum() + 1))
+    number = np.cumsum(has) - 1
+    index.labels, index.ids = y[has], np.array([r["id"] for r in got], np.int64)[has]
+    vectors = index.known(number[of], h, n)
+    index.calibrate(len(index.labels), *vectors, place=index.build(*vectors))
     return index
 
 
@@ -213,19 +236,13 @@ def toxicity(docs: DataFrame, index: BlockMaxIndex, id_col="doc_id", text_col="t
     cast = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
-        index, known = cast.value, {}
         for b in batches:
             scores, proof = [], []
-            for t in b.column(1).to_pylist():
-                vec = index.vector(index.counts(t))
-                if vec not in known:
-                    if len(known) > 20000:
-                        known.clear()
-                    known[vec] = index.score(vec)
-                s, e = known[vec]
+            for _, m, of, h, n in counted_terms(b.column(1).to_pylist()):
+                s, p = cast.value.scores(m, of, h, n)
                 scores.append(s)
-                proof.append(e)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(scores, pa.float64()), pa.array(proof, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
+                proof += p
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(proof, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
     return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, score double, evidence array<long>")
 

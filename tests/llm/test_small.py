@@ -117,18 +117,36 @@ def test_toxicity_and_exact_neighbours(spark):
     got = {r.doc_id: r.score for r in toxicity.toxicity(docs, index).collect()}
     assert all(0 <= s <= 1 for s in got.values())
     assert all((got[i] >= 0.7) == (i % 5 == 0) for i in range(240))
-    rng = np.random.default_rng(3)
-    big = toxicity.BlockMaxIndex({str(i).encode(): i for i in range(30)}, np.ones(30), np.arange(300), rng.integers(0, 2, 300).astype(float))
-    vecs = [big.vector({int(t): int(rng.integers(1, 4)) for t in rng.choice(30, 3, replace=False)}) for _ in range(300)]
-    by_id = dict(enumerate(vecs))
-    big.build(list(vecs))
-    for q in vecs[:20]:
-        dots = {i: sum(x * dict(v).get(t, 0.0) for t, x in q) for i, v in by_id.items()}
-        want = sorted(dots, key=lambda i: (-round(dots[i], 12), i))[: toxicity.NEAREST]
-        at, _ = big.nearest(q)
-        assert [int(i) for i in big.ids[at]] == want
     none = toxicity.build_index(docs, labels.limit(0))
     assert {r.score for r in toxicity.toxicity(docs, none).collect()} == {0.0}
+    assert toxicity.toxicity(docs.limit(0), index).count() == 0
+
+
+def test_block_max_index_equals_brute_force():
+    rng = np.random.default_rng(3)
+    for n, terms, k in ((300, 30, 15), (700, 2000, 15), (40, 8, 3), (5, 9, 15)):
+        rows = [rng.choice(terms, int(rng.integers(1, min(terms, 12))), replace=False) for _ in range(n)]
+        rows += rows[:3]  # copies tie
+        of, h = np.repeat(np.arange(n + 3), [len(r) for r in rows]), np.concatenate([np.sort(r) for r in rows]).astype(np.uint64)
+        index = toxicity.BlockMaxIndex(np.arange(terms, dtype=np.uint64), rng.random(terms) + 0.1, rng.integers(0, 2, n + 3).astype(float), np.arange(n + 3))
+        known = index.known(of, h, rng.integers(1, 4, len(h)))
+        plain = np.zeros((n + 3, terms))
+        plain[known[0], known[1]] = known[2]
+        place = index.build(*known)
+        want = (plain @ plain.T)[:, index.ids]
+        labels = index.labels
+        for without in (None, place):
+            if without is not None:
+                want[np.arange(n + 3), place] = -1
+            cos, _ = index.cosines(n + 3, *known, k=k, without=without)
+            share, proof = index.votes(n + 3, *known, without=without)
+            for i in range(n + 3):
+                best = np.sort(want[i])[::-1][:k]
+                assert np.allclose(np.sort(cos[i])[::-1][: (best > 0).sum()], best[best > 0])
+                full = np.sort(want[i])[::-1][toxicity.NEAREST - 1 : toxicity.NEAREST]
+                near = np.flatnonzero((want[i] > 1e-9) & (want[i] >= (full[0] if len(full) else -1) - 1e-9))
+                assert sorted(proof[i]) == sorted(index.ids[near])
+                assert np.isnan(share[i]) if not len(near) else np.isclose(share[i], (want[i][near] * labels[near]).sum() / want[i][near].sum())
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>x</p>";</script></head><body>
