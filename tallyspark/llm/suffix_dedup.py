@@ -11,7 +11,9 @@ Goal: every byte that lies in a ``length``-byte string which also starts somewhe
 3. Marks whose k-gram recurs with another neighbourhood lie near the edge of a repeat.  All window starts
    about them are suffixes to be sorted: a multikey quicksort over 8-byte characters down to a shallow
    depth, then blind tries over the groups that still agree.  Suffixes that agree over the full length are
-   repeats.  Groups with very many marks are dealt by window offset as well.
+   repeats.  Of a k-gram with more than HOT neighbourhoods every window is hashed (128 bits with the k-gram), a
+   map task ships one record for each distinct window, and these are dealt by their hash: windows meet only where
+   they agree, and no more often than there are tasks.
 4. Spans are joined to the texts and cut.
 
 Defined cases: null text is the empty text; texts under ``length`` bytes lose nothing; rows that are equal
@@ -34,8 +36,7 @@ from .common import mix64, partitions_for, staged, table, text_of
 LENGTH = 200
 SHALLOW = 3  # characters of 8 bytes
 PIECE = 1 << 21
-HOT = 512
-OFFSETS = 16  # window offsets that stay together in a hot group
+HOT = 4096
 RECORD = np.dtype([("g", "<u8"), ("c", "<u8"), ("rk", "<i8"), ("pos", "<u4"), ("right", "u1"), ("dup", "u1")])
 SPAN = np.dtype([("rk", "<i8"), ("start", "<u4"), ("end", "<u4")])
 PROBE = np.dtype([("g", "<u8"), ("rk", "<i8"), ("pos", "<u4"), ("hot", "u1")])
@@ -256,7 +257,8 @@ def window_range(h: np.ndarray, pos: np.ndarray, w: int, n_windows: int):
 
 
 def contexts(text: bytes, probes: np.ndarray, length: int):
-    """For each probe of the text: (g, hot, first window start, last window start, bytes of these windows)."""
+    """For each probe of the text: the probe, first and last window start, and the bytes of these windows, or their
+    hashes if the k-gram is hot."""
     raw = np.frombuffer(text, np.uint8)
     for a in range(0, len(raw), PIECE):  # long texts by pieces
         mine = probes[(probes["pos"] >= a) & (probes["pos"] < a + PIECE)]
@@ -267,16 +269,36 @@ def contexts(text: bytes, probes: np.ndarray, length: int):
         h = m.grams()
         lo, hi = window_range(h, mine["pos"].astype(np.int64) - a0, m.w, len(raw) - a0 - length + 1)
         for p, x, y in zip(mine, lo.tolist(), hi.tolist()):
-            if y >= x:
+            if y < x:
+                continue
+            if p["hot"]:
+                at = np.arange(x, y + 1)
+                yield p, x + a0, y + a0, mix64(m.span_hash(at, at + length) + (p["pos"].astype(np.int64) - a0 - at).astype(np.uint64))
+            else:
                 yield p, x + a0, y + a0, text[x + a0 : y + a0 + length]
 
 
-CONTEXT = "slot int, g long, rk long, pos long, lo long, hi long, bytes binary"
+CONTEXT = {"slot": pa.int32(), "kind": pa.int32(), "g": pa.int64(), "rk": pa.int64(), "pos": pa.int64(), "lo": pa.int64(), "hi": pa.int64(), "bytes": pa.binary()}
 
 
-def _context_task(length: int, slots: int):
+def _alike(rec: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of window records: spans of those that occur more than once, and one record of each, which says so."""
+    rec = rec[_by(rec, "g", "c")]
+    new = np.ones(len(rec), bool)
+    new[1:] = (rec["g"][1:] != rec["g"][:-1]) | (rec["c"][1:] != rec["c"][:-1])
+    group = np.cumsum(new) - 1
+    many = np.bincount(group) > 1
+    many[group[rec["dup"] > 0]] = True
+    rec["dup"] = many[group]
+    gone = rec[rec["dup"] > 0]
+    spans = np.empty(len(gone), SPAN)
+    spans["rk"], spans["start"], spans["end"] = gone["rk"], gone["pos"], gone["pos"] + length
+    return spans, rec[new]
+
+
+def _context_task(length: int, slots: int, text_slots: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
+        out, hot = [], []
         if right.num_rows and left.num_rows:
             probes = np.concatenate([np.frombuffer(p, PROBE) for p in right.column("payload").to_pylist()])
             probes = probes[_by(probes, "rk", "pos")]
@@ -289,16 +311,18 @@ def _context_task(length: int, slots: int):
                 seen.add(keys[i])
                 text = left.column("text")[int(i)].as_py().encode("utf-8", "surrogatepass")
                 for p, x, y, ctx in contexts(text, probes[lo[i] : hi[i]], length):
-                    g, pos = int(p["g"].astype(np.int64)), int(p["pos"])
-                    if not p["hot"]:
-                        out.append((int(p["g"] % np.uint64(slots)), g, int(keys[i]), pos, x, y, ctx))
-                        continue
-                    for block in range((pos - y) // OFFSETS, (pos - x) // OFFSETS + 1):
-                        a, b = max(x, pos - block * OFFSETS - OFFSETS + 1), min(y, pos - block * OFFSETS)
-                        if a <= b:
-                            out.append((int((int(p["g"]) + 7919 * (block + 1)) % slots), g, int(keys[i]), pos, a, b, ctx[a - x : b - x + length]))
-        cols = list(zip(*out)) if out else [()] * 7
-        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int32(), *[pa.int64()] * 5, pa.binary()])], names=["slot", "g", "rk", "pos", "lo", "hi", "bytes"])
+                    if p["hot"]:
+                        rec = np.zeros(y - x + 1, RECORD)
+                        rec["g"], rec["c"], rec["rk"], rec["pos"] = p["g"], ctx, keys[i], np.arange(x, y + 1)
+                        hot.append(rec)
+                    else:
+                        out.append((int(p["g"] % np.uint64(slots)), 2, int(p["g"].astype(np.int64)), int(keys[i]), int(p["pos"]), x, y, ctx))
+        if hot:
+            spans, rec = _alike(np.concatenate(hot), length)
+            out += [(slot, 0, 0, 0, 0, 0, 0, raw) for slot, raw in _blocks(spans, spans["rk"] % text_slots)]
+            out += [(slot, 1, 0, 0, 0, 0, 0, raw) for slot, raw in _blocks(rec, (mix64(rec["c"]) % np.uint64(slots)).astype(np.int64))]
+        cols = list(zip(*out)) if out else [()] * len(CONTEXT)
+        return pa.table([pa.array(c, t) for c, t in zip(cols, CONTEXT.values())], names=list(CONTEXT))
 
     return run
 
@@ -385,17 +409,32 @@ def _sort_task(length: int, text_slots: int, most: int = 1 << 20):
         s = sort_contexts(rows, length)
         return [_rows(_blocks(s, s["rk"] % text_slots), 0)] if len(s) else []
 
+    def alike(parts):
+        s, _ = _alike(np.concatenate(parts), length)
+        return [_rows(_blocks(s, s["rk"] % text_slots), 0)] if len(s) else []
+
     def run(batches):
-        rows, now, suffixes = [], None, 0
+        rows, now, suffixes, windows, slot_now = [], None, 0, [], None
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(1, 7))):
-                if r[0] != now:
-                    if suffixes > most:
-                        yield from flush(rows)
-                        rows, suffixes = [], 0
-                    now = r[0]
-                rows.append(r)
-                suffixes += r[4] - r[3] + 1
+            for slot, kind, *r in zip(*(c.to_pylist() for c in b.columns)):
+                if windows and (kind != 1 or slot != slot_now):
+                    yield from alike(windows)
+                    windows = []
+                if kind == 0:
+                    yield _rows([(slot, r[5])], 0)
+                elif kind == 1:
+                    slot_now = slot
+                    windows.append(np.frombuffer(r[5], RECORD))
+                else:
+                    if r[0] != now:
+                        if suffixes > most:
+                            yield from flush(rows)
+                            rows, suffixes = [], 0
+                        now = r[0]
+                    rows.append(r)
+                    suffixes += r[4] - r[3] + 1
+        if windows:
+            yield from alike(windows)
         if rows:
             yield from flush(rows)
 
@@ -432,8 +471,8 @@ def cut(docs: DataFrame, finish, schema, length: int = LENGTH, text_col: str = "
     local, meet = repeated_spans(keyed, length, hot)
     texts = keyed.groupBy("slot")
     probes = meet.where("kind = 2")
-    ctx = texts.cogroup(probes.groupBy("slot")).applyInArrow(_context_task(length, slots), CONTEXT)
-    late = ctx.repartition("slot").sortWithinPartitions("slot", "g").mapInArrow(_sort_task(length, text_slots), PACKED)
+    ctx = texts.cogroup(probes.groupBy("slot")).applyInArrow(_context_task(length, slots, text_slots), "slot int, kind int, g long, rk long, pos long, lo long, hi long, bytes binary")
+    late = ctx.repartition("slot").sortWithinPartitions("slot", "kind", "g").mapInArrow(_sort_task(length, text_slots), PACKED)
     spans = local.unionByName(meet.where("kind = 0")).unionByName(late)
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
