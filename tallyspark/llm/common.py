@@ -126,7 +126,7 @@ def hashed_words(texts: list[bytes], kind: np.ndarray = SPACE_WORDS) -> tuple[np
     return span_hashes(buf, a, b), a, b, np.searchsorted(a, starts)
 
 
-def batches_of_bytes(texts: list, most: int = 1 << 21):
+def batches_of_bytes(texts: list, most: int = 1 << 19):
     """(first, texts as bytes) in runs of about ``most`` bytes, each text whole."""
     run, size, first = [], 0, 0
     for i, t in enumerate(texts):

@@ -155,7 +155,7 @@ def _node_task(k: int, parts: Parts):
     return run
 
 
-def _signature_task(k: int, parts: Parts, slots: Slots, most: int = 1_500_000):
+def _signature_task(k: int, parts: Parts, slots: Slots, most: int = 600_000):
     """Part hashes of the distinct sets of a task, packed by slot: a table of nodes, how many each has, the hashes."""
 
     def flush(slot, part, at, nodes):
@@ -211,7 +211,7 @@ def _by_slot(batches, *names):
 SHARED = {"slot": pa.int32(), "node": pa.int64(), "n": pa.int64(), "need": pa.int32(), "many": pa.int64(), "home": pa.int64(), "sigs": pa.binary()}
 
 
-def _shared_task(need: list[int], most: int = 2_000_000):
+def _shared_task(need: list[int], most: int = 1_000_000):
     """Part hashes that more than one node has, packed by slot and node.  What is kept in a task are the distinct hashes
     of a slot: the rows of a hash that many nodes have pass through."""
 

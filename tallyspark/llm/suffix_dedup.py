@@ -35,7 +35,7 @@ from .common import mix64, partitions_for, staged, table, text_of
 
 LENGTH = 200
 SHALLOW = 3  # characters of 8 bytes
-PIECE = 1 << 21
+PIECE = 1 << 19
 HOT = 4096
 RECORD = np.dtype([("g", "<u8"), ("c", "<u8"), ("rk", "<i8"), ("pos", "<u4"), ("right", "u1"), ("dup", "u1")])
 SPAN = np.dtype([("rk", "<i8"), ("start", "<u4"), ("end", "<u4")])
