@@ -126,15 +126,17 @@ def hashed_words(texts: list[bytes], kind: np.ndarray = SPACE_WORDS) -> tuple[np
     return span_hashes(buf, a, b), a, b, np.searchsorted(a, starts)
 
 
-def batches_of_bytes(texts: list, most: int = 1 << 19):
-    """(first, texts as bytes) in runs of about ``most`` bytes, each text whole."""
+def batches_of_bytes(texts, most: int = 1 << 19):
+    """(first, texts as bytes) of a list or Arrow column in runs of about ``most`` bytes, each text whole."""
     run, size, first = [], 0, 0
-    for i, t in enumerate(texts):
-        run.append((t or "").encode("utf-8", "surrogatepass"))
-        size += len(run[-1])
-        if size >= most:
-            yield first, run
-            run, size, first = [], 0, i + 1
+    for a in range(0, len(texts), 256):
+        part = texts[a : a + 256] if isinstance(texts, list) else texts.slice(a, 256).to_pylist()
+        for i, t in enumerate(part, a):
+            run.append((t or "").encode("utf-8", "surrogatepass"))
+            size += len(run[-1])
+            if size >= most:
+                yield first, run
+                run, size, first = [], 0, i + 1
     if run:
         yield first, run
 

@@ -127,7 +127,7 @@ def _window_task(sizes: list[int], wanted=None):
     def run(batches):
         for b in batches:
             ids, rks = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at0, texts in batches_of_bytes(b.column(2).to_pylist()):
+            for at0, texts in batches_of_bytes(b.column(2)):
                 token, value, kind, first, capital = canonical(texts)
                 signed = value.astype(np.int64)
                 for size in sizes:
@@ -150,7 +150,7 @@ def _window_task(sizes: list[int], wanted=None):
 def _count_task(batches):
     for b in batches:
         out = []
-        for _, texts in batches_of_bytes(b.column(1).to_pylist()):
+        for _, texts in batches_of_bytes(b.column(1)):
             out += np.diff(canonical(texts)[3]).tolist()
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int32())], names=["rk", "words"])
 

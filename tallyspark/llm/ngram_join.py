@@ -33,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of_bytes, bounded, components, hashed_words, mix64, partitions_for, shingle_hashes, staged, table
+from .common import batches_of_bytes, bounded, components, hashed_words, mix64, shingle_hashes, staged, table
 
 BLOCK = 256
 #: Tokens of a group's members together, and queries that meet a group in one task, about.
 GROUP_TOKENS, QUERIES = 1 << 18, 2000
+#: Tokens of all sets for each slot, about.
+SLOT_TOKENS = 1_000_000
 
 
 class Parts:
@@ -103,7 +105,7 @@ class Slots:
         return self.base[level] + ((part >> np.uint64(32)) % np.uint64(self.count[level])).astype(np.int64)
 
 
-def token_sets(texts: list, k: int):
+def token_sets(texts, k: int):
     """Sorted distinct shingle hashes of each text."""
     for _, run in batches_of_bytes(texts):
         words, _, _, first = hashed_words(run)
@@ -144,7 +146,7 @@ def _node_task(k: int, parts: Parts):
     def run(batches):
         for b in batches:
             ns, levels, nodes, bits = [], [], [], []
-            for tokens in token_sets(b.column(2).to_pylist(), k):
+            for tokens in token_sets(b.column(2), k):
                 n = len(tokens)
                 ns.append(n)
                 levels.append(parts.level(n) if n else None)
@@ -173,7 +175,7 @@ def _signature_task(k: int, parts: Parts, slots: Slots, most: int = 600_000):
     def run(batches):
         seen, slot, part, at, nodes, size = set(), [], [], [], [], 0
         for b in batches:
-            for tokens in token_sets(b.column(0).to_pylist(), k):
+            for tokens in token_sets(b.column(0), k):
                 if not len(tokens) or (node := node_of(tokens)) in seen:
                     continue
                 seen.add(node)
@@ -333,57 +335,79 @@ def _hub_task(need: list[int]):
     return run
 
 
-def _late_task(need: list[int], most: int = 1 << 22):
-    """Of rows (slot, root, node, block, sigs) by slot: nodes outside the main component of a part hash, with the
-    blocks that hold nodes of other components there."""
+def _late_task(need: list[int], t: Fraction, most: int = 1 << 20):
+    """Of rows (slot, root, node, block, n, bits, sigs) by slot: nodes outside the main component of a part hash, with
+    the blocks of nodes of other components there that their bitmaps leave possible."""
+    num, den = t.numerator, t.denominator
+
+    def possible(x, y, n, bits):
+        """Whether the rows x and y, pair by pair, can be linked."""
+        out = np.empty(len(x), bool)
+        for a in range(0, len(x), 1 << 16):
+            i, j = x[a : a + (1 << 16)], y[a : a + (1 << 16)]
+            left, right = bits[i], bits[j]
+            both = np.minimum(n[i] - np.bitwise_count(left & ~right).sum(1, dtype=np.int64), n[j] - np.bitwise_count(right & ~left).sum(1, dtype=np.int64))
+            out[a : a + (1 << 16)] = den * both >= num * (n[i] + n[j] - both)
+        return out
 
-    def flush(slot, parts):
-        sig, root, node, block = (np.concatenate(c) for c in zip(*parts))
-        s, r = _distinct(sig, root)
+    def flush(slot, parts, raws):
+        root, node, block, n = (np.concatenate(c) for c in zip(*(p[:4] for p in parts)))
+        sig, many = (np.concatenate(c) for c in zip(*(p[4] for p in parts)))
+        row = np.repeat(np.arange(len(node)), many)
+        s, r = _distinct(sig, root[row])
         mixed = np.unique(s[1:][s[1:] == s[:-1]])  # hashes with more than one component
         keep = np.isin(sig, mixed)
-        sig, root, node, block = sig[keep], root[keep], node[keep], block[keep]
+        sig, row = _distinct(sig[keep], row[keep])
         if not len(sig):
             return
-        order = np.lexsort((root, sig))
-        sig, root, node, block = sig[order], root[order], node[order], block[order]
+        maps = [np.frombuffer(x, np.uint64) for x in raws]
+        least = min(map(len, maps))
+        bits = np.array([folded(x, least) for x in maps])
+        of = root[row]
+        order = np.lexsort((of, sig))
+        sig, row, of = sig[order], row[order], of[order]
         new_s = np.ones(len(sig), bool)
         new_s[1:] = sig[1:] != sig[:-1]
         new_r = new_s.copy()
-        new_r[1:] |= root[1:] != root[:-1]
+        new_r[1:] |= of[1:] != of[:-1]
         r_of, s_of = np.cumsum(new_r) - 1, np.cumsum(new_s) - 1
         size = np.bincount(r_of)
         first = np.flatnonzero(new_r)
-        rank = np.lexsort((root[first], size, s_of[first]))  # the last of each hash is its main component
+        rank = np.lexsort((of[first], size, s_of[first]))  # the last of each hash is its main component
         main = np.zeros(len(first), bool)
         main[rank[np.append(np.diff(s_of[first][rank]) > 0, True)]] = True
         alone = np.flatnonzero(~main[r_of])
-        ts, tb, tr = _distinct(sig, block, root)
-        lo, hi = np.searchsorted(ts, sig[alone], "left"), np.searchsorted(ts, sig[alone], "right")
+        alone = alone[np.argsort(row[alone], kind="stable")]  # a query's pairs are counted together
+        lo, hi = np.searchsorted(sig, sig[alone], "left"), np.searchsorted(sig, sig[alone], "right")
         total = np.cumsum(hi - lo)
         a = 0
         while a < len(alone):
             z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
-            many = (hi - lo)[a:z]
-            to = np.repeat(lo[a:z], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            q = np.repeat(alone[a:z], many)
-            other = tr[to] != root[q]
-            _, x, y = _distinct(sig[q[other]], node[q[other]], tb[to[other]])
+            if z < len(alone) and (whole := int(np.searchsorted(row[alone], row[alone[z]]))) > a:
+                z = whole
+            times = (hi - lo)[a:z]
+            to = np.repeat(lo[a:z], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            q = np.repeat(alone[a:z], times)
+            other = of[to] != of[q]
+            q, to = q[other], to[other]
+            pair, back = np.unique(row[q].astype(np.int64) * len(node) + row[to], return_inverse=True)
+            good = possible(pair // len(node), pair % len(node), n, bits)[back]
+            _, x, y = _distinct(sig[q[good]], node[row[q[good]]], block[row[to[good]]])
             if len(x):
                 yield _counted(x, y, slot, need)
             a = z
 
     def run(batches):
-        now, parts = None, []
-        for slot, (root, node, block, sigs) in _by_slot(batches, "root", "node", "block", "sigs"):
+        now, parts, raws = None, [], []
+        for slot, (root, node, block, n, bits, sigs) in _by_slot(batches, "root", "node", "block", "n", "bits", "sigs"):
             if slot != now:
                 if parts:
-                    yield from flush(now, parts)
-                now, parts = slot, []
-            sig, many = _listed(sigs)
-            parts.append([sig, *(np.repeat(c.to_numpy(), many) for c in (root, node, block))])
+                    yield from flush(now, parts, raws)
+                now, parts, raws = slot, [], []
+            parts.append([*(c.to_numpy() for c in (root, node, block, n)), _listed(sigs)])
+            raws += bits.to_pylist()
         if parts:
-            yield from flush(now, parts)
+            yield from flush(now, parts, raws)
 
     return run
 
@@ -503,7 +527,7 @@ def _token_task(k: int):
         seen = set()
         for b in batches:
             nodes, ns, out = [], [], []
-            for node, tokens in zip(b.column(0).to_pylist(), token_sets(b.column(1).to_pylist(), k)):
+            for node, tokens in zip(b.column(0).to_pylist(), token_sets(b.column(1), k)):
                 if len(tokens) and node not in seen and node_of(tokens) == node:
                     seen.add(node)
                     nodes.append(node)
@@ -530,16 +554,16 @@ def linked_nodes(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5), id_c
     keyed = docs.select(F.xxhash64(F.lit(23), id_col, text_col).alias("rk"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = staged(keyed.mapInArrow(_node_task(k, parts), "rk long, doc_id long, n long, level int, node long, bits binary"), "nodes")
     sizes = rows.where("node is not null").groupBy("level").agg(F.sum("n").alias("n")).collect()  # one row for each size class
-    slots = Slots(parts, {r.level: r.n for r in sizes}, partitions_for(docs))
+    slots = Slots(parts, {r.level: r.n for r in sizes}, -(-sum(r.n for r in sizes) // SLOT_TOKENS))
     packed = keyed.select("text").mapInArrow(_signature_task(k, parts, slots), "slot int, payload binary")
     shared = staged(packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(_shared_task(slots.need), "slot int, node long, n long, need int, many long, home long, sigs binary"), "shared", release=True)
     blocks = staged(blocks_of(shared, rows), "blocks")
-    placed = shared.select("slot", "node", "sigs").join(blocks.select("node", "block"), "node")
+    placed = shared.select("slot", "node", "sigs").join(blocks.select("node", "block", "n", "bits"), "node")
     hubs = placed.select("slot", "block", "node", "sigs").repartition("slot").sortWithinPartitions("slot", "block").mapInArrow(_hub_task(slots.need), "q long, y long, n long, need int")
     first = links_of(met(hubs, 1), blocks, keyed, k, t)
     roots = components(first)
     # what does not hang together with the main component of a part hash meets the groups of all the others
-    late = placed.join(roots, "node", "left").select("slot", F.coalesce("root", "node").alias("root"), "node", "block", "sigs").repartition("slot").sortWithinPartitions("slot").mapInArrow(_late_task(slots.need), "q long, y long, n long, need int")
+    late = placed.join(roots, "node", "left").select("slot", F.coalesce("root", "node").alias("root"), "node", "block", "n", "bits", "sigs").repartition("slot").sortWithinPartitions("slot").mapInArrow(_late_task(slots.need, t), "q long, y long, n long, need int")
     second = links_of(met(late), blocks, keyed, k, t)
     return rows.select("rk", "doc_id", "n", "node"), components(first.unionByName(second))
 

@@ -59,7 +59,7 @@ def _pairs_task(order: int):
     def run(batches):
         total, docs = np.zeros(1 << 16, np.int64), 0
         for b in batches:
-            for _, run_ in batches_of_bytes(b.column(0).to_pylist()):
+            for _, run_ in batches_of_bytes(b.column(0)):
                 buf = np.frombuffer(END + END.join(normal(t) for t in run_), np.uint8)
                 total += np.bincount(buf[:-1].astype(np.uint16) * np.uint16(256) + buf[1:], minlength=1 << 16)
                 total[10 * 256 + 10] -= len(run_) - 1
@@ -189,7 +189,7 @@ def _ask_task(slots: int, order: int):
         chunk = tab.column("chunk")[0].as_py()
         trained = np.array([bool(x) for x in tab.column("trained").to_pylist()])
         wk, wn, gk, gn = [], [], [], []
-        for at, texts in batches_of_bytes(tab.column("text").to_pylist()):
+        for at, texts in batches_of_bytes(tab.column("text")):
             for part in (True, False):
                 mine = [t for t, x in zip(texts, trained[at : at + len(texts)]) if x == part]
                 if not mine:
@@ -253,7 +253,7 @@ def _score_task(order: int):
         counts, codes = rec[0]["code"].astype(np.float64), rec[1]["code"].astype(np.float64)
         logs = np.log10(counts + 1)
         n_words, known, sums, score = [], [], [], []
-        for _, texts in batches_of_bytes(left.column("text").to_pylist()):
+        for _, texts in batches_of_bytes(left.column("text")):
             h, _, _, first = hashed_words(texts)
             at = words.find(h)
             for x, out in ((logs[at], sums), (counts[at] > 0, known)):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, partitions_for, staged, table, text_of
+from .common import batches_of_bytes, mix64, partitions_for, staged, table, text_of
 
 LENGTH = 200
 SHALLOW = 3  # characters of 8 bytes
@@ -180,9 +180,9 @@ def _mark_task(length: int, slots: int, text_slots: int):
         w = length - length * 2 // 5 + 1
         found = []
         for b in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-            rec = find_records(b.column(0).to_numpy(zero_copy_only=False), texts, length)
-            found.append(rec)
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            for first, texts in batches_of_bytes(b.column(1), 4 * PIECE):
+                found.append(find_records(keys[first : first + len(texts)], texts, length))
         if not found:
             return
         rec = np.concatenate(found)

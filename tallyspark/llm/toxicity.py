@@ -39,7 +39,7 @@ THRESHOLD = 0.7
 BATCH = 128
 
 
-def counted_terms(texts: list):
+def counted_terms(texts):
     """Of each run of texts: number of the text, term, and how often it occurs there."""
     for first, run in batches_of_bytes(texts):
         h, _, _, at = hashed_words(run, ALNUM_WORDS)
@@ -179,7 +179,7 @@ def _frequency_task(cast):
         docs = 0
         for b in batches:
             docs += b.num_rows
-            for *_, h, _ in counted_terms(b.column(0).to_pylist()):
+            for *_, h, _ in counted_terms(b.column(0)):
                 t = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
                 total += np.bincount(t[terms[t] == h], minlength=len(terms))
         at = np.flatnonzero(total)
@@ -197,7 +197,7 @@ def build_index(docs: DataFrame, labels: DataFrame, target="toxic", sample=SAMPL
     def words(batches):
         for b in batches:
             hs, ns = [], []
-            for _, m, of, h, n in counted_terms(b.column(2).to_pylist()):
+            for _, m, of, h, n in counted_terms(b.column(2)):
                 cut = np.searchsorted(of, np.arange(m + 1))
                 hs += [h[a:z].tobytes() for a, z in zip(cut, cut[1:])]
                 ns += [n[a:z].astype("<i8").tobytes() for a, z in zip(cut, cut[1:])]
@@ -238,7 +238,7 @@ def toxicity(docs: DataFrame, index: BlockMaxIndex, id_col="doc_id", text_col="t
     def run(batches):
         for b in batches:
             scores, proof = [], []
-            for _, m, of, h, n in counted_terms(b.column(1).to_pylist()):
+            for _, m, of, h, n in counted_terms(b.column(1)):
                 s, p = cast.value.scores(m, of, h, n)
                 scores.append(s)
                 proof += p

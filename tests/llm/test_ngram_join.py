@@ -60,6 +60,7 @@ def test_components_equal_brute_force(spark, monkeypatch):
 def test_small_bounds_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(nj._shared_task, "__defaults__", (60,))
     monkeypatch.setattr(nj._late_task, "__defaults__", (9,))
+    monkeypatch.setattr(nj, "SLOT_TOKENS", 100)
     monkeypatch.setattr(nj, "QUERIES", 3)
     rows = made(5, 120)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
