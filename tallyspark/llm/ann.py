@@ -4,7 +4,7 @@
 2. Start: nodes are range-sorted by random-hyperplane codes a few times over, and every window of WINDOW
    consecutive nodes is compared within itself (bounded blocks, no skew).
 3. NN-descent: a node's neighbours and reverse neighbours (at most ``degree`` of each) meet at the node by
-   joins; pairs of them that beat a current neighbour are sent back and merged, until under CHANGES of the edges change.
+   joins; pairs of them, one of them fresh in the list, that beat a current neighbour are sent back and merged, until under CHANGES of the edges change.
 4. Search: a query's beam starts at its own neighbours and ENTRIES spread nodes, the unexpanded ones in it are joined to their lists (edges both ways), what is
    found is scored and merged, until nothing in the beam is unexpanded.  The last scores are double-precision
    cosines of the original vectors.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -119,34 +120,39 @@ def _window_task(degree: int):
 
 
 def nearest_of(found: DataFrame, degree: int) -> DataFrame:
-    """(a, list of (sim, b)): the ``degree`` nearest of all pairs found, nearest first, ties to the smaller id."""
-    once = found.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    """(a, list of (nth, b, sim, fresh)): the ``degree`` nearest of all pairs found, nearest first, ties to the smaller id;
+    a pair is fresh if all its rows are."""
+    once = found.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
     best = once.withColumn("nth", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("nth") <= degree)
-    return best.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("nth", "b", "sim"))).alias("near"))
+    return best.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("nth", "b", "sim", "fresh"))).alias("near"))
 
 
 def pairs_of(graph: DataFrame) -> DataFrame:
-    return graph.select("a", F.explode("near").alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.sim").alias("sim"))
+    return graph.select("a", F.explode("near").alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.sim").alias("sim"), F.col("x.fresh").alias("fresh"))
 
 
 def _meet_task(batches):
-    """Pairs among the members of each row's list that beat the weaker neighbour of one of them."""
+    """Pairs among the members of each row's list, one of them fresh there, that beat the weaker neighbour of one of
+    them.  The members of a list are of one length."""
     for b in batches:
         lists = b.column(0)
         flat = lists.flatten()
         if not len(flat):
             continue
         size = np.diff(lists.offsets.to_numpy())
-        ids, bar = flat.field("u").to_numpy(), flat.field("bar").to_numpy()
-        vecs = _vectors(flat.field("v"))
+        ids, bar, fresh = flat.field("u").to_numpy(), flat.field("bar").to_numpy(), flat.field("fresh").to_numpy(zero_copy_only=False)
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        for n in np.unique(size[size > 1]):
-            rows = np.flatnonzero(size == n)
+        length = pc.binary_length(flat.field("v")).to_numpy()
+        wide = np.where(size > 0, length[np.minimum(start, len(length) - 1)], 0)
+        raw = flat.field("v").to_pylist()
+        for n, d in {(n, d) for n, d in zip(size.tolist(), wide.tolist()) if n > 1}:
+            rows = np.flatnonzero((size == n) & (wide == d))
             for at in range(0, len(rows), 256):
                 idx = start[rows[at : at + 256]][:, None] + np.arange(n)
-                x = vecs[idx]
+                x = np.frombuffer(b"".join(raw[i] for i in idx.ravel()), np.float32).reshape(*idx.shape, -1).astype(np.float64)
                 s = x @ x.transpose(0, 2, 1)
                 s[:, np.arange(n), np.arange(n)] = -2
+                s[~(fresh[idx][:, :, None] | fresh[idx][:, None, :])] = -2
                 hit = np.nonzero(s > bar[idx][:, :, None] + 1e-12)  # no more than what rounding makes, so lists only get nearer
                 yield _emit(ids[idx[hit[0], hit[1]]], ids[idx[hit[0], hit[2]]], s[hit])
 
@@ -155,31 +161,39 @@ def build_graph(vectors: DataFrame, degree: int | None = None, starts: int = STA
     total = vectors.count()
     degree = degree or degree_of(total)
     sorted_ = vectors.mapInArrow(_codes(starts), "r int, d int, code double, node long, v binary").repartitionByRange("r", "d", "code", "node").sortWithinPartitions("r", "d", "code", "node")
-    graph = staged(nearest_of(sorted_.mapInArrow(_window_task(degree), "a long, b long, sim double"), degree), "graph")
+    fresh = F.lit(True).alias("fresh")
+    graph = staged(nearest_of(sorted_.mapInArrow(_window_task(degree), "a long, b long, sim double").select("a", "b", "sim", fresh), degree), "graph")
     while total:
         pairs = pairs_of(graph)
-        back = pairs.withColumn("nth", F.row_number().over(W.partitionBy("b").orderBy(F.desc("sim"), "a"))).where(F.col("nth") <= degree).select(F.col("b").alias("at"), F.col("a").alias("u"))
-        meet = pairs.select(F.col("a").alias("at"), F.col("b").alias("u")).unionByName(back).distinct()
+        back = pairs.withColumn("nth", F.row_number().over(W.partitionBy("b").orderBy(F.desc("sim"), "a"))).where(F.col("nth") <= degree).select(F.col("b").alias("at"), F.col("a").alias("u"), "fresh")
+        meet = pairs.select(F.col("a").alias("at"), F.col("b").alias("u"), "fresh").unionByName(back).groupBy("at", "u").agg(F.max("fresh").alias("fresh"))
+        # pairs that met before need not meet again, so lists without a fresh member stay away
+        meet = meet.groupBy("at").agg(F.collect_list(F.struct("u", "fresh")).alias("all")).where("exists(all, x -> x.fresh)").select("at", F.explode("all").alias("x")).select("at", F.col("x.u").alias("u"), F.col("x.fresh").alias("fresh"))
         bars = graph.select(F.col("a").alias("u"), F.when(F.size("near") < degree, F.lit(-1.5)).otherwise(F.element_at("near", -1)["sim"]).cast("double").alias("bar"))
         members = meet.join(vectors.withColumnRenamed("node", "u").join(bars, "u"), "u")
-        lists = members.groupBy("at").agg(F.collect_list(F.struct("u", "v", "bar")).alias("members")).select("members")  # at most 2 x degree
-        found = staged(lists.mapInArrow(_meet_task, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim")).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "found")
-        graph = staged(nearest_of(pairs.unionByName(found), degree), "graph", release=True)
-        if pairs_of(graph).join(found, ["a", "b"], "left_semi").count() <= CHANGES * total * degree:
+        lists = members.groupBy("at").agg(F.collect_list(F.struct("u", "v", "bar", "fresh")).alias("members")).select("members")  # at most 2 x degree
+        found = lists.mapInArrow(_meet_task, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
+        graph = staged(nearest_of(pairs.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True))), degree), "graph", release=True)
+        if pairs_of(graph).where("fresh").count() <= CHANGES * total * degree:
             break
     return graph
 
 
 def _cosine_task(batches):
     for b in batches:
-        x, y = _vectors(b.column("qv")), _vectors(b.column("v"))
-        yield pa.RecordBatch.from_arrays([b.column("q"), b.column("c"), pa.array((x * y).sum(1), pa.float64()), pa.array([False] * b.num_rows)], names=["q", "c", "sim", "done"])
+        length = pc.binary_length(b.column("v")).to_numpy()
+        sim = np.empty(b.num_rows)
+        for d in np.unique(length):
+            at = np.flatnonzero(length == d)
+            x, y = (_vectors(b.column(c).take(pa.array(at))) for c in ("qv", "v"))
+            sim[at] = (x * y).sum(1)
+        yield pa.RecordBatch.from_arrays([b.column("q"), b.column("c"), pa.array(sim, pa.float64()), pa.array([False] * b.num_rows)], names=["q", "c", "sim", "done"])
 
 
 def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, starts: DataFrame, degree: int, beam: int) -> DataFrame:
     """(q, c, sim): the beams of queries (q, qv) after greedy search from the start nodes (q, c)."""
     edges = pairs_of(graph)
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "fresh"))
     near = staged(nearest_of(both, 2 * degree).select(F.col("a").alias("c"), F.transform("near", lambda x: x["b"]).alias("next")), "lists")
     vecs = vectors.select(F.col("node").alias("c"), "v")
 

@@ -36,3 +36,18 @@ def test_few_and_none(spark):
     got = [(r.query_id, r.rank, r.vec_id) for r in ann.neighbours(few, F.expr("id % 50 = 0")).orderBy("rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2)]
     assert ann.neighbours(few.limit(0), F.expr("id % 50 = 0")).count() == 0
+
+
+def test_lengths_that_differ(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=d)]) for i, d in enumerate([8] * 120 + [3] * 60 + [5])]
+    rows = [rows[int(i)] for i in rng.permutation(len(rows))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.neighbours(df, F.expr("id % 20 = 0")).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    by_id = dict(rows)
+    for q in range(0, 181, 20):
+        x = np.array(by_id[q])
+        cos = {i: float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)) for i, v in by_id.items() if i != q and len(v) == len(x) for y in [np.array(v)]}
+        assert got.get(q, []) == sorted(cos, key=lambda i: (-cos[i], i))[:5]
