@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is set in local mode (tests)."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.conf.get("tallyspark.shared.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if folder is None:
             folder = tempfile.mkdtemp(prefix="tallyspark-")
             spark.conf.set("tallyspark.shared.dir", folder)

@@ -29,14 +29,14 @@ PATH, WORDS, FIGURES = 384, 96, 10
 EMBED, HIDDEN = 24, 14
 THRESHOLD = 0.5
 # Elements of HTML by how they lay out text.
-RAW = "script|style|textarea|title|noscript|template|iframe|svg|math|select|object|audio|video|canvas|head"
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
+RAW = "script|style|textarea|title|noscript|template|iframe|svg|select|audio|video|canvas|head"
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label object math mrow mi mn mo ms mtext mfrac msup msub msqrt".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dt dd tr td th".split())
 # Attributes as far as the tag's end; a quoted value is read whole, and nothing that was read is given back.
 _REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
-# A raw element with its content; svg and math may be closed in their own tag.
-_RAW = rf"<({RAW.replace('|head', '')})(?=[\s/>])(?:(?:(?<=<svg)|(?<=<math)){_REST}(?<=/)>|[^>]*>.*?(?:</\1\s*>|\Z))"
+# A raw element with its content; svg may be closed in its own tag.
+_RAW = rf"<({RAW.replace('|head', '')})(?=[\s/>])(?:(?<=<svg){_REST}(?<=/)>|[^>]*>.*?(?:</\1\s*>|\Z))"
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|{_RAW}|<(/?)([a-zA-Z][^\s/>]*)({_REST})>|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S | re.I)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")

@@ -94,10 +94,16 @@ def evaluate(expression: str) -> tuple[set[str], int]:
     """Labels that the expression names, and the number of ways (choices) to satisfy it.
 
     Only sets and counts are kept, so nested expressions do not grow with their choices."""
+
+    def label(name):
+        if name.endswith("+"):  # or later
+            name = name[:-1] if f"{name[:-1]}-or-later" not in KNOWN else f"{name[:-1]}-or-later"
+        return ALIASES.get(name, name)
+
     rpn = postfix(expression)
     if rpn is None:
         names = {t.lower() for t in _TOKEN.findall(expression) if t not in "()" and t.lower() not in RANK}
-        return {ALIASES.get(n, n) for n in names if n in KNOWN}, 0
+        return {label(n) for n in names if n.rstrip("+") in KNOWN}, 0
     stack: list[tuple[set[str], int]] = []
     for tok in rpn:
         if tok in RANK:
@@ -109,7 +115,7 @@ def evaluate(expression: str) -> tuple[set[str], int]:
             else:
                 stack.append((a | b, na + nb if tok == "or" else na * nb))
         else:
-            stack.append(({ALIASES.get(tok, tok)}, 1))
+            stack.append(({label(tok)}, 1))
     labels, ways = stack[-1]
     return {x for x in labels if x.split(" with ")[0] in LABELS}, ways
 
@@ -144,7 +150,11 @@ def scan(text: str | None) -> tuple:
         if is_base:
             n += 1
             base.add(label)
-            starts.append(line.count(" ", 0, end - size - 1))
+            starts.append(end - size - 1)
+    at = index = 0
+    for k, start in enumerate(sorted(starts)):  # places become word numbers
+        index += line.count(" ", at, start)
+        at, starts[k] = start, index
     found: list[str] = []
     ways = 0
     if text and ":" in text:

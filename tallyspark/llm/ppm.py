@@ -27,6 +27,7 @@ ORDER = 5
 END = b"\n"
 ASK = np.dtype([("key", "<u8"), ("n", "<u4")])
 CODE = np.dtype([("key", "<u8"), ("code", "<f4")])
+COUNT = np.dtype([("key", "<u8"), ("code", "<i8")])  # words are answered by whole counts
 
 
 def normal(text: bytes) -> bytes:
@@ -219,10 +220,10 @@ def _answer_task(pairs_cast, order: int, totals: bool):
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([int((n > 0).sum())], pa.int32()), pa.array([int(n.sum())], pa.int64()), pa.array([None], pa.binary())], names=["kind", "chunk", "n", "payload"])
             return
-        code = n.astype(np.float32) if kind == 0 else code_lengths(keys, n, pairs_cast.value, order)
+        code = n if kind == 0 else code_lengths(keys, n, pairs_cast.value, order)
         out = []
         for chunk, rec in asked:
-            reply = np.empty(len(rec), CODE)
+            reply = np.empty(len(rec), CODE if kind else COUNT)
             reply["key"], reply["code"] = rec["key"], code[np.searchsorted(keys, rec["key"])]
             out.append((chunk, reply.tobytes()))
         m = len(out)
@@ -247,8 +248,8 @@ def _score_task(order: int):
     def run(left, right):
         replies = {0: [], 1: []}
         for kind, p in zip(right.column("kind").to_pylist(), right.column("payload").to_pylist()):
-            replies[kind].append(np.frombuffer(p, CODE))
-        rec = {k: np.concatenate(v) if v else np.empty(0, CODE) for k, v in replies.items()}
+            replies[kind].append(np.frombuffer(p, CODE if kind else COUNT))
+        rec = {k: np.concatenate(v) if v else np.empty(0, CODE if k else COUNT) for k, v in replies.items()}
         words, bytes_ = Lookup(np.ascontiguousarray(rec[0]["key"])), Lookup(np.ascontiguousarray(rec[1]["key"]))
         counts, codes = rec[0]["code"].astype(np.float64), rec[1]["code"].astype(np.float64)
         logs = np.log10(counts + 1)

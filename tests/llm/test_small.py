@@ -194,3 +194,11 @@ def test_lstm_gradients():
         down = loss()
         net.p[k][at] = old
         assert g[k][at] == pytest.approx((up - down) / (2 * eps), rel=2e-2, abs=1e-5)
+
+
+def test_licences_later_versions_and_many_hits():
+    assert licences.scan("SPDX-License-Identifier: GPL-2.0+")[5] == "gpl-2.0-or-later"
+    assert licences.scan("SPDX-License-Identifier: (MIT AND GPL-3.0+)")[5] == "gpl-3.0-or-later,mit"
+    text = "word cc by nc " * 20000
+    n, base, first, last = licences.scan(text)[:4]
+    assert (n, base, first, last) == (80000, 20000, 1, 79997)
