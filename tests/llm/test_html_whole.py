@@ -22,7 +22,9 @@ def test_names_that_begin_like_raw_elements():
     for name in ("svg", "math", "SVG"):
         assert texts(f'<p>one <{name} a="b>c" />two</p><p>three</p>') == ["one two", "three"]
         assert texts(f"<p>one</p><{name}/><p>two</p>") == ["one", "two"]
-        assert texts(f"<p>one</p><{name} a='/'><path d='x'/>no</{name}><p>two</p>") == ["one", "two"]
+        if name != "math":
+            assert texts(f"<p>one</p><{name} a='/'><path d='x'/>no</{name}><p>two</p>") == ["one", "two"]
+    assert texts("<p>area is <math><mi>x</mi></math> units</p>") == ["area is x units"]  # formulas are text of the article
     assert texts("<p>one</p><script>a<b</script><p>two") == ["one", "two"]
 
 
