@@ -63,24 +63,25 @@ def billed(spark, sf_dir) -> DataFrame:
     return invoices(spark, sf_dir).join(sales_orders(spark, sf_dir).select("so_code", "salesman", "division", "customer_code"), "so_code")
 
 
-def invoice_activities(spark, sf_dir) -> list[DataFrame]:
-    """Invoices, payments, dues and past dues, each by the date it happened."""
-    b = billed(spark, sf_dir)
-    by = lambda date, test, value, name, flag: b.where(test).groupBy(F.col(date).alias("activity_date"), *KEYS[1:]).agg(total(F.col(value)).alias(name), distinct_with_null(F.col("invoice_code")).alias(f"{flag}_count"), F.lit(1).alias(f"has_{flag}"))
-    return [
-        by("invoice_date", F.lit(True), "net", "invoice_value", "invoice"),
-        by("paid_date", F.col("paid_date").isNotNull(), "paid", "payment_value", "payment"),
-        by("due_date", F.lit(True), "net", "due_value", "due"),
-        by("due_date", F.col("paid_date").isNull(), "net", "past_due_value", "past_due"),
-    ]
+#: Of each activity of an invoice line: name, date, condition, value, and the name of the value's sum.
+ACTIVITIES = (("invoice", "invoice_date", "true", "net", "invoice_value"), ("payment", "paid_date", "paid_date is not null", "paid", "payment_value"), ("due", "due_date", "true", "net", "due_value"), ("past_due", "due_date", "paid_date is null", "net", "past_due_value"))
+
+
+def invoice_activities(spark, sf_dir) -> DataFrame:
+    """Invoices, payments, dues and past dues, each by the date it happened; the lines are read once."""
+    each = F.array(*(F.when(F.expr(test), F.struct(F.lit(kind).alias("kind"), F.col(date).cast("date").alias("activity_date"), F.col(value).cast("decimal(18,2)").alias("value"))) for kind, date, test, value, _ in ACTIVITIES))
+    rows = billed(spark, sf_dir).select(*KEYS[1:], "invoice_code", F.explode(F.array_compact(each)).alias("act")).select("act.*", *KEYS[1:], "invoice_code")
+    sums = rows.groupBy("kind", *KEYS).agg(total(F.col("value")).alias("value"), distinct_with_null(F.col("invoice_code")).alias("count"))
+    own = lambda kind, c: F.when(F.col("kind") == kind, c)
+    return sums.select(*KEYS, *(c for kind, *_, name in ACTIVITIES for c in (own(kind, F.col("value")).alias(name), own(kind, F.col("count")).alias(f"{kind}_count"), own(kind, F.lit(1)).alias(f"has_{kind}"))))
 
 
 COUNTS = ["so_count", "quotation_count", "invoice_count", "payment_count", "due_count", "past_due_count"]
 
 
 def daily_activity(spark, sf_dir) -> DataFrame:
-    """All activity: five differently shaped frames in one."""
-    every = diagonal_union(so_activity(spark, sf_dir), *invoice_activities(spark, sf_dir))
+    """All activity: differently shaped frames in one."""
+    every = diagonal_union(so_activity(spark, sf_dir), invoice_activities(spark, sf_dir))
     return every.fillna(0, subset=VALUES + FLAGS + COUNTS).fillna("", subset=["status_groups"])
 
 

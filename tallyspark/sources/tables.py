@@ -30,18 +30,22 @@ def net_price() -> Column:
 def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per invoice line with its dimensions."""
     t = lambda n: table(spark, sf_dir, n)
-    df = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    df = df.join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    # rules are evaluated on the dimension tables, once for each of their rows
+    customers = t("customer").select("c_custkey", "c_name", division(F.col("c_mktsegment")).alias("division"))
+    salesmen = t("supplier").select("s_suppkey", "s_name", rules.branch_of(F.col("s_name"), rules.DAILY).alias("branch"))
+    products = t("part").select("p_partkey", F.lower("p_brand").alias("sku"), "p_type", "p_name", "p_size")
+    df = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    df = df.join(products, F.col("l_partkey") == F.col("p_partkey")).join(salesmen, F.col("l_suppkey") == F.col("s_suppkey"))
     qty = money(F.col("l_quantity"))
     return df.select(
         F.col("l_shipdate").cast("date").alias("invoice_date"),
         F.col("l_orderkey").alias("invoice_code"),
         F.col("c_custkey").alias("customer_code"),
         F.col("c_name").alias("customer_name"),
-        division(F.col("c_mktsegment")).alias("division"),
+        "division",
         F.col("s_name").alias("salesman"),
-        rules.branch_of(F.col("s_name"), rules.DAILY).alias("branch"),
-        F.lower("p_brand").alias("sku"),
+        "branch",
+        "sku",
         F.col("p_type").alias("category"),
         F.col("p_name").alias("product_name"),
         F.col("p_partkey").alias("product_code"),
