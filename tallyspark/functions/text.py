@@ -190,11 +190,18 @@ def gift_type(c: Column) -> Column:
     return out
 
 
+# Brand words that stay in capitals.
+UPPER_WORDS = ("WTP", "SC", "ICI")
+
+
 def brand_label(c: Column) -> Column:
-    return F.initcap(F.lower(F.trim(c)))
+    """Display form of a brand: each word capitalised, some in capitals, separators kept; nothing gives 'Unknown'."""
+    words = F.split(F.trim(c), r"(?<=[\s\-_/])|(?=[\s\-_/])")
+    shown = F.transform(words, lambda x: F.when(F.upper(x).isin(*UPPER_WORDS), F.upper(x)).otherwise(F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30)))))
+    return F.when(F.coalesce(F.lower(F.trim(c)), F.lit("")).isin("", "nan", "none"), "Unknown").otherwise(F.array_join(shown, ""))
 
 
 def join_list(c: Column, sep: str = ", ", most: int | None = None) -> Column:
-    """Aggregate: distinct values, sorted, joined."""
-    items = F.array_sort(F.collect_set(c))
-    return F.array_join(items if most is None else F.slice(items, 1, most), sep)
+    """Aggregate: distinct values without words for nothing, sorted, joined; null if there are none."""
+    items = F.array_sort(F.collect_set(null_text(c)))
+    return F.when(F.size(items) > 0, F.array_join(items if most is None else F.slice(items, 1, most), sep))

@@ -25,3 +25,16 @@ def mode_of(df: DataFrame, by: list[str], col: str) -> DataFrame:
 
 def share_of_total(col: str) -> Column:
     return F.try_divide(F.col(col), F.sum(col).over(W.partitionBy()))
+
+
+def first_seen(df: DataFrame, by: list[str], col: str, order: list[str], out: str, sep: str = " + ", most: int = 12) -> DataFrame:
+    """(by, out): distinct values in the order of their first row, joined; beyond ``most`` only their number is told.
+
+    Values are made distinct before they are ranked, and no more than ``most`` of a group are gathered."""
+    value = F.trim(F.col(col).cast("string"))
+    one = df.select(*by, value.alias("_value"), F.struct(*order).alias("_first")).where("_value <> ''").groupBy(*by, "_value").agg(F.min("_first").alias("_first"))
+    w = W.partitionBy(*by).orderBy("_first", "_value")
+    one = one.withColumns({"_place": F.row_number().over(w), "_n": F.count("*").over(W.partitionBy(*by))}).where(F.col("_place") <= most)
+    lists = one.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_place", "_value"))).alias("_list"), F.max("_n").alias("_n"))
+    text = F.array_join(F.transform("_list", lambda x: x["_value"]), sep)
+    return lists.select(*by, F.when(F.col("_n") > most, F.concat(text, F.lit(f"{sep}... ("), F.col("_n").cast("string"), F.lit(" items)"))).otherwise(text).alias(out))

@@ -28,6 +28,30 @@ def lookup(df: DataFrame, ref: DataFrame, key: str) -> DataFrame:
     return df.join(one, key, "left")
 
 
+def fan_lookup(df: DataFrame, ref: DataFrame, key: str, upper: bool = False) -> DataFrame:
+    """Left join to every row that a reference has for the key; ``upper`` compares trimmed capitals."""
+    if not upper:
+        return df.join(ref, key, "left")
+    right = ref.withColumn("_key", F.upper(F.trim(key))).drop(key)
+    return df.withColumn("_key", F.upper(F.trim(key))).join(right, "_key", "left").drop("_key")
+
+
+def resolve(df: DataFrame, ref: DataFrame, steps: list[tuple[str, str]], order: str, out: str) -> DataFrame:
+    """``out``: the reference row (struct) by the first (column, reference column) pair that hits; of several rows
+    the last by ``order`` counts."""
+    found = []
+    for n, (mine, theirs) in enumerate(steps):
+        last = ref.where(F.col(theirs).isNotNull()).groupBy(F.col(theirs).alias(f"_k{n}")).agg(F.max_by(F.struct(*ref.columns), F.col(order)).alias(f"_r{n}"))
+        df = df.join(last, F.col(mine) == F.col(f"_k{n}"), "left").drop(f"_k{n}")
+        found.append(f"_r{n}")
+    return df.withColumn(out, F.coalesce(*found)).drop(*found)
+
+
+def full_outer_named(a: DataFrame, b: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Full outer join where the right side names its keys otherwise."""
+    return full_outer(a, b.withColumnsRenamed({r: k for k, r in keys.items()}), list(keys))
+
+
 def in_range(df: DataFrame, ranges: DataFrame, key: str, value: str, low: str, high: str, order: str) -> DataFrame:
     """First row by ``order`` of the key's ranges that holds the value (open ends are null)."""
     hit = df.join(ranges, key).where((F.col(low).isNull() | (F.col(value) >= F.col(low))) & (F.col(high).isNull() | (F.col(value) <= F.col(high))))

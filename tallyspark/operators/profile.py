@@ -118,3 +118,16 @@ def detect_file_role(name: str, content: str, roles: dict) -> tuple[str | None,
         if score > best[1]:
             best = (role, score)
     return best
+
+
+def price_derived(df: DataFrame, candidate: str, price: str) -> DataFrame:
+    """One row, ``derived``: do the ratios of two number columns crowd around their upper median?
+
+    Asks for ratios in at least half of the rows and five at the least, three of five of them within 3 percent."""
+    a, b = F.col(candidate).cast("double"), F.col(price).cast("double")
+    r = df.select(F.try_divide(a, b).alias("r"))
+    # the smallest step beyond one half takes the upper of two middle values
+    mid = r.agg(F.expr("percentile_disc(0.500000000001) WITHIN GROUP (ORDER BY r)").alias("m"), F.count("r").alias("n"), F.count("*").alias("rows"))  # one row
+    near = r.join(F.broadcast(mid)).groupBy("m", "n", "rows").agg(F.count(F.when(F.abs(F.col("r") - F.col("m")) / F.col("m") < 0.03, 1)).alias("close"))
+    enough = F.col("n") >= F.greatest(F.lit(5.0), F.col("rows") * 0.5)
+    return near.select((enough & (F.col("m") != 0) & (F.try_divide(F.col("close").cast("double"), F.col("n").cast("double")) >= 0.6)).alias("derived"))
