@@ -107,13 +107,13 @@ def price_validation(spark, sf_dir):
 
 
 def ranged_prices(spark, sf_dir) -> DataFrame:
-    """Three quantity bands for every fourth part: up to 9, 10 to 29, 30 and more."""
-    c = catalogue(spark, sf_dir).where("row_id % 4 = 0")
+    """Three quantity bands for every part: up to 9, 10 to 29, 30 and more."""
+    c = catalogue(spark, sf_dir)
     bands = F.array(*(F.struct(F.lit(n).alias("band"), F.lit(lo).cast("double").alias("qty_min"), F.lit(hi).cast("double").alias("qty_max"), F.lit(k).cast("decimal(3,2)").alias("factor")) for n, lo, hi, k in ((0, None, 9.0, 1.0), (1, 10.0, 29.0, 0.9), (2, 30.0, None, 0.8))))
     return c.select(F.col("row_id"), "price", F.explode(bands).alias("b")).select("row_id", F.col("b.band").alias("band"), F.col("b.qty_min").alias("qty_min"), F.col("b.qty_max").alias("qty_max"), (F.col("price") * F.col("b.factor")).cast("decimal(18,2)").alias("band_price"))
 
 
-@query("q_qty_range_price", f"WITH {VEND}, b AS (SELECT * FROM (VALUES (0, NULL, 9.0, 1.00::DECIMAL(3,2)), (1, 10.0, 29.0, 0.90::DECIMAL(3,2)), (2, 30.0, NULL, 0.80::DECIMAL(3,2))) t(band, lo, hi, f)), c AS (SELECT p_partkey AS row_id, band, lo, hi, CAST(CAST(p_retailprice AS DECIMAL(18,2)) * f AS DECIMAL(18,2)) AS band_price FROM part, b WHERE p_partkey % 4 = 0) SELECT v.row_id, v.qty, c.band, CAST(band_price AS DOUBLE) AS band_price, CAST(v.price AS DOUBLE) AS price, CAST(v.price - band_price AS DOUBLE) AS diff FROM vend v JOIN c ON v.row_id = c.row_id AND (lo IS NULL OR qty >= lo) AND (hi IS NULL OR qty <= hi) QUALIFY row_number() OVER (PARTITION BY v.row_id ORDER BY band) = 1")
+@query("q_qty_range_price", f"WITH {VEND}, b AS (SELECT * FROM (VALUES (0, NULL, 9.0, 1.00::DECIMAL(3,2)), (1, 10.0, 29.0, 0.90::DECIMAL(3,2)), (2, 30.0, NULL, 0.80::DECIMAL(3,2))) t(band, lo, hi, f)), c AS (SELECT p_partkey AS row_id, band, lo, hi, CAST(CAST(p_retailprice AS DECIMAL(18,2)) * f AS DECIMAL(18,2)) AS band_price FROM part, b) SELECT v.row_id, v.qty, c.band, CAST(band_price AS DOUBLE) AS band_price, CAST(v.price AS DOUBLE) AS price, CAST(v.price - band_price AS DOUBLE) AS diff FROM vend v JOIN c ON v.row_id = c.row_id AND (lo IS NULL OR qty >= lo) AND (hi IS NULL OR qty <= hi) QUALIFY row_number() OVER (PARTITION BY v.row_id ORDER BY band) = 1")
 def qty_range_price(spark, sf_dir):
     """Vendor price against the internal price of the band that holds the quantity (the first, if several do)."""
     hit = vendor_list(spark, sf_dir).join(ranged_prices(spark, sf_dir), "row_id").where(qty_in_range(F.col("qty"), F.col("qty_min"), F.col("qty_max")))
