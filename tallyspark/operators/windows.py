@@ -20,6 +20,20 @@ def average_rank(col: str, by=()) -> Column:
     return F.rank().over(W.partitionBy(*by).orderBy(col)) + (F.count("*").over(W.partitionBy(*by, col)) - 1) / 2
 
 
+def average_ranks(values: DataFrame, col: str, n: str) -> DataFrame:
+    """(col, rank, n_all): the mean rank of each value among all rows, out of one row a value with its count ``n``.
+
+    Values meet in buckets of a logarithmic scale; the only window over everything is one row a bucket, some
+    thousands at most, whatever the table's size."""
+    v = F.col(col)
+    df = values.select(v, F.col(n).alias("_n"), (F.signum(v) * F.floor(F.log1p(F.abs(v)) * 64)).cast("int").alias("_bucket"))
+    tops = df.groupBy("_bucket").agg(F.sum("_n").alias("_in"))
+    upto = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    tops = tops.select("_bucket", F.coalesce(F.sum("_in").over(upto), F.lit(0)).alias("_before"), F.sum("_in").over(W.partitionBy()).alias("n_all"))
+    inner = F.coalesce(F.sum("_n").over(W.partitionBy("_bucket").orderBy(col).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn("_inner", inner).join(tops, "_bucket").select(col, (F.col("_before") + F.col("_inner") + (F.col("_n") + 1) / 2).alias("rank"), "n_all")
+
+
 def quartile(df: DataFrame, col: str, key: str, out: str, reverse: bool = False) -> DataFrame:
     """Quartile label 1..4 of the first-come rank, edges by linear interpolation; one value only: 2."""
     n = F.count("*").over(W.partitionBy())

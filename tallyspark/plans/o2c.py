@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_label
 from ..functions.numeric import clip, ratio, total
 from ..operators.joins import orphans
-from ..operators.windows import average_rank
+from ..operators.windows import average_ranks
 from ..sources.tables import invoices, packing_slips, sales_orders
 from .frames_sql import BILL, PACK, SO
 
@@ -44,12 +43,15 @@ def sql_chain(c: str, values: dict, default) -> str:
     return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {lit(v)}" for k, v in values.items()) + f" ELSE {lit(default)} END"
 
 
+def active_orders(spark, sf_dir) -> DataFrame:
+    s = F.upper("so_status")
+    return sales_orders(spark, sf_dir).where(~(s.contains("CANCEL") | s.contains("CLOS") | s.contains("DECLIN")))
+
+
 def flow_base(spark, sf_dir) -> DataFrame:
     """Orders left-joined to their packing and invoice sums, with the as-of date of the data.  Excluded orders
     (cancelled, closed, declined) are left out, so their packing and invoices never join."""
-    so = sales_orders(spark, sf_dir)
-    s = F.upper("so_status")
-    active = so.where(~(s.contains("CANCEL") | s.contains("CLOS") | s.contains("DECLIN")))
+    active = active_orders(spark, sf_dir)
     keys = active.select("so_code")
     pack = packing_slips(spark, sf_dir).join(keys, "so_code", "left_semi").groupBy("so_code").agg(F.min("printed_date").alias("first_packing"), F.max("printed_date").alias("last_packing"), total(F.col("net")).alias("packing_value"))
     bill = invoices(spark, sf_dir).join(keys, "so_code", "left_semi").groupBy("so_code").agg(F.min("invoice_date").alias("first_invoice"), F.max("invoice_date").alias("last_invoice"), F.min(F.when(F.col("paid_date").isNull(), F.col("due_date"))).alias("next_due"), F.min("paid_date").alias("first_paid"), F.max("paid_date").alias("last_paid"), total(F.col("net")).alias("invoice_value"), total(F.col("paid")).alias("paid_value"), F.min("invoice_status").alias("invoice_status"))
@@ -84,8 +86,18 @@ def classified(df: DataFrame) -> DataFrame:
     return df.withColumn("stage", stage).withColumn("bottleneck", chain(c("stage"), BOTTLENECK, "Needs Review"))
 
 
-def scored(df: DataFrame) -> DataFrame:
-    """Stuck value, age, risk and priority."""
+def customer_ranks(spark, sf_dir) -> DataFrame:
+    """(customer_code, customer_value, importance): value of a customer's live orders and its mean rank among all
+    such orders, in percent.  Reads the orders alone."""
+    so = active_orders(spark, sf_dir)
+    value = F.when(F.upper("so_status").contains("DRAFT"), 0.0).otherwise(F.col("so_value").cast("double"))
+    per = so.groupBy("customer_code").agg(F.sum(value.cast("decimal(18,2)")).cast("double").alias("customer_value"), F.count("*").alias("n"))
+    ranks = average_ranks(per.groupBy("customer_value").agg(F.sum("n").alias("n")), "customer_value", "n")
+    return per.join(ranks, "customer_value").select("customer_code", "customer_value", (F.col("rank") / F.col("n_all") * 100).alias("importance"))
+
+
+def scored(df: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Stuck value, age, risk and the parts of the priority; ``ranks`` is a row a customer."""
     c = F.col
     gap = lambda a, b: clip(c(a) - c(b), low=0.0)
     st = c("stage")
@@ -113,22 +125,16 @@ def scored(df: DataFrame) -> DataFrame:
         .when(c("aging_days") <= c("sla_days"), "On Time").when(c("aging_days") <= c("sla_days") * 2, "Warning").otherwise("Critical")
     )
     most = df.agg(F.max("stuck_value").alias("most_stuck"))  # one row
-    df = df.withColumn("risk", risk).join(F.broadcast(most)).withColumn("customer_value", F.sum(c("order_value").cast("decimal(18,2)")).over(W.partitionBy("customer_code")).cast("double"))
+    df = df.withColumn("risk", risk).join(F.broadcast(most)).join(ranks, "customer_code", "left")
     df = df.withColumns({
         "value_score": F.when(c("most_stuck") > 0, F.log1p("stuck_value") / F.log1p("most_stuck") * 100).otherwise(0.0),
         "aging_score": F.coalesce(F.least(F.try_divide(c("aging_days").cast("double"), c("sla_days").cast("double")) * 50, F.when(c("sla_days") == 0, None).otherwise(F.lit(100.0))), F.lit(0.0)),
-        "importance": ranked_importance(),
     })
     return df
 
 
-def ranked_importance() -> Column:
-    """Average rank of the customer's value among all orders, in percent."""
-    return average_rank("customer_value") / F.count("*").over(W.partitionBy()) * 100
-
-
 def flow(spark, sf_dir) -> DataFrame:
-    df = scored(classified(flow_base(spark, sf_dir)))
+    df = scored(classified(flow_base(spark, sf_dir)), customer_ranks(spark, sf_dir))
     score = F.floor((0.5 * F.col("value_score") + 0.3 * F.col("aging_score") + 0.2 * F.col("importance")) * 1000 + 0.5) / 1000
     return df.withColumn("priority", F.when(F.col("stage").isin(*DONE), 0.0).otherwise(score)).drop("value_score", "most_stuck")
 
@@ -165,9 +171,9 @@ def o2c_stage(spark, sf_dir):
     return by_group(flow(spark, sf_dir), "stage", "risk")
 
 
-def by_group(df: DataFrame, *by) -> DataFrame:
+def by_group(df: DataFrame, *by, more=()) -> DataFrame:
     m = lambda c: total(F.col(c).cast("decimal(18,2)")).alias(c)
-    return df.groupBy(*by).agg(F.count("*").alias("n_orders"), m("so_value"), m("stuck_value"), F.max("aging_days").alias("max_aging"), ratio(F.sum("aging_days"), F.count("*")).alias("mean_aging"))
+    return df.groupBy(*by).agg(F.count("*").alias("n_orders"), m("so_value"), m("stuck_value"), F.max("aging_days").alias("max_aging"), ratio(F.sum("aging_days"), F.count("*")).alias("mean_aging"), *more)
 
 
 _GROUP = "count(*) AS n_orders, CAST(sum(CAST(so_value AS DECIMAL(18,2))) AS DOUBLE) AS so_value, CAST(sum(CAST(stuck_value AS DECIMAL(18,2))) AS DOUBLE) AS stuck_value, max(aging_days) AS max_aging, CAST(sum(aging_days) AS DOUBLE) / count(*) AS mean_aging"
@@ -175,8 +181,7 @@ _GROUP = "count(*) AS n_orders, CAST(sum(CAST(so_value AS DECIMAL(18,2))) AS DOU
 
 @query("q_o2c_bottleneck", f"WITH {FLOW} SELECT bottleneck, {_GROUP}, count(*) FILTER (risk = 'Critical') AS n_critical FROM flow GROUP BY 1")
 def o2c_bottleneck(spark, sf_dir):
-    df = flow(spark, sf_dir)
-    return by_group(df, "bottleneck").join(df.groupBy("bottleneck").agg(F.count(F.when(F.col("risk") == "Critical", 1)).alias("n_critical")), "bottleneck")
+    return by_group(flow(spark, sf_dir), "bottleneck", more=(F.count_if(F.col("risk") == "Critical").alias("n_critical"),))
 
 
 @query("q_o2c_monthly", f"WITH {FLOW} SELECT strftime(order_date, '%Y-%m') AS month, {_GROUP} FROM flow GROUP BY 1")
