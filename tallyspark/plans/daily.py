@@ -89,10 +89,10 @@ def invoice_prepared(spark, sf_dir):
 DIMS = ["branch", "salesman", "division", "sku"]
 
 
-def wide_target(spark, sf_dir) -> DataFrame:
-    """Targets with a column for each month: last year's sales times 1.05."""
+def wide_target(spark, sf_dir, value: str = "net") -> DataFrame:
+    """Targets with a column for each month: last year's sales (or volume) times 1.05."""
     df = invoice_lines(spark, sf_dir).where(F.year("invoice_date") == YEAR - 1)
-    cols = {f"Mo {m:02d}": F.sum(F.when(F.month("invoice_date") == m, F.col("net"))) for m in range(1, 13)}
+    cols = {f"Mo {m:02d}": F.sum(F.when(F.month("invoice_date") == m, F.col(value))) for m in range(1, 13)}
     return df.groupBy(*DIMS).agg(*((money(c * F.lit(1.05).cast("decimal(3,2)"))).alias(n) for n, c in cols.items()))
 
 
