@@ -6,6 +6,7 @@ from .ann import op1_neighbours
 from .decontaminate import op6_decontaminate
 from .html_extract import op2_html_extract
 from .licences import op10_license_scan
+from .merkle import OP12_SQL, op12_merkle
 from .mixing import OP4_SQL, op4_mixing
 from .ngram_join import OP9_SQL, op9_ngram_join
 from .ppm import op8_lm_score
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_ngram_join": op9_ngram_join,
     "op10_license_scan": op10_license_scan,
+    "op12_merkle": op12_merkle,
 }
-ORACLES = {"op4_mixing": OP4_SQL, "op9_ngram_join": OP9_SQL}
+ORACLES = {"op4_mixing": OP4_SQL, "op9_ngram_join": OP9_SQL, "op12_merkle": OP12_SQL}
