@@ -1,21 +1,36 @@
-"""Record linkage between two price lists: blocking, pair scores, thresholds from the data, classes."""
+"""Record linkage between two price lists: blocking, pair scores, rules learned before, thresholds from the data, classes."""
 
 from __future__ import annotations
 
-import pandas as pd
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .stage import staged
 
 #: Tokens in more than this share of the internal rows only break ties among candidates of rarer tokens.
 COMMON = 0.05
 TOP = 60
+# Rules that a list of products in one name is cleaned by; weights of the signals; what disagreeing
+# sizes, codes and short words take away; credit of near tokens.
+LIST_RULES = ("dash", "slash", "paren", "symbol", "dupword")
+WEIGHTS = {"name": 1.5, "compact": 1.0, "tokens": 2.5, "variant": 1.0, "brand": 0.75, "description": 0.5}
+PENALTY = 0.35
+NEAR, NEAR_CREDIT = 0.8, 0.9
+SIGNALS = ("name", "compact", "tokens", "code", "variant", "brand", "description")
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), where value is computed once however often ``then`` uses it."""
+    return F.transform(F.array(value), then)[0]
 
 
 def candidates(vendor: DataFrame, internal: DataFrame, weights: DataFrame, top: int = TOP) -> DataFrame:
     """(v, i, weight, place): the ``top`` internal rows by the summed weight of shared tokens, ties to the smaller id.
+    A vendor row that comes in several readings counts a token once for each.
 
     Vendor rows meet internal rows on their rarer tokens only; common tokens are added on the pairs found.
     A row is settled if its last place weighs more than all its common tokens together, so that no row outside
@@ -23,7 +38,7 @@ def candidates(vendor: DataFrame, internal: DataFrame, weights: DataFrame, top:
     w = weights.select("token", F.round("idf", 6).cast("decimal(14,6)").alias("w"), "df")
     n = internal.agg((F.count("*") * COMMON).alias("cut"))  # one row
     marked = w.join(F.broadcast(n)).withColumn("common", F.col("df") > F.col("cut")).select("token", "w", "common")
-    v = vendor.select(F.col("row_id").alias("v"), F.explode(F.array_distinct("tokens")).alias("token")).join(marked, "token")
+    v = staged(vendor.select(F.col("row_id").alias("v"), F.explode(F.array_distinct("tokens")).alias("token")).join(marked, "token"), "vendor-tokens")
     i = internal.select(F.col("row_id").alias("i"), F.explode(F.array_distinct("tokens")).alias("token"))
 
     def ranked(pairs):
@@ -36,7 +51,7 @@ def candidates(vendor: DataFrame, internal: DataFrame, weights: DataFrame, top:
     full = rare.join(tok_v, "v", "left").join(tok_i, "i")
     zero = F.lit(0).cast("decimal(24,6)")
     shared = F.aggregate(F.coalesce("extra", F.array().cast("array<struct<token:string,w:decimal(14,6)>>")), zero, lambda s, x: (s + F.when(F.array_contains("have", x["token"]), x["w"]).otherwise(F.lit(0).cast("decimal(14,6)"))).cast("decimal(24,6)"))
-    first = ranked(full.select("v", "i", (F.col("rare") + shared).cast("decimal(24,6)").alias("weight"), "most"))
+    first = staged(ranked(full.select("v", "i", (F.col("rare") + shared).cast("decimal(24,6)").alias("weight"), "most")), "rare-candidates")
     done = first.groupBy("v").agg(F.count("*").alias("n"), F.min("weight").alias("least"), F.max("most").alias("most")).where((F.col("n") == top) & (F.col("least") > F.coalesce("most", F.lit(0)))).select("v")
     # rows without common tokens are complete with their rare ones
     done = done.unionByName(v.groupBy("v").agg(F.max(F.col("common").cast("int")).alias("c")).where("c = 0").select("v")).distinct()
@@ -44,91 +59,166 @@ def candidates(vendor: DataFrame, internal: DataFrame, weights: DataFrame, top:
     return first.join(done, "v", "left_semi").select("v", "i", "weight", "place").unionByName(ranked(late).select("v", "i", "weight", "place"))
 
 
+# -- signals ------------------------------------------------------------------------------------
+def _ratio(a: Column, b: Column) -> Column:
+    """Levenshtein ratio of two texts that are not both empty."""
+    return 1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+
+
+def _matched(a: Column, weighed: Column, b: Column) -> Column:
+    """Weight of a's tokens found among b's: whole for an equal one, in part for a near one, each token of b once,
+    in a's order.  ``weighed`` are the weights of a."""
+
+    def step(state: Column, x: Column) -> Column:
+        free = state["free"]
+        fits = F.filter(free, lambda u: (F.length(x["t"]) >= 4) & (F.abs(F.length(u) - F.length(x["t"])) <= 2))
+        best = F.array_max(F.transform(fits, lambda u: F.struct(_ratio(x["t"], u).alias("r"), (-F.array_position(free, u)).alias("p"), u.alias("u"))))
+        near = lambda m: F.when(m["r"] >= NEAR, F.struct((state["got"] + x["w"] * m["r"] * NEAR_CREDIT).alias("got"), F.array_remove(free, m["u"]).alias("free"))).otherwise(state)
+        return F.when(F.array_contains(free, x["t"]), F.struct((state["got"] + x["w"]).alias("got"), F.array_remove(free, x["t"]).alias("free"))).otherwise(_let(best, near))
+
+    start = F.struct(F.lit(0.0).alias("got"), F.array_distinct(b).alias("free"))
+    return F.aggregate(F.zip_with(a, weighed, lambda t, w: F.struct(t.alias("t"), w.alias("w"))), start, step)["got"]
+
+
+def weighed(tokens: Column, weights: Column) -> Column:
+    """Weight of each token, longer ones (up to ten letters) more."""
+    return F.zip_with(tokens, weights, lambda t, w: w * (1 + F.least(F.length(t), F.lit(10)) / 10))
+
+
+def _sum(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+
+
+def _token_score(a: Column, wa: Column, b: Column, wb: Column) -> Column:
+    """wa, wb: weighed tokens."""
+    mean = (_sum(wa) + _sum(wb)) / 2
+    return F.when((F.size(a) == 0) | (F.size(b) == 0) | (mean == 0), 0.0).otherwise(F.least(F.lit(1.0), _matched(a, wa, b) / mean))
+
+
 def token_similarity(a: Column, b: Column, wa: Column, wb: Column) -> Column:
-    """Weighted token overlap with credit for near-identical tokens; greedy, so in pandas over candidate pairs."""
-
-    def lev(x, y):
-        row = list(range(len(y) + 1))
-        for i, p in enumerate(x, 1):
-            last, row[0] = row[0], i
-            for j, q in enumerate(y, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (p != q))
-        return 1 - row[-1] / max(len(x), len(y), 1)
-
-    def one(x, y, xw, yw):
-        if not len(x) or not len(y):
-            return 0.0
-        weigh = lambda t, w: w * (1 + min(len(t), 10) / 10)
-        free, got, total = list(dict.fromkeys(y)), 0.0, 0.0
-        for t, w in zip(x, xw):
-            w = weigh(t, w)
-            total += w
-            if t in free:
-                got += w
-                free.remove(t)
-                continue
-            near = [(lev(t, u), k) for k, u in enumerate(free) if abs(len(u) - len(t)) <= 2 and len(t) >= 4]
-            best, k = max(near, key=lambda p: (p[0], -p[1]), default=(0.0, 0))
-            if best >= 0.8:
-                got += w * best * 0.9
-                free.pop(k)
-        other = sum(weigh(t, w) for t, w in zip(y, yw))
-        mean = (total + other) / 2
-        return min(1.0, got / mean) if mean else 0.0
-
-    def run(a: pd.Series, b: pd.Series, wa: pd.Series, wb: pd.Series) -> pd.Series:
-        return pd.Series([one(list(p), list(q), list(x), list(y)) for p, q, x, y in zip(a, b, wa, wb)], dtype="float64")
-
-    return F.pandas_udf(run, "double")(a, b, wa, wb)
+    """Weighted token overlap with credit for near-identical tokens; wa, wb: weights of the tokens."""
+    return _token_score(a, weighed(a, wa), b, weighed(b, wb))
+
+
+def numbered_bigrams(c: Column) -> Column:
+    """Bigrams with the number of their occurrence, so that sets of them intersect as multisets."""
+    gram = lambda i: F.substring(c, i, F.lit(2))
+    of = lambda i: F.concat(gram(i), F.size(F.filter(F.sequence(F.lit(1), i), lambda j: gram(j) == gram(i))).cast("string"))
+    return F.when(F.length(c) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(c) - 1), of))
+
+
+def _dice(a: Column, ga: Column, b: Column, gb: Column) -> Column:
+    return F.when(a == b, 1.0).when((F.size(ga) == 0) | (F.size(gb) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(ga, gb)) / (F.size(ga) + F.size(gb)))
+
+
+def _code_parts(code: Column, tokens: Column) -> Column:
+    """What the code signal asks of a row."""
+    cleaned = F.filter(F.transform(tokens, T.clean_code), lambda x: x != "")
+    kinds = F.transform(tokens, T.token_class)
+    of = lambda *k: F.filter(tokens, lambda x, n: F.get(kinds, n).isin(*k))
+    return F.struct(T.clean_code(code).alias("code"), cleaned.alias("words"), F.array_join(cleaned, "").alias("run"), F.size(of("code", "measure", "numeric")).alias("n"), of("code", "measure").alias("marks"), tokens.alias("tokens"))
+
+
+def _code_score(v: Column, i: Column) -> Column:
+    """struct(score, weight).  Fixed values: scores and weights of the cases."""
+    none = F.struct(F.lit(0.0).alias("score"), F.lit(0.0).alias("weight"))
+    verdict = lambda when, score, weight: F.when(when, F.struct(score.cast("double").alias("score"), F.lit(weight).alias("weight")))
+    both = v["code"].isNotNull() & i["code"].isNotNull()
+    equal = (v["code"] == i["code"]) & (v["code"] != "")
+    two = F.coalesce(verdict(equal, F.lit(1.0), 4.0), verdict(T.lev_ratio(v["code"], i["code"]) >= 0.85, F.lit(0.7), 2.0), none)
+    own = F.coalesce(v["code"], i["code"])
+    words, run = F.when(v["code"].isNotNull(), i["words"]).otherwise(v["words"]), F.when(v["code"].isNotNull(), i["run"]).otherwise(v["run"])
+    nearest = F.coalesce(F.array_max(F.transform(words, lambda x: T.lev_ratio(x, own))), F.lit(0.0))
+    found = F.when((own != "") & F.contains(run, own), 1.0).otherwise(nearest)
+    one = lambda f: F.coalesce(verdict(f >= 0.999, f, 3.5), verdict(f >= 0.85, f, 1.8))
+    shared = F.size(F.filter(i["tokens"], lambda x: F.array_contains(v["marks"], x)))
+    tokens = verdict((v["n"] > 0) & (i["n"] > 0), shared / F.greatest(F.least(v["n"], i["n"]), F.lit(1)), 1.5)
+    return F.when(both, two).otherwise(F.coalesce(F.when(own.isNotNull(), _let(found, one)), tokens, none))
 
 
 def code_signal(v_code: Column, v_tok: Column, i_code: Column, i_tok: Column) -> tuple[Column, Column]:
     """(score, weight) of the codes: two codes are compared, one is looked for in the other's name, none leaves
     shared code-like tokens."""
-    a, b = T.clean_code(v_code), T.clean_code(i_code)
-    like = lambda t: F.filter(t, lambda x: T.token_class(x) != "word")
-    vc, ic = like(v_tok), like(i_tok)
-    code_or_measure = F.filter(v_tok, lambda x: T.token_class(x).isin("code", "measure"))
-    shared = F.size(F.filter(i_tok, lambda x: F.array_contains(code_or_measure, x)))
-    fallback = (F.size(vc) > 0) & (F.size(ic) > 0)
-    fb_score = shared / F.greatest(F.least(F.size(vc), F.size(ic)), F.lit(1))
-    own = F.coalesce(a, b)
-    other = F.filter(F.transform(F.when(v_code.isNotNull(), i_tok).otherwise(v_tok), T.clean_code), lambda x: x != "")
-    inside = (own != "") & F.contains(F.array_join(other, ""), own)
-    best = F.when(inside, 1.0).otherwise(F.coalesce(F.array_max(F.transform(other, lambda x: T.lev_ratio(x, own))), F.lit(0.0)))
-    two = v_code.isNotNull() & i_code.isNotNull()
-    two_score = F.when((a == b) & (a != ""), 1.0).when(T.lev_ratio(a, b) >= 0.85, 0.7).otherwise(0.0)
-    one = (v_code.isNotNull() | i_code.isNotNull()) & (best >= 0.85)
-    score = F.when(two, two_score).when(one, best).when(fallback, fb_score).otherwise(0.0)
-    weight = F.when(two, F.when(two_score == 1, 4.0).when(two_score > 0, 2.0).otherwise(0.0)).when(one, F.when(best >= 0.999, 3.5).otherwise(1.8)).when(fallback, 1.5).otherwise(0.0)
-    return score, weight
-
-
-def pair_scores(pairs: DataFrame, vendor: DataFrame, internal: DataFrame, weights: DataFrame) -> DataFrame:
+    s = _let(_code_parts(v_code, v_tok), lambda v: _let(_code_parts(i_code, i_tok), lambda i: _code_score(v, i)))
+    return s["score"], s["weight"]
+
+
+# -- pairs --------------------------------------------------------------------------------------
+def features(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """(row_id, reading, f): all that pair scores ask of a row, computed once a row.  rows: row_id, reading, norm,
+    tokens, code, variant, brand, description."""
+    tidy = lambda c: T.clean_value(F.col(c))
+    words = T.tokenize(T.clean_value(F.col("description"), ("symbol",)))
+    rows = rows.withColumn("words", F.when(F.col("description") != "", words))
+    listed = rows.select("row_id", "reading", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("tokens").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("words").alias("t")))).alias("x")).select("row_id", "reading", "x.kind", F.posexplode("x.t").alias("p", "token"))
+    w = F.struct("kind", "p", F.coalesce(F.round("idf", 6), F.lit(1.0)).alias("w"))
+    found = listed.join(weights.select("token", "idf"), "token", "left").groupBy("row_id", "reading").agg(F.array_sort(F.collect_list(w)).alias("ws"))  # as many as a row has tokens
+    of = lambda kind: F.coalesce(F.transform(F.filter("ws", lambda x: x["kind"] == kind), lambda x: x["w"]), F.array().cast("array<double>"))
+    squeezed = F.regexp_replace("norm", r"\s+", "")
+    telling = F.filter("tokens", lambda x: (T.token_class(x) != "word") | (F.length(x) <= 3))
+    f = F.struct(
+        F.col("norm"), numbered_bigrams(F.col("norm")).alias("grams"), squeezed.alias("squeezed"), F.col("tokens"), weighed(F.col("tokens"), of(0)).alias("weighed"), telling.alias("telling"), _code_parts(F.col("code"), F.col("tokens")).alias("code"),
+        *(c for n in ("variant", "brand") for c in (F.when(F.col(n) != "", tidy(n)).alias(n), numbered_bigrams(tidy(n)).alias(f"{n}_grams"))),
+        F.col("words"), F.when(F.col("words").isNotNull(), weighed(F.col("words"), of(1))).alias("words_weighed"),
+    )
+    return rows.join(found, ["row_id", "reading"], "left").select("row_id", "reading", f.alias("f"))
+
+
+def pair_scores(pairs: DataFrame, vendor: DataFrame, internal: DataFrame) -> DataFrame:
     """(v, i, place, score and signals) of candidate pairs: weighted mean of the signals at hand, less a penalty
-    where sizes, codes or short words disagree."""
-    listed = lambda df: df.select("row_id", F.posexplode("tokens").alias("p", "token")).join(weights.select("token", "idf"), "token", "left").groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", F.coalesce("idf", F.lit(1.0)).alias("w")))), lambda x: x["w"]).alias("weights"))
-    side = lambda df, s: df.join(listed(df), "row_id", "left").select(F.col("row_id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("norm", "tokens", "code", "brand")), F.coalesce("weights", F.array().cast("array<double>")).alias(f"{s}_w"))
-    df = pairs.join(side(vendor, "v"), "v").join(side(internal, "i"), "i")
-    vn, in_, vt, it = F.col("v_norm"), F.col("i_norm"), F.col("v_tokens"), F.col("i_tokens")
-    squeeze = lambda c: F.regexp_replace(c, r"\s+", "")
-    c_score, c_weight = code_signal(F.col("v_code"), vt, F.col("i_code"), it)
-    df = df.withColumns({
-        "s_name": T.dice(vn, in_) * 0.5 + T.lev_ratio(vn, in_) * 0.5,
-        "s_compact": T.lev_ratio(squeeze(vn), squeeze(in_)),
-        "s_tokens": token_similarity(vt, it, F.col("v_w"), F.col("i_w")),
-        "s_code": c_score, "w_code": c_weight,
-        "s_brand": T.dice(T.clean_value(F.col("v_brand")), T.clean_value(F.col("i_brand"))),
-        "w_compact": F.when((vn != "") & (in_ != ""), 1.0).otherwise(0.0),
-        "w_brand": F.when(F.col("v_brand").isNotNull() & F.col("i_brand").isNotNull(), 0.75).otherwise(0.0),
-    })
-    tells = lambda t: F.filter(t, lambda x: (T.token_class(x) != "word") | (F.length(x) <= 3))
-    a, b = tells(vt), tells(it)
-    agree = F.size(F.filter(a, lambda x: F.array_contains(b, x))) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
-    penalty = F.when((F.size(a) > 0) & (F.size(b) > 0), (1 - agree) * 0.35).otherwise(0.0)
-    total = 1.5 + 2.5 + F.col("w_compact") + F.col("w_code") + F.col("w_brand")
-    mean = (1.5 * F.col("s_name") + 2.5 * F.col("s_tokens") + F.col("w_compact") * F.col("s_compact") + F.col("w_code") * F.col("s_code") + F.col("w_brand") * F.coalesce("s_brand", F.lit(0.0))) / total
-    return df.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean - penalty))).select("v", "i", "place", "score", "s_name", "s_compact", "s_tokens", "s_code", "s_brand")
+    where sizes, codes or short words disagree; of several readings of a vendor row the best counts.
+    vendor, internal: features of the rows."""
+    v, i = F.col("vf"), F.col("if")
+    df = pairs.join(vendor.select(F.col("row_id").alias("v"), "reading", F.col("f").alias("vf")), "v").join(internal.select(F.col("row_id").alias("i"), F.col("f").alias("if")), "i")
+    code = _code_score(v["code"], i["code"])
+    has = lambda n: v[n].isNotNull() & i[n].isNotNull()
+    lev = lambda n: F.when(F.greatest(F.length(v[n]), F.length(i[n])) == 0, 1.0).otherwise(_ratio(v[n], i[n]))
+    df = df.select(
+        "v", "i", "place", "reading", code.alias("code"),
+        (_dice(v["norm"], v["grams"], i["norm"], i["grams"]) * 0.5 + lev("norm") * 0.5).alias("s_name"),
+        F.when((v["squeezed"] != "") & (i["squeezed"] != ""), lev("squeezed")).alias("s_compact"),
+        _token_score(v["tokens"], v["weighed"], i["tokens"], i["weighed"]).alias("s_tokens"),
+        *(F.when(has(n), _dice(v[n], v[f"{n}_grams"], i[n], i[f"{n}_grams"])).alias(f"s_{n}") for n in ("variant", "brand")),
+        F.when(has("words"), _token_score(v["words"], v["words_weighed"], i["words"], i["words_weighed"]) * 0.8).alias("s_description"),
+        F.when((F.size(v["telling"]) > 0) & (F.size(i["telling"]) > 0), (1 - F.size(F.filter(v["telling"], lambda x: F.array_contains(i["telling"], x))) / F.greatest(F.least(F.size(v["telling"]), F.size(i["telling"])), F.lit(1))) * PENALTY).otherwise(0.0).alias("penalty"),
+    )
+    df = df.withColumns({"s_code": F.when(F.col("code.weight") > 0, F.col("code.score")), "w_code": F.col("code.weight")})
+    total, got = F.lit(0.0), F.lit(0.0)
+    for n in SIGNALS:
+        s, w = F.col(f"s_{n}"), F.col("w_code") if n == "code" else F.lit(WEIGHTS[n])
+        total, got = total + F.when(s.isNotNull(), w).otherwise(0.0), got + F.when(s.isNotNull(), s * w).otherwise(0.0)
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), got / total - F.col("penalty")))
+    best = F.max_by(F.struct(*(F.coalesce(f"s_{n}", F.lit(0.0)).alias(f"s_{n}") for n in SIGNALS)), F.struct("score", -F.col("reading")))
+    out = df.withColumn("score", score).groupBy("v", "i").agg(F.min("place").alias("place"), F.max("score").alias("score"), best.alias("s"))
+    return out.select("v", "i", "place", "score", "s.*")
+
+
+def readings(vendor: DataFrame) -> DataFrame:
+    """The vendor rows, once for each product that their name may stand for (reading 0 is the row itself where it
+    stands for one)."""
+    parts = T.candidate_names(F.coalesce("name", F.lit("")))
+    several = F.size(parts) > 1
+    read = vendor.withColumn("several", several).select("*", F.posexplode_outer(F.when(several, parts)).alias("reading", "read"))
+    norm = F.when(F.col("several"), T.clean_value(F.col("read"), LIST_RULES)).otherwise(F.col("norm"))
+    read = read.withColumn("norm", norm)
+    tokens = F.when(F.col("several"), T.tokenize(F.col("norm"))).otherwise(F.col("tokens"))
+    return read.withColumns({"tokens": tokens, "reading": F.coalesce("reading", F.lit(0))}).drop("several", "read")
+
+
+# -- rules learned before -------------------------------------------------------------------------
+def rule_hits(vendor: DataFrame, masters: DataFrame, internal: DataFrame, vendor_name: str) -> DataFrame:
+    """(v, i): the internal row of the most special rule that applies to a vendor row.
+
+    masters: vendor_name ('' applies to all vendors), vendor_key, vendor_code, internal_key.  A rule of the name
+    comes before one of the code, one of this vendor before a general one, then the smaller vendor_key, then
+    internal_key.  A rule whose internal name is not there hides weaker ones and gives nothing."""
+    ours = masters.where(F.col("vendor_name").isin(vendor_name, "")).withColumn("general", (F.col("vendor_name") == "").cast("int"))
+    code = T.clean_code(F.col("vendor_code"))
+    ways = F.array(F.struct(F.concat(F.lit("n"), "vendor_key").alias("k"), F.lit(0).alias("by")), F.struct(F.when(code != "", F.concat(F.lit("c"), code)).alias("k"), F.lit(2).alias("by")))
+    rules = ours.select("vendor_key", "internal_key", "general", F.explode(ways).alias("w")).where("w.k is not null").select(F.col("w.k").alias("k"), (F.col("w.by") + F.col("general")).alias("rank"), "vendor_key", "internal_key")
+    asked = vendor.select(F.col("row_id").alias("v"), F.explode(F.array_compact(F.array(F.concat(F.lit("n"), "norm"), F.concat(F.lit("c"), T.clean_code(F.col("code")))))).alias("k"))
+    best = asked.join(rules, "k").groupBy("v").agg(F.min(F.struct("rank", "vendor_key", "internal_key")).alias("r")).select("v", F.col("r.internal_key").alias("norm"))
+    return best.join(internal.where("norm is not null").groupBy("norm").agg(F.max("row_id").alias("i")), "norm").select("v", "i")
 
 
 def master_lookup(vendor: DataFrame, master: DataFrame) -> DataFrame:
@@ -139,28 +229,95 @@ def master_lookup(vendor: DataFrame, master: DataFrame) -> DataFrame:
     return out.select("v", F.coalesce("i_name", "i_code").alias("i")).where("i is not null")
 
 
-def classified(scores: DataFrame, vendor: DataFrame, learned: DataFrame, otsu) -> DataFrame:
-    """One row a vendor row: best candidate, margin, class and confidence; thresholds come from the scores."""
-    place = W.partitionBy("v").orderBy(F.desc("score"), "i")
-    top = scores.withColumn("rn", F.row_number().over(place)).where("rn <= 5").groupBy("v").agg(F.max(F.when(F.col("rn") == 1, F.col("i"))).alias("i"), F.max(F.when(F.col("rn") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("rn") == 2, F.col("score"))).alias("second"), F.array_sort(F.collect_list(F.struct("rn", "i", F.round("score", 4).alias("score")))).alias("candidates"))
-    known = learned.select("v", F.col("i").alias("mi"))
-    df = vendor.select(F.col("row_id").alias("v")).join(top, "v", "left").join(known, "v", "left")
-    df = df.withColumns({"from_master": F.col("mi").isNotNull(), "score": F.when(F.col("mi").isNotNull(), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))})
-    df = df.withColumns({"i": F.coalesce("mi", "i"), "margin": F.when(F.col("from_master"), 1.0).otherwise(F.col("score") - F.coalesce("second", F.lit(0.0)))}).drop("mi", "second")
-    engine = df.where("not from_master")
-    high = otsu(engine, "score", 0.65).select(F.greatest("threshold", F.lit(0.4)).alias("high"))
-    low_scores = engine.join(F.broadcast(high)).where("score < high")
-    low = otsu(low_scores, "score", None)
-    margin = engine.where("margin > 0").agg(F.coalesce(F.avg("margin"), F.lit(0.1)).alias("mean_margin"))
-    limits = high.join(low).join(margin).select("high", F.least(F.greatest(F.coalesce("threshold", F.col("high") * 0.5), F.lit(0.15)), F.col("high") * 0.85).alias("low"), "mean_margin")  # one row
-    df = df.join(F.broadcast(limits))
+# -- classes --------------------------------------------------------------------------------------
+BINS = 40
+
+
+def otsu_of(counts: Column, fallback: Column) -> Column:
+    """Threshold of a histogram of 40 bins: the first of largest between-class variance; ``fallback`` under four values."""
+    number = F.aggregate(counts, F.lit(0).cast("long"), lambda s, n: s + n)
+    moment = lambda xs: F.aggregate(F.transform(xs, lambda n, k: n * k), F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def variance(k: Column) -> Column:
+        head = F.slice(counts, 1, k + 1)
+        return _let(F.struct(F.aggregate(head, F.lit(0).cast("long"), lambda s, n: s + n).alias("n"), moment(head).alias("s"), number.alias("all"), moment(counts).alias("sum")), lambda b: F.when((b["n"] > 0) & (b["n"] < b["all"]), F.struct((b["n"] * (b["all"] - b["n"]) * (b["s"] / b["n"] - (b["sum"] - b["s"]) / (b["all"] - b["n"])) * (b["s"] / b["n"] - (b["sum"] - b["s"]) / (b["all"] - b["n"]))).alias("between"), (-k).alias("k"))))
+
+    best = F.array_max(F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), variance)))
+    return F.when(number < 4, fallback).otherwise(F.coalesce((1 - best["k"]) / BINS, (fallback * BINS + 1) / BINS))
+
+
+def limits(best: DataFrame) -> DataFrame:
+    """One row (high, low, mean_margin) from one histogram of the scores and the margins beside it."""
+    at = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(F.col("score") * BINS))).cast("int")
+    margin = F.when(F.col("margin") > 0, F.round("margin", 12).cast("decimal(20,12)"))
+    bins = best.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.sum(margin).alias("m"), F.count(margin).alias("k"))  # at most 40 rows
+    one = bins.agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("h"), (F.sum("m").cast("double") / F.sum("k")).alias("mean"))
+    one = one.select("mean", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda k: F.coalesce(F.try_element_at("h", k), F.lit(0).cast("long"))).alias("counts"))
+    one = one.withColumn("high", F.greatest(otsu_of(F.col("counts"), F.lit(0.65)), F.lit(0.4)))
+    under = F.transform("counts", lambda n, k: F.when(k < F.round(F.col("high") * BINS), n).otherwise(F.lit(0).cast("long")))
+    return one.select("high", F.least(F.greatest(otsu_of(under, F.col("high") * 0.5), F.lit(0.15)), F.col("high") * 0.85).alias("low"), F.coalesce("mean", F.lit(0.1)).alias("mean_margin"))
+
+
+def best_of(scores: DataFrame, rows: DataFrame) -> DataFrame:
+    """Per row of rows (v): i, score, margin to the second, signals and up to five candidates; by score, then place."""
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("worse"), "place", "i", "score", *(f"s_{n}" for n in SIGNALS))))  # at most TOP of a row
+    top = scores.groupBy("v").agg(listed.alias("all"))
+    first = F.col("all")[0]
+    shown = F.transform(F.slice(F.array_sort(F.transform("all", lambda x: F.struct((-F.round(x["score"], 4)).alias("worse"), x["place"].alias("place"), x["i"].alias("i")))), 1, 5), lambda x: F.struct(x["i"].alias("i"), (-x["worse"]).alias("score")))
+    score = F.coalesce(first["score"], F.lit(0.0))
+    return rows.select("v").join(top, "v", "left").select("v", first["i"].alias("i"), score.alias("score"), F.coalesce(score - F.coalesce(F.get("all", F.lit(1))["score"], F.lit(0.0)), F.lit(0.0)).alias("margin"), F.struct(*(first[f"s_{n}"].alias(n) for n in SIGNALS)).alias("signals"), F.coalesce(shown, F.array().cast("array<struct<i:bigint,score:double>>")).alias("candidates"))
+
+
+def classified(best: DataFrame, learned: DataFrame) -> DataFrame:
+    """Best candidates (staged) and learned pairs (v, i) as results: class, confidence, source, the limits used."""
+    df = best.join(F.broadcast(limits(best)))
     s, m, mean = F.col("score"), F.col("margin"), F.col("mean_margin")
-    status = (
-        F.when(F.col("from_master") | ((s >= F.col("high")) & (m >= mean * 0.5)), "MATCHED").when(s >= F.col("high"), "NEED_REVIEW")
-        .when(s >= F.col("low"), F.when(m < mean * 0.35, "NEED_REVIEW").otherwise("PARTIAL")).otherwise("UNMATCHED")
-    )
-    conf = F.when(F.col("from_master"), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s * (0.6 + 0.4 * F.least(F.lit(1.0), m / F.greatest(mean, F.lit(0.001)))))))
-    return df.withColumns({"status": status, "confidence": F.round(conf, 4)}).withColumn("i", F.when(F.col("status") == "UNMATCHED", None).otherwise(F.col("i")))
+    status = F.when((s >= F.col("high")) & (m >= mean * 0.5), "MATCHED").when(s >= F.col("high"), "NEED_REVIEW").when((s >= F.col("low")) & (m < mean * 0.35), "NEED_REVIEW").when(s >= F.col("low"), "PARTIAL").otherwise("UNMATCHED")
+    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), s * (0.6 + 0.4 * F.least(F.lit(1.0), m / F.greatest(mean, F.lit(0.001))))))
+    df = df.withColumns({"status": status, "confidence": F.round(confidence, 4), "source": F.lit("ENGINE")}).withColumn("i", F.when(F.col("status") != "UNMATCHED", F.col("i")))
+    sure = F.lit(1.0)
+    known = learned.select("v", "i", sure.alias("score"), sure.alias("margin"), F.array(F.struct("i", sure.alias("score"))).alias("candidates"), F.lit("MATCHED").alias("status"), sure.alias("confidence"), F.lit("MASTER").alias("source"))
+    return df.drop("high", "low", "mean_margin").unionByName(known, allowMissingColumns=True)
+
+
+def match_run(vendor: DataFrame, internal: DataFrame, weights: DataFrame, masters: DataFrame, vendor_name: str = "", validator=None) -> DataFrame:
+    """A matching run: one row a vendor row with its class.  Scores are written once and read by the thresholds and
+    the classes.  Rows: row_id, name, norm, tokens, code, variant, brand, description."""
+    weights = staged(weights, "weights")
+    learned = staged(rule_hits(vendor, masters, internal, vendor_name), "learned")
+    rest = staged(readings(vendor.join(learned.select(F.col("v").alias("row_id")), "row_id", "left_anti")), "readings")
+    scores = pair_scores(candidates(rest, internal, weights), features(rest, weights), features(internal.withColumn("reading", F.lit(0)), weights))
+    best = staged(best_of(scores, rest.where("reading = 0").select(F.col("row_id").alias("v"))), "best")
+    return validated(classified(best, learned), validator)
+
+
+# Open rows that a validator is asked about, rows in flight, its confidence where it agrees and where not.
+ASKED, AT_ONCE = 60, 4
+SAID = (0.75, 0.25)
+
+
+def validated(results: DataFrame, validator=None, most: int = ASKED) -> DataFrame:
+    """Results after a second opinion.  ``validator`` takes (v, candidates) of the first ``most`` open rows, in at most
+    AT_ONCE partitions, and returns (v, agrees boolean, candidate int from 1, reason); a row it leaves out or answers
+    with null stays as it is, and so do all if it fails.  Without one nothing changes."""
+    out = results.withColumn("reason", F.lit(None).cast("string"))
+    if validator is None:
+        return out
+    results = staged(results, "results")
+    asked = results.where((F.col("status") == "NEED_REVIEW") & (F.size("candidates") > 0)).orderBy("v").limit(most).select("v", "candidates")
+    try:
+        said = staged(validator(asked.repartition(AT_ONCE)).select("v", "agrees", "candidate", "reason").where("agrees is not null").dropDuplicates(["v"]), "verdicts")
+    except Exception as e:  # a second opinion is never worth a run
+        logging.getLogger(__name__).warning("validator failed, classes stay: %s", e)
+        return results.withColumn("reason", F.lit(None).cast("string"))
+    chosen = F.when(F.col("agrees"), F.get("candidates", F.col("candidate") - 1)["i"])
+    df = results.join(F.broadcast(said), "v", "left")  # at most ``most`` rows
+    heard = F.col("agrees").isNotNull() & (F.col("status") == "NEED_REVIEW")
+    return df.withColumns({
+        "i": F.when(heard, chosen).otherwise(F.col("i")), "source": F.when(heard, "AI").otherwise(F.col("source")),
+        "confidence": F.when(heard & chosen.isNotNull(), SAID[0]).when(heard, SAID[1]).otherwise(F.col("confidence")),
+        "status": F.when(heard & chosen.isNotNull(), "MATCHED").when(heard, "UNMATCHED").otherwise(F.col("status")),
+    }).drop("agrees", "candidate")
 
 
 def review(results: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Price audit: matching of vendor to internal rows, price comparison, anomalies."""
+"""Price audit: datasets from sheets, matching of vendor to internal rows, price comparison, anomalies."""
 
 from __future__ import annotations
 
@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_code, qty_in_range
 from ..operators import matching
-from ..sources.tables import catalogue, vendor_list
+from ..operators.dataset import MappedColumn, dataset
+from ..operators.stage import staged
+from ..sources.tables import VENDOR, catalogue, internal_sheet, learned_rules, vendor_list, vendor_sheet
+from . import audit_sql as S
 from .frames_sql import VEND
-from .names import _NAMED, idf, named, otsu
+from .names import _NAMED, idf, named
 
 QUERIES, SQL = {}, {}
 EXTREME, Z_HIGH, Z_MEDIUM, MIN_GROUP = 80.0, 3.0, 2.0, 5
+#: Classes of a match that prices are compared for, and the price that is compared.
+ACCEPTED = ("MATCHED", "PARTIAL", "MANUAL")
+PRICE = "basicPrice"
+VENDOR_COLUMNS = [MappedColumn(k, n, f) for k, (n, f) in enumerate((("Product", "productName"), ("Item Code", "productCode"), ("Type", "productVariant"), ("Brand", "brand"), ("Remark", "description"), ("Price", PRICE), ("Qty", "qty")))]
+INTERNAL_COLUMNS = [MappedColumn(k, n, f) for k, (n, f) in enumerate((("Name", "productName"), ("Code", "productCode"), ("Type", "productVariant"), ("Brand", "brand"), ("Text", "description"), ("Price", PRICE), ("Qty Rule", "qtyRule")))]
 
 
 def query(name: str, sql: str | None = None):
@@ -30,7 +38,13 @@ def sides(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return v, i, idf(v, i)
 
 
-_IDF = "tk AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(tokens)) AS token FROM (SELECT tokens FROM nv UNION ALL SELECT tokens FROM ni)) GROUP BY 1), wt0 AS (SELECT token, ln(1 + ((SELECT count(*) FROM nv) + (SELECT count(*) FROM ni)) / CAST(df AS DOUBLE)) AS raw FROM tk), wt AS (SELECT token, CAST(round(raw / avg(raw) OVER (), 6) AS DECIMAL(14,6)) AS w FROM wt0)"
+def datasets(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Vendor and internal dataset rows (row_id is their key), written once."""
+    v, i = dataset(vendor_sheet(spark, sf_dir), VENDOR_COLUMNS), dataset(internal_sheet(spark, sf_dir), INTERNAL_COLUMNS)
+    return tuple(staged(d.withColumnRenamed("key", "row_id").withColumn("price", F.try_element_at("prices", F.lit(PRICE))).drop("data"), n) for d, n in ((v, "vendor"), (i, "internal")))
+
+
+_IDF = S.IDF
 
 
 @query("q_candidates_top60", f"WITH {_NAMED}, {_IDF}, a AS (SELECT row_id AS v, unnest(list_distinct(tokens)) AS token FROM nv), b AS (SELECT row_id AS i, unnest(list_distinct(tokens)) AS token FROM ni), p AS (SELECT v, i, sum(w) AS weight FROM a JOIN b USING (token) JOIN wt USING (token) GROUP BY 1, 2), r AS (SELECT v, i, CAST(weight AS DOUBLE) AS weight, CAST(row_number() OVER (PARTITION BY v ORDER BY weight DESC, i) AS INTEGER) AS place FROM p) SELECT * FROM r WHERE place <= 60")
@@ -38,10 +52,36 @@ def candidates_top60(spark, sf_dir):
     return matching.candidates(*sides(spark, sf_dir)).select("v", "i", F.col("weight").cast("double").alias("weight"), "place")
 
 
-@query("q_match_scores")
+_ROWS = "row_id AS key, name, norm, array_to_string(tokens, '|') AS tokens, code, variant, brand, price"
+
+
+@query("q_dataset_rows", f"WITH {S.DATA} SELECT 'vendor' AS side, {_ROWS}, qty, NULL::DOUBLE AS qty_min, NULL::DOUBLE AS qty_max, NULL AS qty_label, descr AS description FROM nv UNION ALL SELECT 'internal', {_ROWS}, NULL, qty_min, qty_max, qty_label, descr FROM ni")
+def dataset_rows(spark, sf_dir):
+    """Both sheets as dataset rows: blank rows gone, variants apart, prices and quantity ranges read."""
+    v, i = datasets(spark, sf_dir)
+    cols = [F.col("row_id").alias("key"), "name", "norm", F.array_join("tokens", "|").alias("tokens"), "code", "variant", "brand", "price", "qty", "qty_min", "qty_max", "qty_label", "description"]
+    return v.select(F.lit("vendor").alias("side"), *cols).unionByName(i.select(F.lit("internal").alias("side"), *cols))
+
+
+_R6 = lambda c: f"round({c}, 6) AS {c}"
+
+
+@query("q_match_scores", f"WITH {', '.join((S.DATA, S.IDF, S.RULES, S.READ, S.SCORES))} SELECT v, i, place, {_R6('score')}, {', '.join(f'round(coalesce(s_{n}, 0), 6) AS s_{n}' for n in matching.SIGNALS)} FROM pr")
 def match_scores(spark, sf_dir):
-    v, i, w = sides(spark, sf_dir)
-    return matching.pair_scores(matching.candidates(v, i, w), v, i, w)
+    """Score and signals of every candidate pair of the vendor rows that no rule settles."""
+    v, i = datasets(spark, sf_dir)
+    w = staged(idf(v, i), "weights")
+    known = matching.rule_hits(v, learned_rules(spark, sf_dir), i, VENDOR)
+    rest = staged(matching.readings(v.join(known.select(F.col("v").alias("row_id")), "row_id", "left_anti")), "readings")
+    scores = matching.pair_scores(matching.candidates(rest, i, w), matching.features(rest, w), matching.features(i.withColumn("reading", F.lit(0)), w))
+    return scores.select("v", "i", "place", *(F.round(c, 6).alias(c) for c in ("score", *(f"s_{n}" for n in matching.SIGNALS))))
+
+
+@query("q_rule_precedence", f"WITH {S.DATA}, {S.RULES} SELECT v, i FROM hit")
+def rule_precedence(spark, sf_dir):
+    """Vendor rows that a rule of an earlier run settles: clashing rules, the most special wins."""
+    v, i = datasets(spark, sf_dir)
+    return matching.rule_hits(v, learned_rules(spark, sf_dir), i, VENDOR)
 
 
 def learned_pairs(spark, sf_dir) -> DataFrame:
@@ -55,50 +95,47 @@ def master_lookup(spark, sf_dir):
     return matching.master_lookup(named(vendor_list(spark, sf_dir)), learned_pairs(spark, sf_dir))
 
 
-def match_results(spark, sf_dir) -> DataFrame:
-    v, i, w = sides(spark, sf_dir)
-    learned = matching.master_lookup(v, learned_pairs(spark, sf_dir))
-    rest = v.join(learned.select(F.col("v").alias("row_id")), "row_id", "left_anti")
-    scores = matching.pair_scores(matching.candidates(rest, i, w), rest, i, w)
-
-    def threshold(df, col, fallback):
-        return otsu(df, col, fallback) if fallback is not None else otsu(df, col, -1.0).select(F.when(F.col("threshold") < 0, None).otherwise(F.col("threshold")).alias("threshold"))
-
-    return matching.classified(scores, v, learned, threshold)
+def audited(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vendor rows, internal rows and the results of a matching run (written once)."""
+    v, i = datasets(spark, sf_dir)
+    return v, i, staged(matching.match_run(v, i, idf(v, i), learned_rules(spark, sf_dir), VENDOR), "match-results")
 
 
-@query("q_match_results")
+@query("q_match_results", f"WITH {S.RUN} SELECT v, i, round(score, 4) AS score, round(margin, 4) AS margin, status, confidence, source, candidates FROM rs")
 def q_match_results(spark, sf_dir):
-    return match_results(spark, sf_dir).select("v", "i", F.round("score", 4).alias("score"), F.round("margin", 4).alias("margin"), "status", "confidence", "from_master", "candidates")
-
-
-def pairing(spark, sf_dir) -> DataFrame:
-    """Accepted matches for the price queries: every vendor row but each seventh with its own part."""
-    return vendor_list(spark, sf_dir).where("row_id % 7 <> 0").select(F.col("row_id").alias("v"), F.col("row_id").alias("i"))
-
-
-def price_items(vendor: DataFrame, internal: DataFrame, pairs: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """All vendor rows, matched or not, and the internal rows whose name nobody matched."""
-    v = vendor.select(F.col("row_id").alias("v"), F.col("price").alias("vendor_price"))
-    i = internal.select(F.col("row_id").alias("i"), F.col("price").alias("internal_price"), "norm")
-    left = v.join(pairs, "v", "left").join(i, "i", "left")
+    return audited(spark, sf_dir)[2].select("v", "i", F.round("score", 4).alias("score"), F.round("margin", 4).alias("margin"), "status", "confidence", "source", "candidates")
+
+
+def price_items(vendor: DataFrame, internal: DataFrame, results: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """All vendor rows, matched or not, and the internal rows whose name nobody matched.  Where the matched name has
+    prices graded by quantity, the first grade that holds the vendor's quantity gives the price."""
+    accepted = results.where(F.col("status").isin(*ACCEPTED) & F.col("i").isNotNull()).select("v", "i")
+    v = vendor.select(F.col("row_id").alias("v"), F.coalesce("name", F.lit("")).alias("vendor_label"), F.col("price").alias("vendor_price"), "qty")
+    i = internal.select(F.col("row_id").alias("i"), F.coalesce("name", F.lit("")).alias("name"), F.col("price").alias("own_price"), "norm", "qty_label")
+    left = v.join(accepted, "v", "left").join(i, "i", "left")
+    grades = internal.where("qty_min is not null or qty_max is not null").select("norm", F.col("row_id").alias("g"), F.col("price").alias("g_price"), F.col("qty_label").alias("g_label"), "qty_min", "qty_max")
+    hit = left.where("qty is not null").select("v", "norm", "qty").join(grades, "norm").where(qty_in_range(F.col("qty"), F.col("qty_min"), F.col("qty_max")))
+    graded = hit.groupBy("v").agg(F.min(F.struct("g", "g_price", "g_label")).alias("grade"))
+    label = lambda name, grade: F.concat(name, F.when(grade.isNotNull(), F.concat(F.lit(" ("), grade, F.lit(")"))).otherwise(""))
+    rows = left.join(graded, "v", "left")
+    of_grade = F.col("grade").isNotNull()
+    rows = rows.withColumns({"internal_price": F.when(of_grade, F.col("grade.g_price")).otherwise(F.col("own_price")), "shown": F.when(of_grade, F.col("grade.g_label")).otherwise(F.col("qty_label"))})
     diff = F.col("vendor_price") - F.col("internal_price")
-    pct = F.try_divide(diff.cast("double"), F.col("internal_price").cast("double")) * 100
+    pct = F.try_divide(diff, F.col("internal_price")) * 100
     close = F.when(pct.isNotNull(), F.abs(pct) <= tolerance).otherwise(diff == 0)
     status = F.when(F.col("i").isNull(), "NOT_IN_INTERNAL").when(diff.isNull(), "MISSING").when(close | (diff == 0), "SAME").when(diff > 0, "HIGHER").otherwise("LOWER")
-    items = left.select("v", "i", F.col("vendor_price").cast("double").alias("vendor_price"), F.col("internal_price").cast("double").alias("internal_price"), diff.cast("double").alias("diff"), pct.alias("diff_pct"), status.alias("status"))
+    items = rows.select("v", "i", "vendor_label", F.when(F.col("i").isNull(), "").otherwise(label(F.col("name"), F.col("shown"))).alias("internal_label"), "vendor_price", "internal_price", F.round(diff, 2).alias("diff"), F.round(pct, 2).alias("diff_pct"), status.alias("status"))
     matched = left.where("norm is not null").select("norm").distinct()
-    rest = i.join(matched, "norm", "left_anti").select(F.lit(None).cast("long").alias("v"), "i", F.lit(None).cast("double").alias("vendor_price"), F.col("internal_price").cast("double").alias("internal_price"), F.lit(None).cast("double").alias("diff"), F.lit(None).cast("double").alias("diff_pct"), F.lit("NOT_IN_VENDOR").alias("status"))
+    no = lambda kind: F.lit(None).cast(kind)
+    rest = i.join(matched, "norm", "left_anti").select(no("long").alias("v"), "i", F.lit("").alias("vendor_label"), label(F.col("name"), F.col("qty_label")).alias("internal_label"), no("double").alias("vendor_price"), F.col("own_price").alias("internal_price"), no("double").alias("diff"), no("double").alias("diff_pct"), F.lit("NOT_IN_VENDOR").alias("status"))
     return items.unionByName(rest)
 
 
-_ITEMS = f"""{_NAMED}, le AS (SELECT nv.row_id AS v, CASE WHEN nv.row_id % 7 <> 0 THEN ni.row_id END AS i, nv.price AS vp, CASE WHEN nv.row_id % 7 <> 0 THEN ni.price END AS ip, CASE WHEN nv.row_id % 7 <> 0 THEN ni.norm END AS norm FROM nv JOIN ni USING (row_id)),
-it AS (SELECT v, i, CAST(vp AS DOUBLE) AS vendor_price, CAST(ip AS DOUBLE) AS internal_price, CAST(vp - ip AS DOUBLE) AS diff, CAST(vp - ip AS DOUBLE) / nullif(CAST(ip AS DOUBLE), 0) * 100 AS diff_pct, CASE WHEN i IS NULL THEN 'NOT_IN_INTERNAL' WHEN vp IS NULL OR ip IS NULL THEN 'MISSING' WHEN vp = ip THEN 'SAME' WHEN vp > ip THEN 'HIGHER' ELSE 'LOWER' END AS status FROM le
-UNION ALL SELECT NULL, row_id, NULL, CAST(price AS DOUBLE), NULL, NULL, 'NOT_IN_VENDOR' FROM ni WHERE norm NOT IN (SELECT norm FROM le WHERE norm IS NOT NULL))"""
+_ITEMS = S.ITEMS
 
 
 def items_of(spark, sf_dir) -> DataFrame:
-    return price_items(vendor_list(spark, sf_dir), named(catalogue(spark, sf_dir)), pairing(spark, sf_dir))
+    return staged(price_items(*audited(spark, sf_dir)), "price-items")
 
 
 @query("q_price_validation", f"WITH {_ITEMS} SELECT * FROM it")

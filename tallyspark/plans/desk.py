@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.dates import file_date, parse_date
-from ..operators import matching
 from ..operators.aggs import first_seen
 from ..operators.geometry import words_to_cells
 from ..operators.joins import fan_lookup, resolve
 from ..operators.profile import price_derived
 from ..operators.windows import carry_forward
 from ..sources.tables import catalogue, invoice_lines, table, vendor_list
-from .audit import _ITEMS, EXTREME, items_of, learned_pairs, pairing
+from .audit import _ITEMS, EXTREME, audited, price_items
 from .basics import insert_new
 from .frames_sql import CAT, INV, VEND
 from .names import _NAMED, RULES, named
@@ -193,7 +192,7 @@ def reference_fallback(spark, sf_dir):
     i = named(catalogue(spark, sf_dir)).select(F.col("row_id").alias("i"), F.col("norm").alias("i_norm"), "price")
     kind = F.col("i") % 3
     ref = i.join(v.withColumnRenamed("v", "i"), "i", "left").select(F.when(kind == 0, F.col("i")).otherwise(-1 - F.col("i")).alias("ref_id"), F.when(kind == 1, F.col("i_norm")).when(kind == 2, F.col("v_norm")).alias("ref_norm"), "price")
-    rows = v.join(pairing(spark, sf_dir), "v", "left").join(i.drop("price"), "i", "left")
+    rows = v.withColumn("i", F.when(F.col("v") % 7 != 0, F.col("v"))).join(i.drop("price"), "i", "left")
     out = resolve(rows, ref, [("i", "ref_id"), ("i_norm", "ref_norm"), ("v_norm", "ref_norm")], "ref_id", "ref")
     return out.select("v", F.col("ref.ref_id").alias("ref_id"), F.col("ref.price").cast("double").alias("ref_price"))
 
@@ -209,42 +208,42 @@ def product_search(rows: DataFrame, words: str) -> DataFrame:
 
 
 # -- review and export ------------------------------------------------------------------------------
-def statuses(spark, sf_dir) -> DataFrame:
-    """Vendor rows with what the learned pairs say: matched, open where there is no code, else unmatched."""
-    v = named(vendor_list(spark, sf_dir))
-    known = matching.master_lookup(v, learned_pairs(spark, sf_dir)).select("v", F.col("i").alias("master_i"))
-    status = F.when(F.col("master_i").isNotNull(), "MATCHED").when(F.col("code").isNull(), "NEED_REVIEW").otherwise("UNMATCHED")
-    return v.select(F.col("row_id").alias("v"), "norm", "code").join(known, "v", "left").select("v", "norm", status.alias("match_status"))
-
-
-_STATUS = f"{_ITEMS}, mn AS (SELECT norm, min(row_id) AS i FROM nv WHERE row_id % 40 = 0 GROUP BY 1), mc AS (SELECT code, min(row_id) AS i FROM nv WHERE row_id % 25 = 0 AND code IS NOT NULL GROUP BY 1), st AS (SELECT nv.row_id AS v, nv.norm, CASE WHEN coalesce(mn.i, mc.i) IS NOT NULL THEN 'MATCHED' WHEN nv.code IS NULL THEN 'NEED_REVIEW' ELSE 'UNMATCHED' END AS match_status FROM nv LEFT JOIN mn ON nv.norm = mn.norm LEFT JOIN mc ON nv.code = mc.code)"
-
-
-@query("q_review_queue", f"WITH {_STATUS} SELECT v, norm FROM st WHERE match_status = 'NEED_REVIEW' ORDER BY v LIMIT 60")
+@query("q_review_queue", f"WITH {_ITEMS} SELECT v, norm, candidates FROM rs JOIN nv ON nv.row_id = v WHERE status = 'NEED_REVIEW' ORDER BY v LIMIT 60")
 def review_queue(spark, sf_dir):
     """The first sixty open rows in file order: as many as a reviewer is asked at once."""
-    return statuses(spark, sf_dir).where("match_status = 'NEED_REVIEW'").orderBy("v").limit(60).select("v", "norm")
+    v, _, results = audited(spark, sf_dir)
+    queue = results.where("status = 'NEED_REVIEW'").orderBy("v").limit(60)
+    return queue.join(v.select(F.col("row_id").alias("v"), "norm"), "v").select("v", "norm", "candidates")
 
 
-@query("q_match_status_items", f"WITH {_STATUS} SELECT it.v, it.i, status, match_status FROM it LEFT JOIN st ON it.v = st.v")
+@query("q_match_status_items", f"WITH {_ITEMS} SELECT it.v, it.i, it.status, rs.status AS match_status FROM it LEFT JOIN rs ON it.v = rs.v")
 def match_status_items(spark, sf_dir):
-    return items_of(spark, sf_dir).join(statuses(spark, sf_dir), "v", "left").select("v", "i", "status", "match_status")
+    v, i, results = audited(spark, sf_dir)
+    return price_items(v, i, results).join(results.select("v", F.col("status").alias("match_status")), "v", "left").select("v", "i", "status", "match_status")
 
 
-@query("q_run_statistics", f"WITH {_STATUS} SELECT 'match' AS run, match_status AS status, count(*) AS n FROM st GROUP BY 2 UNION ALL SELECT 'price', status, count(*) FROM it GROUP BY 2")
+@query("q_run_statistics", f"WITH {_ITEMS}, al AS (SELECT 'match' AS run, status AS what, CAST(count(*) AS DOUBLE) AS value FROM rs GROUP BY 2 UNION ALL SELECT 'match', 'from ' || source, count(*) FROM rs GROUP BY source UNION ALL SELECT 'price', status, count(*) FROM it GROUP BY status UNION ALL SELECT 'match', 'total', count(*) FROM rs UNION ALL SELECT 'price', 'total', count(*) FROM it) SELECT * FROM al")
 def run_statistics(spark, sf_dir):
-    m = statuses(spark, sf_dir).groupBy(F.col("match_status").alias("status")).agg(F.count("*").alias("n")).withColumn("run", F.lit("match"))
-    p = items_of(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n")).withColumn("run", F.lit("price"))
-    return m.unionByName(p).select("run", "status", "n")
+    """Counts of a matching run by class and source, and of the price run by status."""
+    v, i, results = audited(spark, sf_dir)
+
+    def counted(df, run, label):
+        return df.groupBy(label.alias("what")).agg(F.count("*").cast("double").alias("value")).select(F.lit(run).alias("run"), "what", "value")
+
+    labels = F.explode(F.array(F.col("status"), F.concat(F.lit("from "), "source"), F.lit("total")))
+    match = counted(results.select(labels.alias("l")), "match", F.col("l"))
+    price = counted(price_items(v, i, results).select(F.explode(F.array(F.col("status"), F.lit("total"))).alias("l")), "price", F.col("l"))
+    return match.unionByName(price)
 
 
-@query("q_validation_export", f"WITH {_STATUS} SELECT st.norm AS vendor_product, ni.norm AS internal_product, ni.code AS internal_code, vendor_price, internal_price, vendor_price AS updated_price, diff, CASE WHEN diff_pct > 0 THEN diff_pct END AS increase_pct, CASE WHEN diff_pct < 0 THEN abs(diff_pct) END AS decrease_pct, status AS price_status, match_status, CASE WHEN abs(diff_pct) >= 80 THEN 'Cek Manual - Perubahan Ekstrem' ELSE '' END AS price_alert FROM it LEFT JOIN st ON it.v = st.v LEFT JOIN ni ON it.i = ni.row_id")
+@query("q_validation_export", f"WITH {_ITEMS} SELECT vendor_label AS vendor_product, internal_label AS internal_product, nv.code AS vendor_code, ni.code AS internal_code, vendor_price, internal_price, vendor_price AS updated_price, diff, CASE WHEN diff_pct > 0 THEN diff_pct END AS increase_pct, CASE WHEN diff_pct < 0 THEN abs(diff_pct) END AS decrease_pct, it.status AS price_status, rs.status AS match_status, rs.confidence, CASE WHEN abs(diff_pct) >= 80 THEN 'Cek Manual - Perubahan Ekstrem' ELSE '' END AS price_alert FROM it LEFT JOIN rs ON it.v = rs.v LEFT JOIN nv ON nv.row_id = it.v LEFT JOIN ni ON it.i = ni.row_id")
 def validation_export(spark, sf_dir):
-    """All price items as they are handed over: names, the internal code, both prices, change, alert."""
-    i = named(catalogue(spark, sf_dir)).select(F.col("row_id").alias("i"), F.col("norm").alias("internal_product"), F.col("code").alias("internal_code"))
+    """All price items as they are handed over: names, both codes, both prices, change, class of the match, alert."""
+    v, i, results = audited(spark, sf_dir)
     pct = F.col("diff_pct")
-    df = items_of(spark, sf_dir).join(statuses(spark, sf_dir).withColumnRenamed("norm", "vendor_product"), "v", "left").join(i, "i", "left")
-    return df.select("vendor_product", "internal_product", "internal_code", "vendor_price", "internal_price", F.col("vendor_price").alias("updated_price"), "diff", F.when(pct > 0, pct).alias("increase_pct"), F.when(pct < 0, F.abs(pct)).alias("decrease_pct"), F.col("status").alias("price_status"), "match_status", F.when(F.abs(pct) >= EXTREME, "Cek Manual - Perubahan Ekstrem").otherwise("").alias("price_alert"))
+    codes = lambda df, key, name: df.select(F.col("row_id").alias(key), F.col("code").alias(name))
+    df = price_items(v, i, results).join(results.select("v", F.col("status").alias("match_status"), "confidence"), "v", "left").join(codes(v, "v", "vendor_code"), "v", "left").join(codes(i, "i", "internal_code"), "i", "left")
+    return df.select(F.col("vendor_label").alias("vendor_product"), F.col("internal_label").alias("internal_product"), "vendor_code", "internal_code", "vendor_price", "internal_price", F.col("vendor_price").alias("updated_price"), "diff", F.when(pct > 0, pct).alias("increase_pct"), F.when(pct < 0, F.abs(pct)).alias("decrease_pct"), F.col("status").alias("price_status"), "match_status", "confidence", F.when(F.abs(pct) >= EXTREME, "Cek Manual - Perubahan Ekstrem").otherwise("").alias("price_alert"))
 
 
 # -- words on pages -----------------------------------------------------------------------------------

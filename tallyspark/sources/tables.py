@@ -120,3 +120,53 @@ def vendor_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(k % 3 == 0, F.concat_ws("-", "p_name", "p_brand", F.concat(F.col("p_size").cast("string"), F.lit(" mm")))).otherwise(F.concat_ws("  ", "p_brand", "p_name", F.concat(F.col("p_size").cast("string"), F.lit("MM"))))
     price = money(money(F.col("p_retailprice")) * F.when(k % 10 == 0, F.lit(1.1).cast("decimal(3,2)")).when(k % 14 == 0, F.lit(0.95).cast("decimal(3,2)")).when(k % 202 == 0, F.lit(2.2).cast("decimal(3,2)")).otherwise(F.lit(1).cast("decimal(3,2)")))
     return p.select(k.alias("row_id"), name.alias("name"), F.when(k % 5 == 0, F.concat(F.lit("P"), k.cast("string"))).alias("code"), F.col("p_brand").alias("brand"), price.alias("price"), (k % 60).cast("double").alias("qty"))
+
+
+VENDOR = "ACME"
+
+
+def _text(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def vendor_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vendor's list as a sheet: every second part; some names hold two variants, some two products, some rows are
+    blank.  Cells: product, code, variant, brand, remark, price, quantity."""
+    p = table(spark, sf_dir, "part").where("p_partkey % 2 = 0")
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    plain = F.when(k % 3 == 0, F.concat_ws("-", "p_name", "p_brand", F.concat(size, F.lit(" mm")))).otherwise(F.concat_ws("  ", "p_brand", "p_name", F.concat(size, F.lit("MM"))))
+    name = F.when(k % 14 == 2, F.concat_ws(" ", "p_name", "p_brand", F.concat(size, F.lit("MM W/K")))).when(k % 22 == 4, F.concat_ws(" ", F.replace("p_name", F.lit(" "), F.lit("/LOOSE ")), "p_brand", F.concat(size, F.lit("MM")))).otherwise(plain)
+    factor = F.when(k % 10 == 0, F.lit(1.1).cast("decimal(3,2)")).when(k % 14 == 0, F.lit(0.95).cast("decimal(3,2)")).when(k % 202 == 0, F.lit(2.2).cast("decimal(3,2)")).otherwise(F.lit(1).cast("decimal(3,2)"))
+    cells = [name, F.when(k % 5 == 0, F.concat(F.lit("P"), k.cast("string"))), F.when(k % 4 == 0, F.col("p_type")), F.col("p_brand"), F.when(k % 6 == 2, F.concat_ws(" ", "p_type", "p_name")), money(money(F.col("p_retailprice")) * factor), k % 60]
+    return p.select(k.cast("long").alias("row_idx"), F.when(k % 50 == 8, F.array(*(F.lit("") for _ in cells))).otherwise(F.array(*map(_text, cells))).alias("cells"))
+
+
+def internal_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The internal list as a sheet: all parts, two rows for two variants, three for prices graded by quantity.
+    Cells: name, code, variant, brand, description, price, quantity rule."""
+    p = table(spark, sf_dir, "part")
+    k, j = F.col("p_partkey"), F.col("j")
+    kind = F.when(k % 14 == 2, 2).when(k % 10 == 0, 3).otherwise(1)
+    rows = p.select("*", kind.alias("rows"), F.explode(F.sequence(F.lit(0), kind - 1)).alias("j"))
+    pair, graded = F.col("rows") == 2, F.col("rows") == 3
+    name = F.upper(F.concat_ws(" ", "p_name", "p_brand", F.concat(F.col("p_size").cast("string"), F.lit("MM")), F.when(pair & (j == 0), "W").when(pair, "K")))
+    factor = F.when(graded & (j == 1), F.lit(0.9).cast("decimal(3,2)")).when(graded & (j == 2), F.lit(0.8).cast("decimal(3,2)")).otherwise(F.lit(1).cast("decimal(3,2)"))
+    rule = F.when(graded & (j == 0), "max 9").when(graded & (j == 1), "10 - 29").when(graded, ">= 30")
+    cells = [name, F.when(k % 7 != 0, F.concat(F.lit("P-"), k.cast("string"))), F.when(k % 3 != 0, F.col("p_type")), F.col("p_brand"), F.when((k % 6).isin(2, 4), F.concat_ws(" ", "p_name", "p_type")), money(money(F.col("p_retailprice")) * factor), rule]
+    return rows.select((k.cast("long") * 4 + j).alias("row_idx"), F.array(*map(_text, cells)).alias("cells"))
+
+
+def learned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of earlier runs, with clashes: for this vendor and for all, by name and by code; one names a product that is gone."""
+    p = table(spark, sf_dir, "part").where("p_partkey % 2 = 0 and p_partkey % 3 <> 0 and p_partkey % 14 <> 2 and p_partkey % 22 <> 4 and p_partkey % 50 <> 8")
+    k = F.col("p_partkey")
+    tidy = lambda *parts: F.upper(F.replace(F.concat_ws(" ", *parts), F.lit("#"), F.lit(" ")))
+    key, size = tidy("p_brand", "p_name", F.concat(F.col("p_size").cast("string"), F.lit("MM"))), F.concat(F.col("p_size").cast("string"), F.lit("MM"))
+    ours, gone = tidy("p_name", "p_brand", size), F.lit("NO SUCH PRODUCT")
+    rule = lambda when, vendor, name, code, to: F.when(when, F.struct(F.lit(vendor).alias("vendor_name"), name.alias("vendor_key"), code.alias("vendor_code"), to.alias("internal_key")))
+    none, code = F.lit(None).cast("string"), F.concat(F.lit("p-"), k.cast("string"))
+    rules = F.array(
+        rule(k % 40 == 0, "", key, none, gone), rule(k % 80 == 0, VENDOR, key, none, ours), rule(k % 25 == 0, "", F.concat(F.lit("OLD "), key), code, ours),
+        rule(k % 50 == 0, VENDOR, F.concat(F.lit("OLDER "), key), code, gone), rule(k % 16 == 0, "OTHER", key, code, ours),
+    )
+    return p.select(F.explode(F.array_compact(rules)).alias("r")).select("r.*")
