@@ -9,11 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .stage import staged
+from .stage import small, spread, staged
 
-#: Tokens in more than this share of the internal rows only break ties among candidates of rarer tokens.
-COMMON = 0.05
+#: Tokens in more than this share of the internal rows bring no rows together unless a row has no others.
+COMMON = 0.25
 TOP = 60
+#: Internal rows that are broadcast: as pairs of tokens (some 40 bytes), and with all that scores ask (some 3 KB).
+FEW_PAIRS, FEW_ROWS = 2_000_000, 30_000
 # Rules that a list of products in one name is cleaned by; weights of the signals; what disagreeing
 # sizes, codes and short words take away; credit of near tokens.
 LIST_RULES = ("dash", "slash", "paren", "symbol", "dupword")
@@ -32,31 +34,52 @@ def candidates(vendor: DataFrame, internal: DataFrame, weights: DataFrame, top:
     """(v, i, weight, place): the ``top`` internal rows by the summed weight of shared tokens, ties to the smaller id.
     A vendor row that comes in several readings counts a token once for each.
 
-    Vendor rows meet internal rows on their rarer tokens only; common tokens are added on the pairs found.
-    A row is settled if its last place weighs more than all its common tokens together, so that no row outside
-    can enter.  The rest (rows with few rare tokens) meets on all tokens."""
-    w = weights.select("token", F.round("idf", 6).cast("decimal(14,6)").alias("w"), "df")
+    Rows first meet on pairs of tokens, tokens of over a quarter of the rows left aside.  From the number of pairs that two
+    rows share and the pairs' summed weights follows the weight of their tokens: each token stands in k - 1 of the
+    k (k - 1) / 2 pairs.  A vendor row is settled if its last place weighs more than its heaviest such token and all
+    common ones together, so that no row that shares fewer can enter.  The others meet on single tokens; what shares
+    common tokens only is taken from the first ``top`` ids of each combination of common tokens."""
+    money = "decimal(24,6)"
     n = internal.agg((F.count("*") * COMMON).alias("cut"))  # one row
-    marked = w.join(F.broadcast(n)).withColumn("common", F.col("df") > F.col("cut")).select("token", "w", "common")
-    v = staged(vendor.select(F.col("row_id").alias("v"), F.explode(F.array_distinct("tokens")).alias("token")).join(marked, "token"), "vendor-tokens")
-    i = internal.select(F.col("row_id").alias("i"), F.explode(F.array_distinct("tokens")).alias("token"))
+    w = weights.join(F.broadcast(n)).select("token", F.round("idf", 6).cast("decimal(14,6)").alias("w"), (F.col("df") > F.col("cut")).alias("common"))
+    told = vendor.select(F.col("row_id").alias("v"), F.explode(F.array_distinct("tokens")).alias("token")).join(w, "token")
+    told = told.groupBy("v", "token", "common").agg(F.sum("w").cast(money).alias("w"))
+    pick = lambda common, x: F.array_sort(F.collect_list(F.when(F.col("common") == common, x)))
+    v = staged(told.groupBy("v").agg(pick(False, F.struct("token", "w")).alias("own"), pick(True, F.struct("token", "w")).alias("shared")), "vendor-tokens")
+    i = internal.select(F.col("row_id").alias("i"), F.explode(F.array_distinct("tokens")).alias("token")).join(w, "token").groupBy("i").agg(pick(False, F.col("token")).alias("own"), pick(True, F.col("token")).alias("shared"))
+    i = staged(i, "internal-tokens")
+    sum_of = lambda xs: F.aggregate(xs, F.lit(0).cast(money), lambda s, x: (s + x["w"]).cast(money))
+
+    def in_pairs(tokens, made):
+        """All pairs of a sorted array, exploded."""
+        return F.explode(F.flatten(F.transform(tokens, lambda a, k: F.transform(F.slice(tokens, k + 2, F.size(tokens)), lambda b: made(a, b)))))
 
     def ranked(pairs):
+        """The first ``top`` of each v: pairs (v, i, weight of own tokens) with that of common tokens added."""
+        by = W.partitionBy("v").orderBy(F.desc("weight"))
+        last = F.max(F.when(F.col("n") == top, F.col("weight"))).over(W.partitionBy("v"))
+        near = pairs.withColumn("n", F.row_number().over(by)).withColumn("last", last).join(v.select("v", "shared", sum_of("shared").alias("most")), "v")
+        near = near.where(F.col("last").isNull() | (F.col("weight") + F.col("most") >= F.col("last"))).join(i.select("i", F.col("shared").alias("have")), "i")
+        added = sum_of(F.filter("shared", lambda x: F.array_contains("have", x["token"])))
+        return placed(near.select("v", "i", (F.col("weight") + added).cast(money).alias("weight")))
+
+    def placed(pairs):
         place = F.row_number().over(W.partitionBy("v").orderBy(F.desc("weight"), "i"))
         return pairs.withColumn("place", place).where(F.col("place") <= top)
 
-    rare = v.where("not common").join(i, "token").groupBy("v", "i").agg(F.sum("w").alias("rare"))
-    tok_v = v.where("common").groupBy("v").agg(F.collect_list(F.struct("token", "w")).alias("extra"), F.sum("w").alias("most"))
-    tok_i = internal.select(F.col("row_id").alias("i"), F.array_distinct("tokens").alias("have"))
-    full = rare.join(tok_v, "v", "left").join(tok_i, "i")
-    zero = F.lit(0).cast("decimal(24,6)")
-    shared = F.aggregate(F.coalesce("extra", F.array().cast("array<struct<token:string,w:decimal(14,6)>>")), zero, lambda s, x: (s + F.when(F.array_contains("have", x["token"]), x["w"]).otherwise(F.lit(0).cast("decimal(14,6)"))).cast("decimal(24,6)"))
-    first = staged(ranked(full.select("v", "i", (F.col("rare") + shared).cast("decimal(24,6)").alias("weight"), "most")), "rare-candidates")
-    done = first.groupBy("v").agg(F.count("*").alias("n"), F.min("weight").alias("least"), F.max("most").alias("most")).where((F.col("n") == top) & (F.col("least") > F.coalesce("most", F.lit(0)))).select("v")
-    # rows without common tokens are complete with their rare ones
-    done = done.unionByName(v.groupBy("v").agg(F.max(F.col("common").cast("int")).alias("c")).where("c = 0").select("v")).distinct()
-    late = v.join(done, "v", "left_anti").join(i, "token").groupBy("v", "i").agg(F.sum("w").cast("decimal(24,6)").alias("weight"))
-    return first.join(done, "v", "left_semi").select("v", "i", "weight", "place").unionByName(ranked(late).select("v", "i", "weight", "place"))
+    v2 = spread(v, "v").select("v", in_pairs(F.col("own"), lambda a, b: F.struct(a["token"].alias("a"), b["token"].alias("b"), (a["w"] + b["w"]).cast(money).alias("w"))).alias("p")).select("v", "p.*")
+    i2 = small(staged(i.select("i", in_pairs(F.col("own"), lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("p")).select("i", "p.*"), "token-pairs"), FEW_PAIRS)
+    met = v2.join(i2, ["a", "b"]).groupBy("v", "i").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    met = met.select("v", "i", (F.col("w") / F.round((F.sqrt(1 + 8 * F.col("n")) - 1) / 2).cast("int")).cast(money).alias("weight"))
+    first = staged(ranked(met), "pair-candidates")
+    bound = v.select("v", (F.coalesce(F.array_max(F.transform("own", lambda x: x["w"])), F.lit(0).cast(money)) + sum_of("shared")).alias("bound"))
+    done = first.where(F.col("place") == top).join(bound, "v").where("weight > bound").select("v")
+    rest = staged(v.join(done, "v", "left_anti"), "unsettled")
+    one = rest.select("v", F.explode("own").alias("x")).select("v", "x.*").join(i.select("i", F.explode("own").alias("token")), "token").groupBy("v", "i").agg(F.sum("w").cast(money).alias("weight"))
+    kinds = i.withColumn("n", F.row_number().over(W.partitionBy("shared").orderBy("i"))).where(F.col("n") <= top).select("i", F.explode("shared").alias("token"))
+    common = rest.select("v", F.explode("shared").alias("x")).select("v", F.col("x.token").alias("token")).join(kinds, "token").select("v", "i", F.lit(0).cast(money).alias("weight"))
+    late = ranked(one.unionByName(common).groupBy("v", "i").agg(F.max("weight").alias("weight")))
+    return first.join(done, "v", "left_semi").unionByName(late)
 
 
 # -- signals ------------------------------------------------------------------------------------
@@ -169,7 +192,8 @@ def pair_scores(pairs: DataFrame, vendor: DataFrame, internal: DataFrame) -> Dat
     where sizes, codes or short words disagree; of several readings of a vendor row the best counts.
     vendor, internal: features of the rows."""
     v, i = F.col("vf"), F.col("if")
-    df = pairs.join(vendor.select(F.col("row_id").alias("v"), "reading", F.col("f").alias("vf")), "v").join(internal.select(F.col("row_id").alias("i"), F.col("f").alias("if")), "i")
+    internal = small(staged(internal, "internal-features"), FEW_ROWS)
+    df = spread(pairs, "v").join(vendor.select(F.col("row_id").alias("v"), "reading", F.col("f").alias("vf")), "v").join(internal.select(F.col("row_id").alias("i"), F.col("f").alias("if")), "i")
     code = _code_score(v["code"], i["code"])
     has = lambda n: v[n].isNotNull() & i[n].isNotNull()
     lev = lambda n: F.when(F.greatest(F.length(v[n]), F.length(i[n])) == 0, 1.0).otherwise(_ratio(v[n], i[n]))

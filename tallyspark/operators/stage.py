@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,3 +25,29 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df (staged) with a broadcast hint if it has at most ``most`` rows; joins shuffle larger ones."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt out by columns to all shuffle partitions, which are not merged again however few bytes there are:
+    for rows that cost much more to work on than to move."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+_sessions: dict = {}
+
+
+def saved(source: DataFrame, name: str, make, fresh: bool = False):
+    """What ``make()`` gives (staged tables), saved for as long as the application runs and the files behind ``source``
+    stay as they are (paths, sizes, times of change); ``fresh`` makes it anew."""
+    spark = source.sparkSession
+    file = source.select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("f")).distinct()
+    state = file.agg(F.count("*"), F.expr("bit_xor(f)")).first()  # one row
+    key = (spark.sparkContext.applicationId, name, *state)
+    if fresh or key not in _sessions:
+        _sessions[key] = make()
+    return _sessions[key]

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_code, qty_in_range
 from ..operators import matching
 from ..operators.dataset import MappedColumn, dataset
-from ..operators.stage import staged
-from ..sources.tables import VENDOR, catalogue, internal_sheet, learned_rules, vendor_list, vendor_sheet
+from ..operators.stage import saved, staged
+from ..sources.tables import VENDOR, catalogue, internal_sheet, learned_rules, table, vendor_list, vendor_sheet
 from . import audit_sql as S
 from .frames_sql import VEND
 from .names import _NAMED, idf, named
@@ -95,15 +95,21 @@ def master_lookup(spark, sf_dir):
     return matching.master_lookup(named(vendor_list(spark, sf_dir)), learned_pairs(spark, sf_dir))
 
 
-def audited(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Vendor rows, internal rows and the results of a matching run (written once)."""
-    v, i = datasets(spark, sf_dir)
-    return v, i, staged(matching.match_run(v, i, idf(v, i), learned_rules(spark, sf_dir), VENDOR), "match-results")
+def audited(spark, sf_dir, fresh: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vendor rows, internal rows and the results of a matching run, as a session keeps them: prices, review, statistics
+    and export read the saved results of the run."""
+
+    def run():
+        v, i = datasets(spark, sf_dir)
+        return v, i, staged(matching.match_run(v, i, idf(v, i), learned_rules(spark, sf_dir), VENDOR), "match-results")
+
+    return saved(table(spark, sf_dir, "part"), "match-session", run, fresh)
 
 
 @query("q_match_results", f"WITH {S.RUN} SELECT v, i, round(score, 4) AS score, round(margin, 4) AS margin, status, confidence, source, candidates FROM rs")
 def q_match_results(spark, sf_dir):
-    return audited(spark, sf_dir)[2].select("v", "i", F.round("score", 4).alias("score"), F.round("margin", 4).alias("margin"), "status", "confidence", "source", "candidates")
+    """A matching run, from the sheets to the classes."""
+    return audited(spark, sf_dir, fresh=True)[2].select("v", "i", F.round("score", 4).alias("score"), F.round("margin", 4).alias("margin"), "status", "confidence", "source", "candidates")
 
 
 def price_items(vendor: DataFrame, internal: DataFrame, results: DataFrame, tolerance: float = 0.0) -> DataFrame:
@@ -135,7 +141,7 @@ _ITEMS = S.ITEMS
 
 
 def items_of(spark, sf_dir) -> DataFrame:
-    return staged(price_items(*audited(spark, sf_dir)), "price-items")
+    return price_items(*audited(spark, sf_dir))
 
 
 @query("q_price_validation", f"WITH {_ITEMS} SELECT * FROM it")
@@ -180,10 +186,10 @@ _ANOM = f"{_ITEMS}, st AS (SELECT avg(diff_pct) AS m, stddev_pop(diff_pct) AS sd
 
 @query("q_anomalies", f"WITH {_ANOM} SELECT v, i, status, severity, round(z, 6) AS z FROM an WHERE v IS NOT NULL")
 def q_anomalies(spark, sf_dir):
-    return anomalies(items_of(spark, sf_dir)).where("v is not null").select("v", "i", "status", "severity", F.round("z", 6).alias("z"))
+    return anomalies(staged(items_of(spark, sf_dir), "price-items")).where("v is not null").select("v", "i", "status", "severity", F.round("z", 6).alias("z"))
 
 
 @query("q_anomaly_top15", f"WITH {_ANOM} SELECT v, diff_pct, severity FROM an WHERE severity <> 'none' ORDER BY abs(diff_pct) DESC, v LIMIT 15")
 def anomaly_top15(spark, sf_dir):
     """The fifteen largest anomalies (a report's length)."""
-    return anomalies(items_of(spark, sf_dir)).where("severity <> 'none'").orderBy(F.desc(F.abs("diff_pct")), "v").limit(15).select("v", "diff_pct", "severity")
+    return anomalies(staged(items_of(spark, sf_dir), "price-items")).where("severity <> 'none'").orderBy(F.desc(F.abs("diff_pct")), "v").limit(15).select("v", "diff_pct", "severity")
