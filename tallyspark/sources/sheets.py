@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zipfile
+from datetime import date, timedelta
 from io import BytesIO
 from xml.etree import ElementTree
 
@@ -13,25 +14,39 @@ from pyspark.sql import functions as F
 
 from ..functions.text import null_text
 from ..operators.profile import header_row
+from .csv_matrix import MATRIX, read_csv_matrix
 
+__all__ = ["MATRIX", "read_csv_matrix", "read_workbooks", "largest_sheet", "sheet_ranking", "typed", "safe_names", "coerced", "save", "load_table", "export_csv", "flattened"]
+
+_REL_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-MATRIX = "path string, sheet string, row_idx long, cells array<string>"
 
 
-def read_csv_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sheet, row_idx, cells): every line as strings, no header assumed; blank rows are dropped."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+# Number formats that show dates, by the file format; letters that do so in formats of one's own.
+DATE_FORMATS = {*range(14, 23), *range(45, 48)}
+_DATE_LETTERS = re.compile(r"[ymdhs]", re.I)
 
-    def rows(batches):
-        import csv
-        from io import StringIO
 
-        for b in batches:
-            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                kept = [(i, [c.strip() for c in r]) for i, r in enumerate(csv.reader(StringIO((text or "").lstrip("﻿")))) if any(c.strip() for c in r)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(kept)), pa.array(["csv"] * len(kept)), pa.array([i for i, _ in kept], pa.int64()), pa.array([r for _, r in kept], pa.list_(pa.string()))], names=["path", "sheet", "row_idx", "cells"])
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show dates."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    # quoted text, escapes and colours in brackets are no date letters
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode") or "") for f in root.iter(f"{{{_NS['m']}}}numFmt")}
+    formats = [int(x.get("numFmtId") or 0) for x in root.findall("m:cellXfs/m:xf", _NS)]
+    return {k for k, f in enumerate(formats) if (_DATE_LETTERS.search(own[f]) if f in own else f in DATE_FORMATS)}
+
 
-    return raw.mapInArrow(rows, MATRIX)
+def _iso_date(serial: str, since_1904: bool) -> str:
+    """The day of a serial number of days; anything else as it is."""
+    try:
+        days = float(serial)
+        # day 60 of the older system is a 29 February that never was
+        start = date(1904, 1, 1) if since_1904 else date(1899, 12, 30 if days >= 60 else 31)
+        return (start + timedelta(days=int(days))).isoformat()
+    except (ValueError, OverflowError):
+        return serial
 
 
 def workbook_rows(content: bytes):
@@ -41,9 +56,19 @@ def workbook_rows(content: bytes):
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
-        titles = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{{{_NS['m']}}}sheet")]
-        files = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
-        for title, file in zip(titles, files):
+        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        sheets = list(book.iter(f"{{{_NS['m']}}}sheet"))
+        if "xl/_rels/workbook.xml.rels" in names:
+            parts = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+            files = [parts.get(s.get(_REL_ID), "") for s in sheets]
+            files = [f.lstrip("/") if f.startswith("/") else f"xl/{f}" for f in files]
+        else:  # a part without relations: sheets stand in order of their numbers
+            files = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+        dates, settings = _date_styles(z), book.find("m:workbookPr", _NS)
+        since_1904 = settings is not None and settings.get("date1904") in ("1", "true")
+        for title, file in zip((s.get("name") for s in sheets), files):
+            if file not in names:
+                continue
             for i, row in enumerate(ElementTree.fromstring(z.read(file)).iter(f"{{{_NS['m']}}}row")):
                 cells: list[str] = []
                 for c in row.findall("m:c", _NS):
@@ -58,7 +83,9 @@ def workbook_rows(content: bytes):
                     elif inline is not None:
                         cells.append("".join(t.text or "" for t in inline.iter(f"{{{_NS['m']}}}t")).strip())
                     else:
-                        cells.append((v.text or "").strip() if v is not None else "")
+                        text = (v.text or "").strip() if v is not None else ""
+                        shows_date = c.get("t") in (None, "n") and int(c.get("s") or 0) in dates
+                        cells.append(_iso_date(text, since_1904) if shows_date and text else text[:10] if c.get("t") == "d" else text)
                 if any(cells):
                     yield title, i, cells
 
@@ -79,7 +106,7 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
 def largest_sheet(matrix: DataFrame) -> DataFrame:
     """Rows of the sheet with most rows, by file; ties to the first name."""
     n = matrix.groupBy("path", "sheet").agg(F.count("*").alias("n")).groupBy("path").agg(F.min_by("sheet", F.struct(-F.col("n"), "sheet")).alias("sheet"))
-    return matrix.join(F.broadcast(n), ["path", "sheet"])
+    return matrix.join(n, ["path", "sheet"])  # one row a file: broadcast by its size at run time
 
 
 def sheet_ranking(matrix: DataFrame) -> DataFrame:
@@ -122,6 +149,37 @@ def coerced(df: DataFrame) -> DataFrame:
     return df.withColumns(cols)
 
 
+def load_table(df: DataFrame, name: str, cluster_by=(), buckets: int | None = None) -> str:
+    """Truncate and load into a catalogue table, bucketed and sorted by the clustering columns that df has.
+
+    Returns what was done: "skipped" (no rows), "created", "loaded", or "recreated" where the stored clustering
+    was another and the table was dropped first.  Tables of one clustering and number of buckets join without an exchange."""
+    spark = df.sparkSession
+    keys = [c for c in cluster_by if c in df.columns]
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if df.limit(1).count() == 0:
+        return "skipped"
+    stored = stored_clustering(spark, name)
+    done = "created" if stored is None else "loaded" if stored == (keys, buckets if keys else 0) else "recreated"
+    if done == "recreated":
+        spark.sql(f"DROP TABLE {name}")
+    # one file a bucket: rows are dealt out as the buckets are
+    out = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys) if keys else df.write
+    if done == "loaded" and not keys:
+        out.insertInto(name, overwrite=True)
+    else:
+        out.mode("overwrite").format("parquet").saveAsTable(name)
+    return done
+
+
+def stored_clustering(spark: SparkSession, name: str) -> tuple[list[str], int] | None:
+    """(bucket columns in order, buckets) of a catalogue table, ([], 0) without any, None if there is no such table."""
+    if not spark.catalog.tableExists(name):
+        return None
+    said = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}  # a row a column and property
+    return re.findall(r"`([^`]*)`", said.get("Bucket Columns", "")), int(said.get("Num Buckets", 0))
+
+
 def save(df: DataFrame, path: str, cluster_by=(), partition_by=()) -> None:
     """Truncate and load as Parquet, laid out by range of the clustering columns."""
     out = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by) if cluster_by else df
