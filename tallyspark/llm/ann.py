@@ -10,7 +10,8 @@
    cosines of the original vectors.
 
 ``degree`` and the beam's width grow with the number of nodes (degree_of, beam_of).  Every valid row is indexed.  Defined cases: null, zero or non-finite vectors and rows with null ids take no part;
-a repeated (id, vector) counts once; vectors of another length than most rows' are compared only if
+a repeated (id, vector) counts once; an id with several vectors is a query, and a candidate, with each of them, but not
+its own candidate; vectors of another length than most rows' are compared only if
 lengths agree; ties go to the smaller id; with fewer candidates all are returned; an empty table gives no rows.
 """
 
@@ -46,13 +47,14 @@ def _vectors(col) -> np.ndarray:
 
 
 def nodes_of(rows: DataFrame, id_col: str, vec_col: str, keep: int) -> tuple[DataFrame, DataFrame]:
-    """(node, v): unit vectors as float32; and (node, id, original) with up to ``keep`` smallest ids of a node."""
+    """(node, v): unit vectors as float32; and (node, id, original, head) with up to ``keep`` smallest ids of a node."""
     good = rows.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("original"))
     good = good.where("size(original) > 0 and not exists(original, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(original, x -> x <> 0)")
     place = W.partitionBy("original").orderBy("id")
     ids = good.withColumn("nth", F.dense_rank().over(place)).where(F.col("nth") <= keep).select("id", "original").distinct()
-    ids = ids.withColumn("node", F.min("id").over(W.partitionBy("original")))
-    ids = staged(ids.select("node", "id", "original"), "ids")
+    # a node is named after its vector, so an id with two vectors stands for two nodes; its smallest id is its head
+    head = F.col("id") == F.min("id").over(W.partitionBy("original"))
+    ids = staged(ids.select(F.xxhash64("original").alias("node"), "id", "original", head.alias("head")), "ids")
 
     def unit(batches):
         for b in batches:
@@ -63,8 +65,7 @@ def nodes_of(rows: DataFrame, id_col: str, vec_col: str, keep: int) -> tuple[Dat
                 out.append((x / np.sqrt((x * x).sum())).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["node", "v"])
 
-    # a node may stand for vectors of several ids only if these are equal, so its smallest id names it
-    return staged(ids.where("node = id").select("node", "original").dropDuplicates(["node"]).mapInArrow(unit, "node long, v binary"), "vectors"), ids
+    return staged(ids.where("head").select("node", "original").mapInArrow(unit, "node long, v binary"), "vectors"), ids
 
 
 def _codes(starts: int, seed: int = 3, bits: int = 20):
@@ -232,14 +233,14 @@ def neighbours(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     degree, beam_width = how.pop("degree", None) or degree_of(total), how.pop("beam", None) or beam_of(total)
     graph = build_graph(vectors, degree, **how)
     asked = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("original")).where(is_query).distinct()
-    node = ids.select("node", "original").distinct()
+    node = ids.where("head").select("node", "original")
     asked = staged(asked.join(node, "original").select("id", F.col("node").alias("q")), "asked")
     queries = staged(asked.select("q").distinct().join(vectors.select(F.col("node").alias("q"), F.col("v").alias("qv")), "q"), "queries")
     starts = queries.select("q", F.col("q").alias("c")).unionByName(queries.select("q").join(pairs_of(graph).select(F.col("a").alias("q"), F.col("b").alias("c")), "q"))
     spread = vectors.select(F.col("node").alias("c")).orderBy(F.xxhash64("c"), "c").limit(ENTRIES)
     starts = starts.unionByName(queries.select("q").crossJoin(F.broadcast(spread)))
     beam = search(graph, vectors, queries, starts, degree, max(beam_width, k + 1))
-    one = ids.where("node = id").select("node", "original").dropDuplicates(["node"])
+    one = ids.where("head").select("node", "original")
     exact = beam.select("q", "c").join(one.select(F.col("node").alias("q"), F.col("original").alias("x")), "q").join(one.select(F.col("node").alias("c"), F.col("original").alias("y")), "c").select("q", "c", "x", "y").mapInArrow(_exact_task, "q long, c long, score double")
     found = asked.join(exact, "q").join(ids.select(F.col("node").alias("c"), F.col("id").alias("vec_id")), "c").where("vec_id <> id")
     place = W.partitionBy("id").orderBy(F.desc("score"), "vec_id")

@@ -12,8 +12,10 @@ document's template window is read both as a name and as a literal, if it is cap
 Benchmark windows are looked up in blocks of BLOCK hashes, so the set that tasks hold is bounded, whatever the size
 of the benchmark; hits alone are shuffled.
 
-Defined cases: null or empty texts match nothing; items with fewer than SHORTEST words
-are not looked for; items with too few literal words are found as exact copies only; items are told apart by id and
+Items with fewer than SHORTEST words would be found in any prose; they are found where they stand alone, word for word: as
+a line of a document, or as all of it.  Lines and items are hash-joined by their words; no item is left out but those without words.
+
+Defined cases: null or empty texts match nothing; items with too few literal words are found as exact copies only; items are told apart by id and
 text, null ids among them; repeated rows are each reported once per pair of ids; null ids are kept as null; empty tables give
 empty results; texts are read whole; extra columns are kept by ``remove_contaminated``.
 """
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM_WORDS, batches_of_bytes, mix64, shingle_hashes, span_hashes, staged, table
 
+#: SHORTEST: from so many words on items are looked for inside a text.
 WINDOW, LITERAL, LEAST, SHORTEST, BLOCK = 8, 5, 13, 5, 1 << 20
 # Units that become one placeholder.
 UNITS = "mm cm m km in ft yd mile miles meter meters metre metres mg g kg t lb lbs oz gram grams ml l liter liters litre litres s sec seconds minute minutes min hour hours day days week weeks month months year years percent pct usd eur gbp dollar dollars euro euros cent cents mph kmh c f k w kw kwh v hz gb mb tb"
@@ -180,17 +183,36 @@ def _line_task(batches):
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "rk", "item_key", "item_id", "item_words")), pa.array(n_slots, pa.int64()), pa.array(words, pa.list_(pa.int32())), pa.array(plain, pa.list_(pa.int32()))], names=["doc_id", "rk", "item_key", "item_id", "item_words", "n_slots", "words", "plain"])
 
 
+_UPPER, _GAPS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def standing_alone(keyed: DataFrame, short: DataFrame) -> DataFrame | None:
+    """Hits of items (item_key, item_id, item_words, text) that are a whole line, or the whole text, of rows (id, rk, text)."""
+    words = lambda c: F.trim(F.regexp_replace(F.translate(c, _UPPER, _UPPER.lower()), _GAPS, " "))
+    short = staged(short.withColumn("key", words("text")).where("key <> ''").drop("text"), "short-items")
+    longest = short.agg(F.max(F.length("key"))).first()[0]
+    if longest is None:
+        return None
+    alone = F.explode(F.concat(F.split("text", r"\R"), F.array("text")))
+    # a longer key can equal none
+    lines = keyed.select(F.col("id").alias("doc_id"), "rk", alone.alias("line")).select("doc_id", "rk", words(F.col("line")).alias("key")).where(F.length("key").between(1, longest))
+    hits = lines.join(short, "key").select("doc_id", "rk", "item_key", "item_id", "item_words").distinct()
+    return hits.select("doc_id", "rk", "item_id", F.col("item_words").cast("long").alias("words"), "item_words", F.lit(0).cast("long").alias("n_slots"), F.lit(False).alias("changed"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text") -> DataFrame:
     """(doc_id, rk, item_id, words, item_words, n_slots, changed): contaminated pairs, one for each item; rk is a hash of id and text."""
     spark = docs.sparkSession
     items = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.xxhash64(F.lit(31), item_id, item_text).alias("rk"), F.col(item_text).alias("text")).dropDuplicates(["id", "text"])
-    lengths = staged(items.select("rk", "text").mapInArrow(_count_task, "rk long, words int").where(F.col("words") >= SHORTEST), "items")
+    counted = staged(items.select("rk", "text").mapInArrow(_count_task, "rk long, words int"), "items")
+    lengths = counted.where(F.col("words") >= SHORTEST)
+    short = items.join(counted.where(F.col("words") < SHORTEST), "rk").select(F.col("rk").alias("item_key"), F.col("id").alias("item_id"), F.col("words").alias("item_words"), "text")
     sizes = sorted(r.size for r in lengths.select(F.least("words", F.lit(WINDOW)).alias("size")).distinct().collect())  # at most WINDOW numbers
     out = items.mapInArrow(_window_task(sizes), HITS).join(lengths, "rk").where(F.col("size") == F.least("words", F.lit(WINDOW)))
     bench = staged(out.select(F.col("rk").alias("item_key"), F.col("id").alias("item_id"), F.col("words").alias("item_words"), "size", F.col("at").alias("item_at"), "hash", "exact", F.col("slots").alias("item_slots")), "windows")
     blocks = max(1, -(-bench.count() // BLOCK))
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.lit(29), id_col, text_col).alias("rk"), F.col(text_col).alias("text")).where("text is not null")
-    hits = None
+    alone, hits = standing_alone(keyed, short), None
     for k in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k).select("size", "hash").distinct().collect()  # about BLOCK hashes
         known = {s: np.sort(np.array([r.hash for r in part if r.size == s], np.int64).astype(np.uint64)) for s in sizes}
@@ -200,7 +222,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="
         found = keyed.mapInArrow(_window_task(used, spark.sparkContext.broadcast(known)), HITS)
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        return spark.createDataFrame([], "doc_id long, rk long, item_id long, words long, item_words int, n_slots long, changed boolean")
+        return alone if alone is not None else spark.createDataFrame([], "doc_id long, rk long, item_id long, words long, item_words int, n_slots long, changed boolean")
     pairs = hits.distinct().join(bench, ["hash", "size", "exact"]).where("exact or size(slots) = size(item_slots)")
     who = ["doc_id", "rk", "item_key", "item_id", "item_words"]
     pairs = pairs.withColumn("doc_id", F.col("id")).groupBy(*who, (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_list(F.struct("exact", "item_at", "size", "slots", "item_slots")).alias("hits"))  # no more than the item has windows
@@ -208,7 +230,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="
     word = lines.select(*who, "n_slots", "plain", F.explode("words").alias("word")).withColumn("same", F.when(F.array_contains("plain", F.col("word")), F.col("word")))
     found = word.groupBy(*who).agg(F.count_distinct("word").alias("words"), F.max("n_slots").alias("n_slots"), F.count_distinct("same").alias("same"))
     least = F.least("item_words", F.lit(LEAST))
-    return found.where(F.col("words") >= least).select("doc_id", "rk", "item_id", "words", "item_words", "n_slots", (F.col("same") < least).alias("changed"))
+    found = found.where(F.col("words") >= least).select("doc_id", "rk", "item_id", "words", "item_words", "n_slots", (F.col("same") < least).alias("changed"))
+    return found if alone is None else found.unionByName(alone)
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", **names) -> DataFrame:

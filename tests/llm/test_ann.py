@@ -51,3 +51,10 @@ def test_lengths_that_differ(spark):
         x = np.array(by_id[q])
         cos = {i: float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)) for i, v in by_id.items() if i != q and len(v) == len(x) for y in [np.array(v)]}
         assert got.get(q, []) == sorted(cos, key=lambda i: (-cos[i], i))[:5]
+
+
+def test_an_id_with_two_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (5, [1.0, 0.1]), (5, [0.0, 1.0]), (7, [0.9, 0.1]), (8, [0.1, 0.9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, round(r.score, 3)) for r in ann.neighbours(df, F.expr("id = 0")).orderBy("rank").collect()]
+    assert got == [(5, 0.995), (7, 0.994), (8, 0.11), (5, 0.0)]

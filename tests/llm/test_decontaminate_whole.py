@@ -27,3 +27,12 @@ def test_items_of_one_id_are_all_looked_for(spark):
     d, items = run(spark, [(1, "a " + ITEM, None), (2, "a " + second, None), (3, "a " + third, None)], [(0, ITEM), (0, second), (None, third), (0, ITEM)])
     assert {(r.doc_id, r.item_id) for r in dc.contamination(d, items).collect()} == {(1, 0), (2, 0), (3, None)}
     assert dc.remove_contaminated(d, items).count() == 0
+
+
+def test_short_items_are_found_where_they_stand_alone(spark):
+    docs = [(1, "12 + 7 = 19", None), (2, "What is 2 + 2?", None), (3, "Some prose.\r\n  what is 2 + 2\nmore prose", None), (4, "We asked what is 2 + 2 and went on with the day", None), (5, "12 + 7 = 20", None), (6, "!!", None), (7, "Where?\nNow", None)]
+    d, items = run(spark, docs, [(1, "12 + 7 = 19"), (2, "What is 2 + 2?"), (3, ""), (4, "--"), (5, "where now"), (6, ITEM)])
+    want = {(1, 1, False), (2, 2, False), (3, 2, False), (7, 5, False)}
+    assert {(r.doc_id, r.item_id, r.changed) for r in dc.contamination(d, items).collect()} == want
+    assert {(r.doc_id, r.item_id, r.changed) for r in dc.contamination(d, items.where("length(text) < 20")).collect()} == want
+    assert {r.doc_id for r in dc.remove_contaminated(d, items).collect()} == {4, 5, 6}
