@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.columns import HINTS, ROLES, assign_roles, cells_long, cross_similarity, date_ratios, profiles, role_scores, tracker_roles
+from ..operators.page_tables import align_blocks, fill_merged, table_rows
 from ..operators.stage import shared_folder, staged
 from ..sources.csv_matrix import read_csv_matrix
 from ..sources.sheets import load_table
@@ -131,3 +132,39 @@ def q_tracker_roles(spark, sf_dir):
     heads = spark.createDataFrame([("orders", ["Sales Name", "Order Status", "When", "Total"])], "sheet string, headers array<string>")
     filled = cells_long(o.select(F.lit("orders").alias("sheet"), F.col("o_orderkey").alias("row_idx"), cells.alias("cells")), heads)
     return tracker_roles(date_ratios(filled), VISIT_HINTS)
+
+
+# -- tables of pages: the parts of a brand are set as a page ---------------------------------------------
+def _price(c):
+    return c.cast("decimal(18,2)").cast("string")
+
+
+@query("q_merged_cells", f"SELECT p_brand AS page, p_partkey * 3 + j AS row_idx, CASE j WHEN 0 THEN p_name || '||' WHEN 1 THEN p_name || '|' || p_size || '|' || CAST({_MONEY} AS VARCHAR) ELSE '||' END AS cells FROM part, range(3) r(j)")
+def merged_cells(spark, sf_dir):
+    """A name over its sizes and prices: a row with the name alone, one with the numbers, a blank one; the name fills down."""
+    p = table(spark, sf_dir, "part")
+    row = lambda j, *cells: F.struct((F.col("p_partkey").cast("long") * 3 + j).alias("row_idx"), F.array(*cells).alias("cells"))
+    no = F.lit("")
+    rows = p.select(F.col("p_brand").alias("page"), F.explode(F.array(row(0, F.col("p_name"), no, no), row(1, no, F.col("p_size").cast("string"), _price(F.col("p_retailprice"))), row(2, no, no, no))).alias("r")).select("page", "r.*")
+    return fill_merged(rows).withColumn("cells", F.array_join("cells", "|"))
+
+
+@query("q_block_alignment", f"SELECT p_brand AS page, CAST(p_partkey % 2 AS INTEGER) AS block, CAST(p_partkey AS BIGINT) AS row_idx, CASE WHEN p_partkey % 2 = 0 OR NOT EXISTS (SELECT 1 FROM part q WHERE q.p_brand = part.p_brand AND q.p_partkey % 2 = 0) THEN CASE WHEN p_partkey % 2 = 0 THEN p_name || '|' || CAST({_MONEY} AS VARCHAR) ELSE CAST({_MONEY} AS VARCHAR) || '|' || p_name END ELSE p_name || '|' || CAST({_MONEY} AS VARCHAR) END AS cells FROM part")
+def block_alignment(spark, sf_dir):
+    """Two blocks a page, the second with its columns the other way round, under the columns of the first."""
+    k, price = F.col("p_partkey"), _price(F.col("p_retailprice"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("page"), (k % 2).cast("int").alias("block"), k.cast("long").alias("row_idx"), F.when(k % 2 == 0, F.array("p_name", price)).otherwise(F.array(price, F.col("p_name"))).alias("cells"))
+    return align_blocks(rows).withColumn("cells", F.array_join("cells", "|"))
+
+
+@query("q_table_rows", f"""WITH r AS (SELECT p_brand AS page, CAST(p_partkey AS BIGINT) + 1 AS row_idx, p_name || '|' || p_size || '|' || CAST({_MONEY} AS VARCHAR) AS cells, CASE WHEN row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) = 1 THEN 'x' ELSE '' END AS stray, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
+SELECT page, row_idx, 'old and new things' AS category, cells || CASE WHEN 1.0 / CASE WHEN n >= 3 THEN n ELSE n + 1 END >= 0.1 THEN '|' || stray ELSE '' END AS cells FROM r
+UNION ALL SELECT page, 0, 'old and new things', 'old and new things||' || CASE WHEN 1.0 / (n + 1) >= 0.1 THEN '|' ELSE '' END FROM r WHERE n < 3 AND stray = 'x'""")
+def q_table_rows(spark, sf_dir):
+    """A page of parts below a title, with one stray cell in a column of its own."""
+    p = table(spark, sf_dir, "part")
+    first = p.groupBy("p_brand").agg(F.min("p_partkey").alias("first"))
+    stray = F.when(F.col("p_partkey") == F.col("first"), "x").otherwise("")
+    lines = p.join(first, "p_brand").select(F.col("p_brand").alias("page"), (F.col("p_partkey").cast("long") + 1).alias("row_idx"), F.array(F.col("p_name"), F.col("p_size").cast("string"), _price(F.col("p_retailprice")), stray).alias("cells"))
+    titles = first.select(F.col("p_brand").alias("page"), F.lit(0).cast("long").alias("row_idx"), F.array(F.lit("old and new things"), F.lit(""), F.lit(""), F.lit("")).alias("cells"))
+    return table_rows(lines.unionByName(titles)).withColumn("cells", F.array_join("cells", "|"))
