@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
+from .order import numbered
 
 
 def change_pct(value: str, order, by=()) -> Column:
@@ -36,13 +37,12 @@ def average_ranks(values: DataFrame, col: str, n: str) -> DataFrame:
 
 def quartile(df: DataFrame, col: str, key: str, out: str, reverse: bool = False) -> DataFrame:
     """Quartile label 1..4 of the first-come rank, edges by linear interpolation; one value only: 2."""
-    n = F.count("*").over(W.partitionBy())
-    rn = F.row_number().over(W.orderBy(col, key))
-    flat = F.min(col).over(W.partitionBy()) == F.max(col).over(W.partitionBy())
+    ends = df.agg((F.min(col) == F.max(col)).alias("_flat"))  # one row
+    df = numbered(df, [col, key])
     bucket = F.lit(4)
     for k in (3, 2, 1):
-        bucket = F.when((rn - 1) * 4 <= (n - 1) * k, k).otherwise(bucket)
-    return df.withColumn(out, F.when(flat, 2).otherwise(5 - bucket if reverse else bucket).cast("int"))
+        bucket = F.when(F.col("_place") * 4 <= (F.col("_all") - 1) * k, k).otherwise(bucket)
+    return df.join(F.broadcast(ends)).withColumn(out, F.when(F.col("_flat"), 2).otherwise(5 - bucket if reverse else bucket).cast("int")).drop("_place", "_all", "_flat")
 
 
 def keep_first(df: DataFrame, keys, order) -> DataFrame:

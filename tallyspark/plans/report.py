@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import overlap_days
 from ..functions.numeric import delta_pct, ratio, total
 from ..operators.joins import full_outer
+from ..operators.order import numbered
 from ..operators.reshape import month_scaffold, unpivot_months
 from ..operators.windows import change_pct
 from ..sources.tables import invoice_lines, visits
@@ -43,11 +44,9 @@ def dim_compare(spark, sf_dir):
 def pareto(spark, sf_dir):
     """Twelve largest entities with their cumulative share, and how many make up 80 percent."""
     s = invoice_lines(spark, sf_dir).groupBy(F.col("product_name").alias("entity")).agg(F.sum("net").alias("r"))
-    w = W.orderBy(F.desc("r"), "entity")
-    every = W.partitionBy()
-    c = s.withColumns({"cumulative_pct": F.sum("r").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("double") / F.sum("r").over(every).cast("double") * 100, "place": F.row_number().over(w)})
-    c = c.withColumn("n_80", F.count(F.when(F.col("cumulative_pct") <= 80, 1)).over(every) + 1)
-    return c.where("place <= 12").select("entity", F.col("r").cast("double").alias("revenue"), "cumulative_pct", F.col("place").cast("long").alias("place"), "n_80")
+    c = numbered(s, [F.desc("r"), F.col("entity")], "r").withColumns({"cumulative_pct": F.col("_upto").cast("double") / F.col("_sum").cast("double") * 100, "place": F.col("_place") + 1})
+    within = c.agg((F.count(F.when(F.col("cumulative_pct") <= 80, 1)) + 1).alias("n_80"))  # one row
+    return c.where("place <= 12").join(F.broadcast(within)).select("entity", F.col("r").cast("double").alias("revenue"), "cumulative_pct", F.col("place").cast("long").alias("place"), "n_80")
 
 
 @query("q_efficiency", f"WITH {INV}, s AS (SELECT salesman, CAST(sum(net) AS DOUBLE) AS revenue, count(net) AS n FROM inv GROUP BY 1), a AS (SELECT *, revenue / nullif(CAST(n AS DOUBLE), 0) AS basket FROM s) SELECT *, revenue / max(revenue) OVER () * 50 + basket / max(basket) OVER () * 50 AS score FROM a")
