@@ -52,9 +52,11 @@ def nodes_of(rows: DataFrame, id_col: str, vec_col: str, keep: int) -> tuple[Dat
     good = good.where("size(original) > 0 and not exists(original, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(original, x -> x <> 0)")
     place = W.partitionBy("original").orderBy("id")
     ids = good.withColumn("nth", F.dense_rank().over(place)).where(F.col("nth") <= keep).select("id", "original").distinct()
-    # a node is named after its vector, so an id with two vectors stands for two nodes; its smallest id is its head
-    head = F.col("id") == F.min("id").over(W.partitionBy("original"))
-    ids = staged(ids.select(F.xxhash64("original").alias("node"), "id", "original", head.alias("head")), "ids")
+    ids = staged(ids.withColumn("first", F.min("id").over(W.partitionBy("original"))), "id-vectors")
+    # a node is named after its smallest id; where that id has other vectors, after its own (far from any id in use)
+    several = ids.groupBy(F.col("id").alias("first")).agg(F.count(F.lit(1)).alias("vectors")).where("vectors > 1")
+    named = F.when(F.col("vectors").isNotNull(), F.lit(-(1 << 62)) - F.shiftrightunsigned(F.xxhash64("original"), 2)).otherwise(F.col("first"))
+    ids = staged(ids.join(several, "first", "left").select(named.alias("node"), "id", "original", (F.col("id") == F.col("first")).alias("head")), "ids")
 
     def unit(batches):
         for b in batches:
