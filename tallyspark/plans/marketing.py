@@ -14,7 +14,7 @@ from ..sources.tables import gifts, purchases
 from .frames_sql import BUY, GIFT
 
 QUERIES, SQL = {}, {}
-WINDOWS = (7, 14, 28)
+WINDOWS = (7, 14, 28, 60, 90)
 PRIMARY = 28
 
 
@@ -95,7 +95,7 @@ def response(now: Column, before: Column) -> Column:
 _WIN_AGG = ", ".join(f"CAST(coalesce(sum(CASE WHEN after BETWEEN 1 AND {w} THEN value END), 0) AS DOUBLE) AS revenue_{w}d, count(DISTINCT CASE WHEN after BETWEEN 1 AND {w} THEN event_id END) AS orders_{w}d, count(DISTINCT CASE WHEN after BETWEEN 1 AND {w} THEN sku END) AS skus_{w}d, CAST(coalesce(sum(CASE WHEN after BETWEEN -{w} AND -1 THEN value END), 0) AS DOUBLE) AS before_{w}d" for w in WINDOWS)
 _ZERO = ", ".join(f"coalesce({n}_{w}d, 0) AS {n}_{w}d" for w in WINDOWS for n in ("revenue", "orders", "skus", "before"))
 _GW = f"""{_EV},
-nr AS (SELECT g.customer, g.date, b.value, b.event_id, b.sku, CAST(date_diff('day', g.date, b.date) AS INTEGER) AS after FROM (SELECT DISTINCT customer, date FROM ge) g JOIN buy b ON g.customer = b.customer WHERE b.date <> g.date AND b.date BETWEEN g.date - 28 AND g.date + 28),
+nr AS (SELECT g.customer, g.date, b.value, b.event_id, b.sku, CAST(date_diff('day', g.date, b.date) AS INTEGER) AS after FROM (SELECT DISTINCT customer, date FROM ge) g JOIN buy b ON g.customer = b.customer WHERE b.date <> g.date AND b.date BETWEEN g.date - {max(WINDOWS)} AND g.date + {max(WINDOWS)}),
 wa AS (SELECT customer, date, {_WIN_AGG}, min(CASE WHEN after > 0 THEN after END) AS days_to_repeat, min(CASE WHEN after < 0 THEN -after END) AS days_since_purchase FROM nr GROUP BY 1, 2),
 gw0 AS (SELECT ge.*, {_ZERO}, days_to_repeat, days_since_purchase FROM ge LEFT JOIN wa USING (customer, date)),
 gw AS (SELECT *, revenue_28d - before_28d AS uplift, (revenue_28d - before_28d) / nullif(before_28d, 0) * 100 AS uplift_pct, revenue_28d * weight AS attributed, CASE WHEN revenue_28d = 0 THEN 'No Repeat After Gift' WHEN before_28d = 0 THEN 'New or Reactivated' WHEN revenue_28d > before_28d THEN 'Positive Impact' WHEN revenue_28d = before_28d THEN 'Flat' ELSE 'Repeat but Lower Value' END AS response FROM gw0)"""
