@@ -151,12 +151,12 @@ def sheet(spark, sf_dir) -> DataFrame:
     """The vendor list as a string matrix with two title rows and a header."""
     v = vendor_list(spark, sf_dir)
     cells = F.array("name", F.coalesce("code", F.lit("")), F.col("price").cast("string"), F.col("qty").cast("string"))
-    data = v.select((F.col("row_id") + 2).alias("row_idx"), cells.alias("cells"))
+    data = v.select((F.col("row_id") + 3).alias("row_idx"), cells.alias("cells"))
     head = spark.createDataFrame([(0, ["PRICE LIST", "", "", ""]), (1, ["", "", "", ""]), (2, ["Product", "Code", "Price", "Qty"])], "row_idx long, cells array<string>")
     return head.unionByName(data)
 
 
-@query("q_sheet_header")
+@query("q_sheet_header", "SELECT 2 AS header_row, unnest(['Product', 'Code', 'Price', 'Qty']) AS column_name, CAST(unnest(range(4)) AS INTEGER) AS position")
 def sheet_header(spark, sf_dir):
     h, names = header_row(sheet(spark, sf_dir))
     return spark.createDataFrame([(h, n, i) for i, n in enumerate(names)], "header_row int, column_name string, position int")
