@@ -53,7 +53,10 @@ def full_outer_named(a: DataFrame, b: DataFrame, keys: dict[str, str]) -> DataFr
 
 
 def in_range(df: DataFrame, ranges: DataFrame, key: str, value: str, low: str, high: str, order: str) -> DataFrame:
-    """First row by ``order`` of the key's ranges that holds the value (open ends are null)."""
-    hit = df.join(ranges, key).where((F.col(low).isNull() | (F.col(value) >= F.col(low))) & (F.col(high).isNull() | (F.col(value) <= F.col(high))))
+    """Each row with the first, by ``order``, of its key's ranges that holds the value (open ends are null); rows that
+    none holds go.  A key's ranges are its grades, few, and come to its rows as one array."""
     cols = [c for c in ranges.columns if c != key]
-    return hit.groupBy(*df.columns).agg(F.min_by(F.struct(*cols), F.col(order)).alias("_hit")).select(*df.columns, "_hit.*")
+    grades = ranges.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *cols))).alias("_grades"))
+    holds = lambda r: (r[low].isNull() | (F.col(value) >= r[low])) & (r[high].isNull() | (F.col(value) <= r[high]))
+    hit = df.join(grades, key).withColumn("_hit", F.get(F.filter("_grades", holds), F.lit(0))).where("_hit is not null")
+    return hit.select(*df.columns, *(f"_hit.{c}" for c in cols))

@@ -72,11 +72,9 @@ def assign_roles(stats: list[dict]) -> dict[str, str]:
     return out
 
 
-def cleaning_rules(df: DataFrame, col: str, sample: int | None = None) -> DataFrame:
-    """(rule, occurrences) of the noise classes that occur, in one pass."""
+def cleaning_rules(df: DataFrame, col: str) -> DataFrame:
+    """(rule, occurrences) of the noise classes that occur, in one pass over all values."""
     values = df.where(F.trim(col) != "")
-    if sample is not None:
-        values = values.limit(sample)
     one = values.agg(*(F.count(F.when(F.col(col).rlike(p), 1)).alias(r) for r, p in DETECTORS.items()))
     return one.unpivot([], one.columns, "rule", "occurrences").where("occurrences > 0")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_code, qty_in_range
 from ..operators import matching
 from ..operators.dataset import MappedColumn, dataset
+from ..operators.joins import in_range
 from ..operators.stage import saved, staged
 from ..sources.tables import VENDOR, catalogue, internal_sheet, learned_rules, table, vendor_list, vendor_sheet
 from . import audit_sql as S
@@ -159,9 +160,8 @@ def ranged_prices(spark, sf_dir) -> DataFrame:
 @query("q_qty_range_price", f"WITH {VEND}, b AS (SELECT * FROM (VALUES (0, NULL, 9.0, 1.00::DECIMAL(3,2)), (1, 10.0, 29.0, 0.90::DECIMAL(3,2)), (2, 30.0, NULL, 0.80::DECIMAL(3,2))) t(band, lo, hi, f)), c AS (SELECT p_partkey AS row_id, band, lo, hi, CAST(CAST(p_retailprice AS DECIMAL(18,2)) * f AS DECIMAL(18,2)) AS band_price FROM part, b) SELECT v.row_id, v.qty, c.band, CAST(band_price AS DOUBLE) AS band_price, CAST(v.price AS DOUBLE) AS price, CAST(v.price - band_price AS DOUBLE) AS diff FROM vend v JOIN c ON v.row_id = c.row_id AND (lo IS NULL OR qty >= lo) AND (hi IS NULL OR qty <= hi) QUALIFY row_number() OVER (PARTITION BY v.row_id ORDER BY band) = 1")
 def qty_range_price(spark, sf_dir):
     """Vendor price against the internal price of the band that holds the quantity (the first, if several do)."""
-    hit = vendor_list(spark, sf_dir).join(ranged_prices(spark, sf_dir), "row_id").where(qty_in_range(F.col("qty"), F.col("qty_min"), F.col("qty_max")))
-    best = hit.groupBy("row_id", "qty", "price").agg(F.min(F.struct("band", "band_price")).alias("b"))
-    return best.select("row_id", "qty", F.col("b.band").alias("band"), F.col("b.band_price").cast("double").alias("band_price"), F.col("price").cast("double").alias("price"), (F.col("price") - F.col("b.band_price")).cast("double").alias("diff"))
+    best = in_range(vendor_list(spark, sf_dir).select("row_id", "qty", "price"), ranged_prices(spark, sf_dir), "row_id", "qty", "qty_min", "qty_max", "band")
+    return best.select("row_id", "qty", "band", F.col("band_price").cast("double").alias("band_price"), F.col("price").cast("double").alias("price"), (F.col("price") - F.col("band_price")).cast("double").alias("diff"))
 
 
 def anomalies(items: DataFrame, category: str | None = None) -> DataFrame:
