@@ -84,3 +84,18 @@ def table_rows(rows: DataFrame, scanned: bool = False) -> DataFrame:
     if scanned:
         df = df.where(F.exists("cells", lambda c: F.abs(parse_number(c)) >= LEAST_NUMBER))
     return df.select("page", "row_idx", "category", "cells")
+
+
+# Fixed value: rows at the top of a scanned page among which its header is looked for.
+HEADER_ROWS = 5
+
+
+def scanned_headers(rows: DataFrame) -> DataFrame:
+    """(page, header_row, headers) of scanned pages: the first of the top five rows with two filled cells or more, none of
+    them a number; its empty cells are named by their place.  A page without one has no row."""
+    top = rows.withColumn("_nth", F.row_number().over(W.partitionBy("page").orderBy("row_idx"))).where(F.col("_nth") <= HEADER_ROWS)
+    filled = F.filter("cells", lambda c: c != "")
+    head = top.where((F.size(filled) >= 2) & F.forall(filled, lambda c: parse_number(c).isNull()))
+    first = head.groupBy("page").agg(F.min(F.struct("row_idx", "cells")).alias("h"))
+    names = F.transform("h.cells", lambda c, k: F.when(c != "", c).otherwise(F.concat(F.lit("Column "), (k + 1).cast("string"))))
+    return first.select("page", F.col("h.row_idx").alias("header_row"), names.alias("headers"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.columns import HINTS, ROLES, assign_roles, cells_long, cross_similarity, date_ratios, profiles, role_scores, tracker_roles
-from ..operators.page_tables import align_blocks, fill_merged, table_rows
+from ..operators.page_tables import align_blocks, fill_merged, scanned_headers, table_rows
 from ..operators.stage import shared_folder, staged
 from ..sources.csv_matrix import read_csv_matrix
 from ..sources.sheets import load_table
@@ -168,3 +168,15 @@ def q_table_rows(spark, sf_dir):
     lines = p.join(first, "p_brand").select(F.col("p_brand").alias("page"), (F.col("p_partkey").cast("long") + 1).alias("row_idx"), F.array(F.col("p_name"), F.col("p_size").cast("string"), _price(F.col("p_retailprice")), stray).alias("cells"))
     titles = first.select(F.col("p_brand").alias("page"), F.lit(0).cast("long").alias("row_idx"), F.array(F.lit("old and new things"), F.lit(""), F.lit(""), F.lit("")).alias("cells"))
     return table_rows(lines.unionByName(titles)).withColumn("cells", F.array_join("cells", "|"))
+
+
+@query("q_scanned_headers", "SELECT p_brand AS page, CAST(1 AS BIGINT) AS header_row, 'Name|Column 2|Price' AS headers FROM part GROUP BY p_brand HAVING min(p_partkey) % 2 = 0")
+def q_scanned_headers(spark, sf_dir):
+    """Pages of parts below a title; those whose first part is even have a header, the others none."""
+    p = table(spark, sf_dir, "part").withColumn("page", F.col("p_brand"))
+    first = p.groupBy("page").agg(F.min("p_partkey").alias("first"))
+    row = lambda at, *cells: F.struct(F.lit(at).cast("long").alias("row_idx"), F.array(*cells).alias("cells"))
+    no = F.lit("")
+    tops = first.select("page", F.explode(F.array_compact(F.array(row(0, F.lit("Old and new things"), no, no), F.when(F.col("first") % 2 == 0, row(1, F.lit("Name"), no, F.lit("Price")))))).alias("r")).select("page", "r.*")
+    lines = p.select("page", (F.col("p_partkey").cast("long") + 2).alias("row_idx"), F.array(F.col("p_name"), F.col("p_size").cast("string"), _price(F.col("p_retailprice"))).alias("cells"))
+    return scanned_headers(tops.unionByName(lines)).withColumn("headers", F.array_join("headers", "|"))

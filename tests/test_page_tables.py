@@ -49,3 +49,9 @@ def test_table_rows(spark):
     assert [(r.category, r.cells) for r in got if r.page == 2] == [("Two words", ["Two words", ""]), ("Two words", ["x", "1"])]  # no three table rows: all stay
     scanned = P.table_rows(rows(spark, {1: lines}), scanned=True).collect()
     assert {r.cells[0] for r in scanned} == {f"pump {k}" for k in range(1, 13)}  # no number of 100 or more: gone
+
+
+def test_scanned_headers(spark):
+    pages = {1: [["List", ""], ["x", "10"], ["Name", "Price"], ["Second", "Header"]], 2: [["a", "1"]] * 5 + [["Name", "Price"]], 3: [["Name", "", "Price"], ["1", "2", "3"]], 4: []}
+    got = {r.page: (r.header_row, r.headers) for r in P.scanned_headers(rows(spark, pages)).collect()}
+    assert got == {1: (2, ["Name", "Price"]), 3: (0, ["Name", "Column 2", "Price"])}
