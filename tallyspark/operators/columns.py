@@ -26,10 +26,11 @@ RULE_VALUE = r"(?i)^(>=|<=|>|<|=|between|antara)\s*\d*|^\s*\d+\s*[-–]\s*\d+\s*
 
 
 def cells_long(matrix: DataFrame, headers: DataFrame) -> DataFrame:
-    """(sheet, row_idx, col, header, v) of the filled cells of matrices (sheet, row_idx, cells); headers: sheet, headers."""
+    """(sheet, row_idx, col, header, v) of the filled cells of matrices (sheet, row_idx, cells); headers: sheet, headers.
+    The names, one row a column, are broadcast: cells stay where they are."""
     one = matrix.select("sheet", "row_idx", F.posexplode("cells").alias("col", "v")).withColumn("v", F.trim("v")).where("v <> ''")
     names = headers.select("sheet", F.posexplode("headers").alias("col", "header"))
-    return one.join(names, ["sheet", "col"])
+    return one.join(F.broadcast(names), ["sheet", "col"])
 
 
 def profiles(cells: DataFrame) -> DataFrame:
@@ -43,12 +44,13 @@ def profiles(cells: DataFrame) -> DataFrame:
 
 def cross_similarity(cells: DataFrame, others: DataFrame) -> DataFrame:
     """(sheet, col, other_sheet, other_col, similarity): the share of a column's words (over two letters, with repeats) that
-    occur in the other column.  Words meet in an inverted index, word to columns, so all pairs take one pass."""
+    occur in the other column.  Words meet in an inverted index, word to columns, so all pairs take one pass; the index, which
+    grows with the cells, is shuffled and never broadcast."""
     words = lambda df: df.select("sheet", "col", F.explode(F.filter(F.split(F.upper("v"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2)).alias("word"))
     mine = words(cells).groupBy("sheet", "col", "word").agg(F.count("*").alias("n"))
     index = words(others).select(F.col("sheet").alias("other_sheet"), F.col("col").alias("other_col"), "word").distinct()
     total = mine.groupBy("sheet", "col").agg(F.sum("n").cast("double").alias("total"))
-    met = mine.join(index, "word").groupBy("sheet", "col", "other_sheet", "other_col").agg(F.sum("n").alias("met"))
+    met = mine.join(index.hint("merge"), "word").groupBy("sheet", "col", "other_sheet", "other_col").agg(F.sum("n").alias("met"))
     return met.join(total, ["sheet", "col"]).select("sheet", "col", "other_sheet", "other_col", (F.col("met") / F.col("total")).alias("similarity"))
 
 

@@ -1,6 +1,7 @@
 """Meaning of columns over many sheets at once."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.operators import columns as C
 
@@ -25,6 +26,23 @@ def test_roles_of_two_sheets(spark):
     assert {r.col for r in C.price_derived_columns(both, spark.createDataFrame([("a", 1)], "sheet string, price int")).collect()} == {2}
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_and_words_are_not_broadcast(spark, tmp_path):
+    sheet = spark.range(50).selectExpr("'a' AS sheet", "id AS row_idx", "array('pump ' || id, 'x') AS cells")
+    sheet.write.parquet(str(tmp_path / "sheet"))
+    long = C.cells_long(spark.read.parquet(str(tmp_path / "sheet")), spark.createDataFrame([("a", ["n", "m"])], "sheet string, headers array<string>"))
+    p = plan(long)  # the names are broadcast, the cells neither that nor shuffled
+    assert "BroadcastHashJoin" in p and "BuildRight" in p and "BuildLeft" not in p and "SortMergeJoin" not in p
+    long.write.parquet(str(tmp_path / "long"))
+    cells = spark.read.parquet(str(tmp_path / "long"))
+    cross = C.cross_similarity(cells, cells.withColumn("sheet", F.lit("b")))
+    assert "SortMergeJoin [word" in plan(cross)
+    assert {(r.col, r.other_col): r.similarity for r in cross.collect()} == {(0, 0): 1.0}
+
+
 def test_tracker_roles(spark):
     hints = {"salesman": ["salesman", "sales"], "visit_date": ["visit date"], "status": ["status"]}
     rows = [["An", "Budi", "31/12/2025", "x"], ["An", "Budi", "2026-01-02", ""], ["An", "Budi", "soon", "2026-01-02"]]
