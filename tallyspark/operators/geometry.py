@@ -27,12 +27,13 @@ def cluster_rows(y: np.ndarray) -> np.ndarray:
 def column_bounds(x0: np.ndarray, x1: np.ndarray, rows: np.ndarray) -> list[float]:
     """Middles of the gaps that (nearly) no row covers and that are wide enough."""
     low, high = int(np.floor(x0.min())), int(np.ceil(x1.max()))
-    cover = np.zeros(high - low + 1)
-    for r in np.unique(rows):
-        mine = np.zeros_like(cover, bool)
-        for a, b in zip(x0[rows == r], x1[rows == r]):
-            mine[int(a) - low : int(np.ceil(b)) - low] = True
-        cover += mine
+    cover, upto, start = np.zeros(high - low + 1), low, None
+    order = np.lexsort((x0, rows))
+    for r, a, b in zip(rows[order], x0[order], x1[order]):  # row by row from the left, a point is counted once a row
+        upto, start = (low, r) if r != start else (upto, start)
+        end = int(np.ceil(b))
+        cover[max(int(a), upto) - low : max(end - low, 0)] += 1
+        upto = max(upto, end)
     free = cover <= max(1, 0.15 * len(np.unique(rows)))
     edge = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
     wide = max(10, 0.015 * (high - low))
@@ -54,11 +55,10 @@ def words_to_cells(words: DataFrame) -> DataFrame:
         rows = cluster_rows(pdf["y0"].to_numpy())
         bounds = column_bounds(pdf["x0"].to_numpy(), pdf["x1"].to_numpy(), rows)
         col = np.searchsorted(bounds, (pdf["x0"] + pdf["x1"]).to_numpy() / 2)
-        out = []
-        for r in range(rows.max() + 1):
-            mine = pdf[rows == r].assign(col=col[rows == r]).sort_values("x0")
-            out.append((key[0], r, [cell_text(mine.loc[mine["col"] == c, "text"].tolist()) for c in range(len(bounds) + 1)]))
-        return pd.DataFrame(out, columns=["page", "row_idx", "cells"])
+        text, cells = pdf["text"].to_numpy(), [[[] for _ in range(len(bounds) + 1)] for _ in range(rows.max() + 1)]
+        for k in np.argsort(pdf["x0"].to_numpy(), kind="stable"):
+            cells[rows[k]][col[k]].append(text[k])
+        return pd.DataFrame({"page": key[0], "row_idx": np.arange(len(cells)), "cells": [[cell_text(c) for c in r] for r in cells]})
 
     return words.groupBy("page").applyInPandas(page, "page long, row_idx long, cells array<string>")
 

@@ -152,3 +152,23 @@ def test_sheets_and_sinks(spark, tmp_path):
 def test_registry(spark):
     got = run_all(spark, "/root/testdata/sf0.001", {"events"})
     assert got["daily"]["status"] == "SKIPPED" and got["marketing"]["status"] == "COMPLETED" and "q_visit_status" in got["tracker"]["tables"]
+
+
+def test_a_long_page_is_not_cut_row_by_row():
+    import time
+
+    import numpy as np
+    import pandas as pd
+
+    class Grouped:  # takes the function that works on a page
+        groupBy = lambda self, key: self
+
+        def applyInPandas(self, f, schema):
+            return f
+
+    n = 8000
+    pdf = pd.DataFrame({"page": 1, "x0": [10.0, 120.0] * n, "x1": [60.0, 150.0] * n, "y0": np.repeat(np.arange(n) * 12.0, 2), "text": [t for k in range(n) for t in (f"no{k}", str(k))]})
+    start = time.time()
+    out = geometry.words_to_cells(Grouped())((1,), pdf)
+    assert out["cells"].tolist() == [[f"no{k}", str(k)] for k in range(n)]
+    assert time.time() - start < 4
