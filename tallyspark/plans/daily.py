@@ -11,6 +11,7 @@ from ..functions.dates import month_key
 from ..functions.numeric import mean_of_known, money, ratio, total
 from ..operators.joins import full_outer, lookup
 from ..operators.reshape import unpivot_months
+from ..operators.stage import dealt
 from ..operators.windows import change_pct
 from ..sources.tables import invoice_lines, table
 from .frames_sql import INV
@@ -45,36 +46,40 @@ def _change(by, order):
 
 @query("q_daily_sales", f"WITH {INV}, s AS (SELECT invoice_date, {_SUMS} FROM inv GROUP BY 1) SELECT *, {_change('', 'invoice_date')} AS change_pct FROM s")
 def daily_sales(spark, sf_dir):
-    return sums(invoice_lines(spark, sf_dir), "invoice_date").withColumn("change_pct", change_pct("total_sales", "invoice_date"))
+    return sums(invoice_lines(spark, sf_dir, by_invoice=True), "invoice_date").withColumn("change_pct", change_pct("total_sales", "invoice_date"))
 
 
 @query("q_monthly_sales", f"WITH {INV}, s AS (SELECT CAST(date_trunc('month', invoice_date) AS DATE) AS month, strftime(invoice_date, '%m-%Y') AS month_key, {_SUMS} FROM inv GROUP BY 1, 2) SELECT *, {_change('', 'month')} AS change_pct FROM s")
 def monthly_sales(spark, sf_dir):
-    df = invoice_lines(spark, sf_dir).withColumns({"month": F.trunc("invoice_date", "month"), "month_key": month_key(F.col("invoice_date"))})
+    df = invoice_lines(spark, sf_dir, by_invoice=True).withColumns({"month": F.trunc("invoice_date", "month"), "month_key": month_key(F.col("invoice_date"))})
     return sums(df, "month", "month_key").withColumn("change_pct", change_pct("total_sales", "month"))
 
 
 @query("q_branch_daily", f"WITH {INV}, s AS (SELECT branch, invoice_date, {_SUMS} FROM inv GROUP BY 1, 2) SELECT *, {_change('branch', 'invoice_date')} AS change_pct FROM s")
 def branch_daily(spark, sf_dir):
-    return sums(invoice_lines(spark, sf_dir), "branch", "invoice_date").withColumn("change_pct", change_pct("total_sales", "invoice_date", ["branch"]))
+    return sums(invoice_lines(spark, sf_dir, by_invoice=True), "branch", "invoice_date").withColumn("change_pct", change_pct("total_sales", "invoice_date", ["branch"]))
 
 
 @query("q_salesman_daily", f"WITH {INV}, s AS (SELECT branch, salesman, invoice_date, {_SUMS} FROM inv GROUP BY 1, 2, 3) SELECT * FROM s")
 def salesman_daily(spark, sf_dir):
-    return sums(invoice_lines(spark, sf_dir), "branch", "salesman", "invoice_date")
+    """Nearly as many groups as lines: an invoice's lines of a group become one row, and those rows are dealt out by the group."""
+    by = ["branch", "salesman", "invoice_date"]
+    lines = invoice_lines(spark, sf_dir, by_invoice=True)
+    one = lines.groupBy(*by, "invoice_code").agg(*(F.sum(v).alias(v) for v in ("net", "volume", "qty")), F.count("net").alias("n_lines"))
+    dealt_out = dealt(one, table(spark, sf_dir, "lineitem").count(), *by)
+    return dealt_out.groupBy(*by).agg(*(total(F.col(v)).alias(n) for v, n in (("net", "total_sales"), ("volume", "total_volume"), ("qty", "total_qty"))), F.sum("n_lines").alias("n_lines"), F.count("invoice_code").alias("n_invoices"))
 
 
 @query("q_sku_monthly", f"WITH {INV}, s AS (SELECT sku, CAST(date_trunc('month', invoice_date) AS DATE) AS month, {_SUMS} FROM inv GROUP BY 1, 2) SELECT *, {_change('sku', 'month')} AS change_pct FROM s")
 def sku_monthly(spark, sf_dir):
-    return sums(invoice_lines(spark, sf_dir).withColumn("month", F.trunc("invoice_date", "month")), "sku", "month").withColumn("change_pct", change_pct("total_sales", "month", ["sku"]))
+    return sums(invoice_lines(spark, sf_dir, by_invoice=True).withColumn("month", F.trunc("invoice_date", "month")), "sku", "month").withColumn("change_pct", change_pct("total_sales", "month", ["sku"]))
 
 
 def prepared(spark, sf_dir) -> DataFrame:
-    """Invoice lines with looked-up product group, remapped category and channel."""
-    ref = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_code"), F.concat(F.lit("grp"), (F.col("p_size") % 6).cast("string")).alias("sku_group"))
-    df = lookup(invoice_lines(spark, sf_dir).where(F.col("invoice_date").isNotNull()), ref, "product_code")
-    cat = rules.category_of(F.col("salesman"))
-    return df.withColumns({"sales_category": cat, "channel": rules.channel_of(cat, F.col("branch")), "in_scope": ~rules.excluded_actual(F.col("branch"))})
+    """Invoice lines with looked-up product group, remapped category and channel, looked up on products and salesmen, not on lines."""
+    ref = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("grp"), (F.col("p_size") % 6).cast("string")).alias("sku_group"))
+    lines = invoice_lines(spark, sf_dir, by_invoice=True, products=lambda df: lookup(df, ref, "p_partkey"), salesmen=lambda df: df.withColumn("sales_category", rules.category_of(F.col("salesman"))))
+    return lines.where(F.col("invoice_date").isNotNull()).withColumns({"channel": rules.channel_of(F.col("sales_category"), F.col("branch")), "in_scope": ~rules.excluded_actual(F.col("branch"))})
 
 
 _N2 = r"TRY_CAST(regexp_extract(salesman, '(\d{2})$', 1) AS INTEGER)"

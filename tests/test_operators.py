@@ -191,3 +191,20 @@ def test_activities_count_an_invoice_once_a_day(spark, tmp_path):
     assert act == {("invoice", "1995-03-01"): (1, 40.0), ("payment", "1995-03-21"): (1, 20.0), ("due", "1995-03-31"): (1, 40.0), ("past_due", "1995-03-31"): (1, 20.0)}
     other = {(k, str(r.activity_date)) for r in got.where("salesman = 'SLP02'").collect() for k in ("invoice", "payment", "due", "past_due") if r[f"has_{k}"]}
     assert other == {(k, d) for k, d in (("invoice", "1995-03-01"), ("due", "1995-03-31"), ("past_due", "1995-03-31"), ("invoice", "None"), ("due", "None"), ("past_due", "None"))}
+
+
+def test_lines_of_an_invoice_are_dealt_out_by_the_number_of_lines(spark, monkeypatch):
+    """What a task holds follows ``most``, not the table; where the lines lie changes no result."""
+    from tallyspark.operators import stage
+    from tallyspark.plans import daily
+
+    sf = "/root/testdata/sf0.001"
+    names = ("q_salesman_daily", "q_invoice_prepared", "q_sku_monthly", "q_branch_daily", "q_daily_sales")
+    plain = {n: {tuple(r) for r in daily.QUERIES[n](spark, sf).collect()} for n in names[:3]}
+    monkeypatch.setitem(stage.dealt.__kwdefaults__, "most", 300)
+    for n in names:
+        got = daily.QUERIES[n](spark, sf)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [l_orderkey" in plan
+        if n in plain:
+            assert {tuple(r) for r in got.collect()} == plain[n]
