@@ -131,13 +131,16 @@ c AS (SELECT *, CASE WHEN coalesce(lag(revenue) OVER w, 0) = 0 THEN NULL ELSE (r
 g AS (SELECT division, count(*) AS n_months, regr_slope(revenue, x) / nullif(abs(avg(revenue)), 0) * 100 AS slope_pct, stddev_pop(abs(revenue)) / nullif(avg(abs(revenue)), 0) * 100 AS volatility_pct, max(CASE WHEN month = (SELECT hi FROM b) THEN ch END) AS c1, max(CASE WHEN month = (SELECT hi - INTERVAL 1 MONTH FROM b) THEN ch END) AS c2, max(CASE WHEN month = (SELECT hi - INTERVAL 2 MONTH FROM b) THEN ch END) AS c3 FROM c GROUP BY 1)
 SELECT division, n_months, round(slope_pct, 6) AS slope_pct, round(volatility_pct, 6) AS volatility_pct, CASE WHEN c1 < -1 AND c2 < -1 AND c3 < -1 THEN 'koreksi beruntun' WHEN c1 > 1 AND c2 > 1 AND c3 > 1 THEN 'ekspansi beruntun' WHEN c2 < -1 AND c1 > 1 THEN 'rebound awal' WHEN c2 > 1 AND c1 < -1 THEN 'pembalikan negatif' WHEN volatility_pct >= 22 THEN 'fluktuatif' WHEN slope_pct > 2 THEN 'uptrend bertahap' WHEN slope_pct < -2 THEN 'downtrend bertahap' ELSE 'sideways terkendali' END AS pattern FROM g""")
 def trend_stats(spark, sf_dir):
-    """Slope, volatility and pattern of monthly revenue, months without sales filled with 0."""
-    inv = invoice_lines(spark, sf_dir)
-    span = inv.agg(F.min("invoice_date").alias("lo"), F.max("invoice_date").alias("hi"))  # one row
-    scaffold = month_scaffold(inv.select("division").distinct().join(F.broadcast(span)), "lo", "hi")
-    m = inv.groupBy("division", F.trunc("invoice_date", "month").alias("month")).agg(F.sum("net").alias("net"))
+    """Slope, volatility and pattern of monthly revenue, months without sales filled with 0.  Lines are read once: divisions,
+    months and the whole span come out of one row a division and month."""
+    month = F.trunc("invoice_date", "month")
+    m = invoice_lines(spark, sf_dir).groupBy("division", month.alias("month")).agg(F.sum("net").alias("net"))
+    every = W.partitionBy()  # over divisions and months
+    m = m.withColumns({"lo": F.min("month").over(every), "hi": F.max("month").over(every)})
+    known = F.when(F.col("month").isNotNull(), F.struct("month", F.coalesce("net", F.lit(0)).cast("double").alias("revenue")))
+    held = m.groupBy("division").agg(F.map_from_entries(F.collect_list(known)).alias("held"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))  # as many entries as months
     w = W.partitionBy("division").orderBy("month")
-    f = scaffold.join(m, ["division", "month"], "left").select("division", "month", "hi", F.coalesce("net", F.lit(0)).cast("double").alias("revenue")).withColumn("x", F.row_number().over(w) - 1).withColumn("ch", change_pct("revenue", "month", ["division"]))
+    f = month_scaffold(held, "lo", "hi").select("division", "month", "hi", F.coalesce(F.try_element_at("held", "month"), F.lit(0.0)).alias("revenue")).withColumn("x", F.row_number().over(w) - 1).withColumn("ch", change_pct("revenue", "month", ["division"]))
     at = lambda k: F.max(F.when(F.col("month") == F.add_months(F.trunc("hi", "month"), -k), F.col("ch")))
     g = f.groupBy("division").agg(F.count("*").alias("n_months"), (F.try_divide(F.regr_slope("revenue", "x"), F.abs(F.avg("revenue"))) * 100).alias("slope"), (F.try_divide(F.stddev_pop(F.abs("revenue")), F.avg(F.abs("revenue"))) * 100).alias("vol"), at(0).alias("c1"), at(1).alias("c2"), at(2).alias("c3"))
     c1, c2, c3 = F.col("c1"), F.col("c2"), F.col("c3")
