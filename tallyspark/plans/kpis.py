@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import delta_pct, ratio, ratio0
+from ..operators.stage import staged
 from ..sources.tables import invoice_lines
 from .frames_sql import INV
 
@@ -53,12 +54,15 @@ def calendar(lines: DataFrame) -> DataFrame:
 
 
 def period_sums(lines: DataFrame) -> DataFrame:
-    """Revenue, lines and paid revenue of each period, for all and for each member of each dimension (``dim`` and ``member``)."""
+    """Revenue, lines and paid revenue of each period, for all and for each member of each dimension (``dim`` and ``member``).
+    Lines become sums of the days that lie within the same periods before they are dealt to the periods, of which a day has many."""
     held = lines.join(F.broadcast(calendar(lines)))  # one row
-    inside = lambda p: F.col("invoice_date").between(F.col(f"{p}.a"), F.col(f"{p}.b"))
-    held = held.select(*DIMENSIONS, "net", "status", *(inside(p).alias(p) for p in PERIODS))
-    sums = [x for p in PERIODS for x in (F.sum(F.when(F.col(p), F.col("net"))).alias(f"revenue_{p}"), F.count(F.when(F.col(p), F.col("net"))).alias(f"lines_{p}"), F.sum(F.when(F.col(p) & (F.col("status") == PAID), F.col("net"))).alias(f"paid_{p}"))]
-    out = held.groupingSets([[], *([F.col(d)] for d in DIMENSIONS)], *map(F.col, DIMENSIONS)).agg(*sums, *(F.grouping(d).alias(f"g_{d}") for d in DIMENSIONS))
+    bits = (F.when(F.col("invoice_date").between(F.col(f"{p}.a"), F.col(f"{p}.b")), 1 << k).otherwise(0) for k, p in enumerate(PERIODS))
+    held = held.select(*DIMENSIONS, "net", "status", sum(bits, F.lit(0)).alias("within"))  # the periods that hold the day
+    own = [F.sum("net").alias("revenue"), F.count("net").alias("lines"), F.sum(F.when(F.col("status") == PAID, F.col("net"))).alias("paid"), *(F.grouping(d).alias(f"g_{d}") for d in DIMENSIONS)]
+    part = held.groupingSets([[F.col("within")], *([F.col(d), F.col("within")] for d in DIMENSIONS)], *map(F.col, DIMENSIONS), F.col("within")).agg(*own)
+    sums = [F.sum(F.when(F.col("within").bitwiseAND(1 << i) != 0, F.col(k))).alias(f"{k}_{p}") for i, p in enumerate(PERIODS) for k in ("revenue", "lines", "paid")]
+    out = part.groupBy(*DIMENSIONS, *(f"g_{d}" for d in DIMENSIONS)).agg(*sums)
     dim = F.coalesce(*(F.when(F.col(f"g_{d}") == 0, d) for d in DIMENSIONS))
     return out.select(dim.alias("dim"), F.coalesce(*(F.when(F.col(f"g_{d}") == 0, F.col(d)) for d in DIMENSIONS)).alias("member"), *(F.coalesce(F.col(f"{k}_{p}"), F.lit(0)).cast("double").alias(f"{k}_{p}") for p in PERIODS for k in ("revenue", "lines", "paid")))
 
@@ -74,7 +78,7 @@ def _figures(now: str, before: str) -> dict[str, Column]:
 def key_figures(lines: DataFrame) -> DataFrame:
     """(metric, value, label): some 200 figures.  best_ and worst_ name the member of a dimension whose revenue of a period
     rose and fell most, ties to the first name."""
-    sums = period_sums(lines)
+    sums = staged(period_sums(lines), "report-sums")  # one row a member of a dimension, read three times
     figures = {k: v for pair in PAIRS for k, v in _figures(*pair).items()}
     entry = lambda name, value, label=None: F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"), (F.lit(None).cast("string") if label is None else label).alias("label"))
     whole = sums.where("dim is null").select(F.explode(F.array(*(entry(k, v) for k, v in figures.items()))).alias("m")).select("m.*")
@@ -125,4 +129,6 @@ _ROUND = "metric, round(value, 6) AS value, label"
 
 @query("q_report_kpis", f"SELECT {_ROUND} FROM ({_sql()})")
 def report_kpis(spark, sf_dir):
-    return key_figures(invoice_lines(spark, sf_dir)).withColumn("value", F.round("value", 6))
+    """Lines are read for the calendar and for the sums: what both need of them is staged, so they are joined once."""
+    lines = staged(invoice_lines(spark, sf_dir).select("invoice_date", *DIMENSIONS, "net", "status"), "report-lines")
+    return key_figures(lines).withColumn("value", F.round("value", 6))

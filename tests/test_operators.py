@@ -208,3 +208,16 @@ def test_lines_of_an_invoice_are_dealt_out_by_the_number_of_lines(spark, monkeyp
         assert "RepartitionByExpression [l_orderkey" in plan
         if n in plain:
             assert {tuple(r) for r in got.collect()} == plain[n]
+
+
+def test_trend_and_key_figures_read_the_lines_once(spark, monkeypatch):
+    """Each joined table is scanned once, and lines are not summed for every period."""
+    from tallyspark.plans import kpis, report
+
+    sf = "/root/testdata/sf0.001"
+    assert report.trend_stats(spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("l_orderkey#") <= 4
+    kept = []
+    monkeypatch.setattr(kpis, "staged", lambda df, name: kept.append(df) or df.sparkSession.createDataFrame(df.collect(), df.schema))
+    kpis.report_kpis(spark, sf)
+    lines, sums = kept
+    assert lines.columns == ["invoice_date", "branch", "salesman", "sku", "net", "status"] and "l_orderkey" not in sums._jdf.queryExecution().optimizedPlan().toString()
