@@ -119,8 +119,9 @@ def price_derived_columns(cells: DataFrame, price: DataFrame) -> DataFrame:
 # -- columns of loose tables ----------------------------------------------------------------------
 def date_ratios(cells: DataFrame) -> DataFrame:
     """(sheet, col, header, dates): the share of filled cells that read as a day, in one aggregation."""
-    v = F.col("v")
-    day = F.coalesce(*(F.try_to_timestamp(F.substring(v, 1, 10), F.lit(f)) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "d/M/yyyy")))
+    head = F.substring("v", 1, 10)
+    # only cells that hold a format's sign are parsed: Spark's parser raises and catches an error for every cell that does not fit
+    day = F.coalesce(*(F.when(F.contains(head, F.lit(sign)), F.try_to_timestamp(head, F.lit(f))) for f, sign in (("yyyy-MM-dd", "-"), ("dd/MM/yyyy", "/"), ("dd-MM-yyyy", "-"), ("d/M/yyyy", "/"))))
     return cells.groupBy("sheet", "col", "header").agg((F.count(day) / F.count("*")).alias("dates"))
 
 

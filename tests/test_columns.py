@@ -57,3 +57,9 @@ def test_tracker_roles(spark):
 @pytest.mark.parametrize("names,want", [(["Price Volume", "Line_Volume"], "Line_Volume"), (["Volume Target", "Total liter"], "Total liter"), (["Qty"], None), ([], None)])
 def test_measure_column(names, want):
     assert C.measure_column(names, ["Volume", "Line Volume"], ["volume", "liter"], ["target", "price"]) == want
+
+
+def test_days_of_every_format_are_counted(spark):
+    values = ["2024-03-01", "01/03/2024", "01-03-2024", "1/3/2024", "2024-03-01 10:00", "17", "O", "12.50", "-3", "a/b", "31/31/2024", "P-12"]
+    df = spark.createDataFrame([("s", i, 0, "h", v) for i, v in enumerate(values)], "sheet string, row_idx int, col int, header string, v string")
+    assert [r.dates for r in C.date_ratios(df).collect()] == [5 / 12]
