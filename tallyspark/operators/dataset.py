@@ -18,6 +18,11 @@ PRICE_FIELDS = ("basicPrice", "invoicePrice", "invoicePriceVat", "nettPrice")
 VARIANT_BITS = 20
 
 
+def _number(c):
+    """parse_number, which most values do not need: plain digits have nothing to tidy."""
+    return F.when(F.trim(c).rlike(r"^\d+(\.\d{1,2})?\z"), F.trim(c).try_cast("double")).otherwise(parse_number(c))
+
+
 @dataclass(frozen=True)
 class MappedColumn:
     """A column of a sheet: where it stands, its header, the field it means, its name if renamed."""
@@ -57,13 +62,13 @@ def dataset(matrix: DataFrame, mapping: list[MappedColumn], rules: list[str] | N
     by_key = {m.key: m.index for m in used}
     data = F.create_map(*(x for k, i in by_key.items() for x in (F.lit(k), raw(i)))) if by_key else F.lit(None).cast("map<string,string>")
     empty = F.forall(F.array(*map(raw, by_key.values())), lambda x: x == "") if by_key else F.lit(True)
-    said = [(f, parse_number(cell(f))) for f in PRICE_FIELDS if f in at]
+    said = [(f, _number(cell(f))) for f in PRICE_FIELDS if f in at]
     prices = F.map_filter(F.create_map(*(x for f, p in said for x in (F.lit(f), p))), lambda k, v: v.isNotNull()) if said else F.lit(None).cast("map<string,double>")
     ranged = any(f in at for f in ("qtyRule", "qtyFrom", "qtyTo"))
     span = T.qty_rule(cell("qtyRule"), cell("qtyFrom"), cell("qtyTo")) if ranged else F.lit(None).cast("struct<min:double,max:double,label:string>")
     rows = matrix.where(~((name == "") & empty)).select(
         "row_idx", data.alias("data"), filled("productCode").alias("code"), filled("productVariant").alias("variant"), filled("brand").alias("brand"), filled("category").alias("category"),
-        F.when(cell("description") != "", cell("description")).alias("description"), F.when(F.size(prices) > 0, prices).alias("prices"), parse_number(cell("qty")).alias("qty"), span.alias("span"), name.alias("spelling"),
+        F.when(cell("description") != "", cell("description")).alias("description"), F.when(F.size(prices) > 0, prices).alias("prices"), _number(cell("qty")).alias("qty"), span.alias("span"), name.alias("spelling"),
     )
     return rows.join(named, "spelling").select(
         (F.shiftleft(F.col("row_idx").cast("long"), VARIANT_BITS) + F.col("part")).alias("key"), "row_idx", F.when(F.col("name") != "", F.col("name")).alias("name"), "norm", "tokens",
